@@ -20,9 +20,10 @@ FINE_ZOOM, CHILD_ZOOM = 20, 24
 def stage_region(
     pings: DataFrame, day: dt.date | None = None, cells: Sequence[int] | DataFrame | None = None,
     dma_code: int | None = None, provider: str | None = None, ingest_date: dt.date | None = None,
-    id_columns: Sequence[str] = ("device_hash", "unix_ts", "lat", "lon", "c14"),
+    id_columns: Sequence[str] = ("device_hash", "unix_ts", "lat", "lon", "c14"), id_column: str | None = None,
 ) -> DataFrame:
-    """The pings to smooth, with their fine cell ``src`` and a row id hashed from ``id_columns``.
+    """The pings to smooth, with their fine cell ``src`` and a row id: ``id_column`` if the
+    table has one, else a hash of ``id_columns``.
 
     Copies share an id, hence every draw, and so move together; they are told from a hash
     collision by their source cell, which is part of the key from here on.
@@ -37,7 +38,7 @@ def stage_region(
     else:
         rows = rows.where(in_list("c14", cells))
     return rows.withColumn("src", cell(F.col("lat"), F.col("lon"), FINE_ZOOM)).withColumn(
-        "row_id", F.xxhash64(*id_columns)
+        "row_id", F.col(id_column) if id_column else F.xxhash64(*id_columns)
     )
 
 
