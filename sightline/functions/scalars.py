@@ -22,8 +22,13 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(d != 0, numerator.cast("double") / d)
 
 
+def report_round(value: Column, digits: int = 2) -> Column:
+    """Half-up rounding that a last-bit difference of a floating sum cannot tip."""
+    return F.round(F.round(value, digits + 7), digits)
+
+
 def pct(part: Column, whole: Column, digits: int = 2) -> Column:
-    return F.round(ratio(part, whole) * 100.0, digits)
+    return report_round(ratio(part, whole) * 100.0, digits)
 
 
 def sum_if(condition: Column, value: Column) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sightline.functions.cells import cell, cell_child, cell_lat, cell_lon, child_count, grid_disk
 from sightline.functions.scalars import between_dates, equals, in_list, ratio, uniform
+from sightline.operators.ordering import join_null_safe
 from sightline.operators.storage import shared_dir
 
 REGION = ["market_id", "c14"]
@@ -173,10 +173,9 @@ def parity_writeback(staged: DataFrame, moves: DataFrame) -> DataFrame:
     ``moves`` has one row per id, region and source cell, so the left join cannot add or lose rows.
     """
     keys = ["row_id", *SOURCE]
-    moved = moves.select(*[F.col(k).alias(f"_{k}") for k in keys], "new_lat", "new_lon")
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     lat, lon = F.coalesce("new_lat", F.col("lat")), F.coalesce("new_lon", F.col("lon"))
-    joined = staged.join(moved, on, "left").withColumns({"lat": lat, "lon": lon})
+    moved = join_null_safe(staged, moves.select(*keys, "new_lat", "new_lon"), keys, "left")
+    joined = moved.withColumns({"lat": lat, "lon": lon})
     cells = {f"c{z}": cell(F.col("lat"), F.col("lon"), z) for z in (11, 14, 17, 20) if f"c{z}" in staged.columns}
     joined = joined.withColumns(cells)
     if "device_geo" in staged.columns:

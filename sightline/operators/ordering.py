@@ -52,7 +52,9 @@ def previous_row(
     """Add ``prev_<column>`` for each carried column: its value on the key's previous row.
 
     Rows are ordered inside (key, time slice); the last row of each slice is handed
-    to the next slice of the key that has rows.
+    to the next slice of the key that has rows. The shuffle by (key, slice) is asked for:
+    a plan already partitioned by the key alone would satisfy the window and leave a hot
+    key whole, and would trust the union of two shuffles to be aligned.
     """
     order = [ts, *tiebreak]
     sliced = df.withColumn("_slice", F.floor(F.col(ts) / slice_s))
@@ -73,6 +75,7 @@ def previous_row(
     w = Window.partitionBy(*keys, "_slice").orderBy("_own", *order)
     return (
         own.unionByName(handed, allowMissingColumns=True)
+        .repartition(*keys, "_slice")
         .withColumns({f"prev_{c}": F.lag(f"_carry_{c}").over(w) for c in carry})
         .where("_own")
         .drop("_slice", "_own", *[f"_carry_{c}" for c in carry])
@@ -98,8 +101,11 @@ def _with_range_bucket(df: DataFrame, value: str, spread: Sequence[str]) -> Data
     )
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join on ``keys`` in which NULL meets NULL; the left side's key columns are kept."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def exact_percentiles(
@@ -128,11 +134,9 @@ def exact_percentiles(
         F.coalesce(F.sum("_in_bucket").over(in_order), F.lit(0)).alias("_offset"),
         F.sum("_in_bucket").over(Window.partitionBy(*keys)).alias("_total"),
     )
-    on = null_safe(counts, offsets, [*keys, "_bucket"])
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        counts.join(offsets, on)
-        .select(*[counts[k] for k in keys], counts["_bucket"], "_v", "_n", "_offset", "_total")
+        join_null_safe(counts, offsets, [*keys, "_bucket"])
         .withColumn("_upto", F.col("_offset") + F.sum("_n").over(inside))
     )
 

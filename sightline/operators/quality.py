@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.functions.scalars import between_dates, div0, in_list, info_field
-from sightline.operators.ordering import exact_percentiles, hash_sample, null_safe
+from sightline.operators.ordering import exact_percentiles, hash_sample, join_null_safe
 
 SEVEN_POINTS = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 FIVE_POINTS = {name: SEVEN_POINTS[name] for name in ("p5", "p25", "p50", "p75", "p95")}
@@ -21,11 +21,6 @@ def table_extent(table: DataFrame, start: dt.date | None = None, end: dt.date |
     )
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    extra = [right[c] for c in right.columns if c not in keys]
-    return left.join(right, null_safe(left, right, keys)).select(*[left[c] for c in left.columns], *extra)
-
-
 def multiplier_daily_compare(
     mult_a: DataFrame, mult_b: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
     names: tuple[str, str] = ("a", "b"),
@@ -42,7 +37,7 @@ def multiplier_daily_compare(
         F.countDistinct("cell").alias("unique_cells"), F.avg("multiplier").alias("avg_multiplier"),
         F.stddev("multiplier").alias("std_multiplier"), F.count(F.lit(1)).alias("total_multipliers"),
     )
-    return _join_null_safe(stats, exact_percentiles(rows, keys, "multiplier", {"median_multiplier": 0.5}), keys)
+    return join_null_safe(stats, exact_percentiles(rows, keys, "multiplier", {"median_multiplier": 0.5}), keys)
 
 
 def random_frames(exposures: DataFrame, k: int = 10, exclude_owner=None, seed: int = 0) -> DataFrame:
@@ -142,7 +137,7 @@ def market_ratio_summary(
     )
     for column in ("ratio_unique_devices", "ratio_total_matches"):
         median = exact_percentiles(both, ["marketname"], column, {f"median_{column}": 0.5})
-        report = _join_null_safe(report, median, ["marketname"])
+        report = join_null_safe(report, median, ["marketname"])
     return report
 
 
@@ -264,6 +259,6 @@ def distribution_histogram(summary: DataFrame, n_buckets: int = 50, max_entropy:
     overall = by_category.groupBy(*keys).agg(F.sum("n").alias("n")).select(F.lit("OVERALL").alias("category"), *keys, "n")
     counts = by_category.unionByName(overall)
     totals = counts.groupBy("category", "measure").agg(F.sum("n").alias("_total"))
-    return _join_null_safe(counts, totals, ["category", "measure"]).select(
+    return join_null_safe(counts, totals, ["category", "measure"]).select(
         "category", "measure", "bucket", "n", (F.col("n") / F.col("_total") / F.col("width")).alias("density")
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
+from sightline.functions.scalars import report_round
 from sightline.plans.fixtures import Fixtures, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +18,7 @@ def rounded(df: DataFrame, digits: int) -> DataFrame:
     """Fractions rounded, so that a different summation order does not show."""
     def column(field):
         if isinstance(field.dataType, (DoubleType, FloatType, DecimalType)):
-            return (F.round(F.col(field.name).cast("double"), digits) + F.lit(0.0)).alias(field.name)
+            return (report_round(F.col(field.name).cast("double"), digits) + F.lit(0.0)).alias(field.name)
         return F.col(field.name)
 
     return df.select(*[column(f) for f in df.schema.fields])

@@ -70,7 +70,7 @@ def cover_rows(table: str, radius: str, zoom: int, lat: str, lon: str) -> str:
 
 def two(x: str, digits: int = 2) -> str:
     """Half-up rounding of a double through a decimal, as a report prints it."""
-    return f"cast(round(cast({x} as decimal(30,12)),{digits}) as double)"
+    return f"cast(round(cast({x} as decimal(38,{digits + 7})),{digits}) as double)"
 
 
 def div0(n: str, d: str) -> str:
