@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sightline.functions.cells import cell, cell_child, cell_lat, cell_lon, child_count, grid_disk
 from sightline.functions.scalars import between_dates, equals, in_list, ratio, uniform
 from sightline.operators.ordering import join_null_safe
-from sightline.operators.storage import shared_dir
+from sightline.operators.storage import kept
 
 REGION = ["market_id", "c14"]
 SOURCE = [*REGION, "src"]
@@ -114,10 +114,9 @@ def diffuse_steps(staged: DataFrame, cdf: DataFrame, n_iters: int = 10, seed: in
 
     Copies of one row id are carried once, with their number, as they share every draw.
     """
-    shared_dir(staged.sparkSession)
     hops = hop_table(cdf)
-    if n_iters > cut_every:
-        hops = hops.checkpoint()
+    if n_iters > 1:
+        hops = kept(hops)
     positions = (
         staged.groupBy("row_id", *SOURCE).agg(F.count(F.lit(1)).alias("copies")).withColumn("cur", F.col("src"))
     )
@@ -125,7 +124,7 @@ def diffuse_steps(staged: DataFrame, cdf: DataFrame, n_iters: int = 10, seed: in
     for hop in range(1, n_iters + 1):
         positions = diffuse_hop(positions, hops, hop, seed)
         if hop % cut_every == 0 and hop < n_iters:
-            positions = positions.checkpoint()
+            positions = kept(positions)
         steps.append(positions)
     return steps
 

@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sightline.operators.storage import kept
+
 RANGE_SPLITS = 255
 
 
@@ -85,8 +87,8 @@ def previous_row(
 def _with_range_bucket(df: DataFrame, value: str, spread: Sequence[str]) -> DataFrame:
     """Number the rows' value ranges; the cut points are the values with the smallest hashes.
 
-    Hash order makes the cuts a fixed random sample, at most RANGE_SPLITS values, so
-    every branch of a plan sees the same buckets whatever the partitioning.
+    Hash order makes the cuts a fixed random sample, at most RANGE_SPLITS values, so the
+    ranges hold similar numbers of rows whatever the distribution. ``df`` is read twice.
     """
     cuts = (
         df.select(value, F.xxhash64(*spread).alias("_h"))
@@ -113,9 +115,9 @@ def exact_percentiles(
 ) -> DataFrame:
     """Interpolated percentiles per group, exact, with no group gathered in one task.
 
-    Equal values are counted first (map-side), the distinct values are cut into value
-    ranges, and a percentile is read off from the range offsets plus a running count
-    inside its range. ``weight`` counts a row that many times.
+    Equal values are counted first (map-side) and the counts checkpointed, as they are read
+    three times: to cut the values into ranges, to add up the ranges, and to count inside
+    them. ``weight`` counts a row that many times. Runs a job when called.
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
     counts = (
@@ -125,7 +127,7 @@ def exact_percentiles(
         .withColumn("_all", F.lit(1))
     )
     keys = list(groups) or ["_all"]
-    counts = _with_range_bucket(counts, "_v", [*groups, "_v"])
+    counts = _with_range_bucket(kept(counts), "_v", [*groups, "_v"])
     per_bucket = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in_bucket"))
     in_order = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
@@ -156,12 +158,19 @@ def exact_percentiles(
     return ranked.groupBy(*keys).agg(*ends).select(*groups, *out)
 
 
+def beside(*one_row: DataFrame) -> DataFrame:
+    """One row with the columns of several one-row frames, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def first_n_by(df: DataFrame, column: str, n: DataFrame) -> DataFrame:
     """The first ``n`` rows in the order of a unique ``column``; ``n`` is a one-cell DataFrame.
 
-    Ranks come from value ranges, so no task orders the whole table.
+    Ranks come from value ranges, so no task orders the whole table. Runs a job when called,
+    as the rows are checkpointed before they are read three times.
     """
-    bucketed = _with_range_bucket(df, column, [column])
+    bucketed = _with_range_bucket(kept(df), column, [column])
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))

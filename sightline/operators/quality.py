@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.functions.scalars import between_dates, div0, in_list, info_field
-from sightline.operators.ordering import exact_percentiles, hash_sample, join_null_safe
+from sightline.operators.ordering import beside, exact_percentiles, hash_sample, join_null_safe
 
 SEVEN_POINTS = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 FIVE_POINTS = {name: SEVEN_POINTS[name] for name in ("p5", "p25", "p50", "p75", "p95")}
@@ -80,9 +80,9 @@ def _frame_metrics(df: DataFrame, keys: Sequence[str], start: dt.date | None, en
     )
 
 
-def _metric_rows(df: DataFrame, label: str, column: str, by: Sequence[str], points: dict[str, float], weight: str | None = None) -> DataFrame:
-    values = exact_percentiles(df, by, column, points, weight)
-    return values.select(F.lit(label).alias("metric"), *by, *points)
+def _long(metrics: dict[str, Column]) -> Column:
+    """One (metric, ratio) entry per metric, to explode: all metrics then share one pass."""
+    return F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("ratio")) for m, v in metrics.items()]))
 
 
 def frame_ratio_percentiles(
@@ -97,16 +97,16 @@ def frame_ratio_percentiles(
     keys = ["frame_id", "core_date"]
     a, b = _frame_metrics(exp_a, keys, start, end), _frame_metrics(exp_b, keys, start, end)
 
-    def ratios(column: str) -> DataFrame:
+    def ratios(metric: str, column: str) -> DataFrame:
         values = a.groupBy("frame_id", F.col(column).alias("_a")).agg(F.count(F.lit(1)).alias("_n"))
         return (
             b.select("frame_id", "core_date", F.col(column).alias("_b")).join(values, "frame_id")
-            .groupBy("core_date", F.try_divide("_a", "_b").alias("ratio")).agg(F.sum("_n").alias("_n"))
+            .groupBy(F.lit(metric).alias("metric"), "core_date", F.try_divide("_a", "_b").alias("ratio"))
+            .agg(F.sum("_n").alias("_n"))
         )
 
-    labels = [("Unique Devices", "unique_devices"), ("Total Matches", "total_matches")]
-    first, second = (_metric_rows(ratios(c), label, "ratio", ["core_date"], SEVEN_POINTS, "_n") for label, c in labels)
-    return first.unionByName(second)
+    both = ratios("Unique Devices", "unique_devices").unionByName(ratios("Total Matches", "total_matches"))
+    return exact_percentiles(both, ["metric", "core_date"], "ratio", SEVEN_POINTS, "_n")
 
 
 def null_creative_groups(exposures: DataFrame, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
@@ -135,10 +135,14 @@ def market_ratio_summary(
         F.avg("ratio_unique_devices").alias("avg_ratio_unique_devices"),
         F.avg("ratio_total_matches").alias("avg_ratio_total_matches"),
     )
-    for column in ("ratio_unique_devices", "ratio_total_matches"):
-        median = exact_percentiles(both, ["marketname"], column, {f"median_{column}": 0.5})
-        report = join_null_safe(report, median, ["marketname"])
-    return report
+    columns = ["ratio_unique_devices", "ratio_total_matches"]
+    ratios = both.select("marketname", _long({c: F.col(c) for c in columns}).alias("_r")).select("marketname", "_r.*")
+    medians = (
+        exact_percentiles(ratios, ["marketname", "metric"], "ratio", {"p50": 0.5})
+        .groupBy("marketname")
+        .agg(*[F.max(F.when(F.col("metric") == c, F.col("p50"))).alias(f"median_{c}") for c in columns])
+    )
+    return join_null_safe(report, medians, ["marketname"], "left")
 
 
 def viewability_ratio_percentiles(rollup_a: DataFrame, rollup_b: DataFrame) -> DataFrame:
@@ -151,10 +155,9 @@ def viewability_ratio_percentiles(rollup_a: DataFrame, rollup_b: DataFrame) -> D
         )
 
     both = cumulative(rollup_a, "a").join(cumulative(rollup_b, "b"), ["frame_id", "core_date"])
-    metrics = ["Gross", "OTS", "LTS"]
-    both = both.select("core_date", *[div0(F.col(f"a_{m}"), F.col(f"b_{m}")).alias(m) for m in metrics])
-    parts = [_metric_rows(both, m, m, ["core_date"], FIVE_POINTS) for m in metrics]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    ratios = {m: div0(F.col(f"a_{m}"), F.col(f"b_{m}")) for m in ("Gross", "OTS", "LTS")}
+    rows = both.select("core_date", _long(ratios).alias("_r")).select("core_date", "_r.*")
+    return exact_percentiles(rows, ["metric", "core_date"], "ratio", FIVE_POINTS)
 
 
 def frame_metadata(frames: DataFrame, customers: DataFrame, sites: DataFrame, frame_ids: Sequence | None = None) -> DataFrame:
@@ -225,11 +228,11 @@ def affinity_count_distribution(affinities: DataFrame) -> DataFrame:
         affinities.where(F.col("audience_attribute").isNotNull())
         .groupBy("device_hash").agg(F.count("audience_attribute").alias("n"))
     )
-    points = exact_percentiles(counts, [], "n", FIVE_POINTS)
-    return counts.agg(
+    totals = counts.agg(
         F.max("n").alias("max_attributes"), F.min("n").alias("min_attributes"), F.avg("n").alias("avg_attributes"),
         F.stddev("n").alias("std_attributes"),
-    ).withColumns({name: points.select(name).scalar() for name in FIVE_POINTS})
+    )
+    return beside(totals, exact_percentiles(counts, [], "n", FIVE_POINTS))
 
 
 def row_sample(summary: DataFrame, n: int = 100000, by: Sequence[str] = ("device_hash", "category"), seed: int = 0) -> DataFrame:

@@ -12,7 +12,7 @@ from sightline.functions.scalars import (
 )
 from sightline.functions.timebins import daypart, local_hour
 from sightline.operators.multiplier import apply_multiplier, weighted_totals
-from sightline.operators.ordering import exact_percentiles, previous_row
+from sightline.operators.ordering import beside, exact_percentiles, previous_row
 
 OTS = "OPPORTUNITY_TO_SEE"
 LTS = "LIKELY_TO_SEE"
@@ -241,11 +241,11 @@ def _assets_per_device(exposures: DataFrame, period: Column, min_rows: int) -> D
         .groupBy("device_hash", "period").agg(F.count("asset_id").alias("assets"), F.sum("n").alias("n"))
         .where(F.col("n") >= min_rows)
     )
-    median = exact_percentiles(seen, [], "assets", {"median_assets": 0.5})
-    return seen.agg(
+    totals = seen.agg(
         F.avg("assets").alias("avg_assets"), F.min("assets").alias("min_assets"), F.max("assets").alias("max_assets"),
         F.count(F.lit(1)).alias("device_periods"),
-    ).withColumn("median_assets", median.scalar())
+    )
+    return beside(totals, exact_percentiles(seen, [], "assets", {"median_assets": 0.5}))
 
 
 def assets_per_device_day(exposures: DataFrame, min_rows: int = 5) -> DataFrame:
@@ -280,17 +280,18 @@ def transition_gaps(exposures: DataFrame, min_assets: int = 10) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     quartiles = exact_percentiles(steps, [], "gap_s", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, weight="n")
-    p25, p50, p75 = (quartiles.select(c).scalar() for c in ("p25", "p50", "p75"))
     mean = F.sum(F.col("gap_s") * F.col("n")) / F.sum("n")
-    return steps.agg(
+    totals = steps.agg(
         F.sum("n").alias("transitions"),
         F.countDistinct("device_hash").alias("devices"),
         mean.alias("avg_seconds"), (mean / 60.0).alias("avg_minutes"), (mean / 3600.0).alias("avg_hours"),
         (F.min("gap_s") / 60.0).alias("min_minutes"), (F.max("gap_s") / 3600.0).alias("max_hours"),
-    ).withColumns({
+    )
+    p25, p50, p75 = F.col("p25"), F.col("p50"), F.col("p75")
+    return beside(totals, quartiles).withColumns({
         "median_seconds": p50, "median_minutes": p50 / 60.0, "median_hours": p50 / 3600.0,
         "p25_hours": p25 / 3600.0, "p75_hours": p75 / 3600.0,
-    })
+    }).drop("p25", "p50", "p75")
 
 
 def cell_density(exposures: DataFrame, market_id=None, min_rows: int = 10) -> DataFrame:

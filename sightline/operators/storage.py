@@ -29,6 +29,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, computed once: a reliable checkpoint in the shared folder, lineage cut."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def save_table(df: DataFrame, path: str) -> DataFrame:
+    """Write a result as parquet and read it back, as a stage of a longer study."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``source`` replace rows of ``target`` with the same keys; the rest is kept."""
     kept = target.join(source.select(*keys), list(keys), "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sightline.operators import studies
+from sightline.operators.storage import new_path, save_table
 from sightline.plans.blocks import E_END, E_START, P_END, P_START
 from sightline.plans.registry import query
 from sightline.plans.reports import _MULT
@@ -119,8 +120,13 @@ def _exposed(fx) -> DataFrame:
     return studies.exposed_devices(fx.exposures, _top(fx), start=E_START, end=E_END)
 
 
+def _stored(fx, df: DataFrame, name: str) -> DataFrame:
+    """A stage result as a table, for the later stages that read it several times."""
+    return save_table(df, new_path(fx.spark, name))
+
+
 def _control(fx) -> DataFrame:
-    return studies.control_group(fx.pings, _exposed(fx), start=P_START, end=P_END)
+    return studies.control_group(fx.pings, _stored(fx, _exposed(fx), "exposed"), start=P_START, end=P_END)
 
 
 @query("p8_poi_conversions", f"""
