@@ -18,7 +18,7 @@ RANGE_SPLITS = 255
 
 
 def first_of_island(
-    df: DataFrame, keys: Sequence[str], ts: str, gap_s: int, tiebreak: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], ts: str, gap_s: int, tiebreak: Sequence[str] = (), slice_column: str | None = None
 ) -> DataFrame:
     """Keep the first row of every run whose steps are all shorter than ``gap_s``.
 
@@ -26,10 +26,11 @@ def first_of_island(
     one ``gap_s``-wide slice are closer than that, so only the first row of a slice
     can open a run, and the age of its predecessor is known from the latest time of
     the slice before. The slice step is a map-side combining aggregate; the window
-    that follows holds at most one row per slice of a key.
+    that follows holds at most one row per slice of a key. ``slice_column`` names a column that
+    already holds the slice number, so that rows shuffled by it are not shuffled again.
     """
     slices = (
-        df.withColumn("_slice", F.floor(F.col(ts) / gap_s))
+        df.withColumn("_slice", F.col(slice_column) if slice_column else F.floor(F.col(ts) / gap_s))
         .groupBy(*keys, "_slice")
         .agg(
             F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(ts, *tiebreak)).alias("_head"),

@@ -13,6 +13,7 @@ from sightline.functions.scalars import (
 from sightline.functions.timebins import daypart, local_hour
 from sightline.operators.multiplier import apply_multiplier, weighted_totals
 from sightline.operators.ordering import beside, exact_percentiles, previous_row
+from sightline.operators.storage import kept
 
 OTS = "OPPORTUNITY_TO_SEE"
 LTS = "LIKELY_TO_SEE"
@@ -266,7 +267,8 @@ def assets_per_device_month(exposures: DataFrame, min_rows: int = 60) -> DataFra
 def transition_gaps(exposures: DataFrame, min_assets: int = 10) -> DataFrame:
     """Time from one asset to the next different one, over devices that met enough assets.
 
-    Equal times are ordered by asset. Devices and gaps are counted before the percentiles.
+    Equal times are ordered by asset. Equal gaps of a device are counted once, and those
+    counts feed both the totals and the percentiles. Runs a job when called.
     """
     wide = (
         exposures.groupBy("device_hash").agg(F.countDistinct("asset_id").alias("assets"))
@@ -279,6 +281,7 @@ def transition_gaps(exposures: DataFrame, min_assets: int = 10) -> DataFrame:
         .groupBy("device_hash", (F.col("device_time") - F.col("prev_device_time")).alias("gap_s"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    steps = kept(steps)
     quartiles = exact_percentiles(steps, [], "gap_s", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, weight="n")
     mean = F.sum(F.col("gap_s") * F.col("n")) / F.sum("n")
     totals = steps.agg(
@@ -297,35 +300,49 @@ def transition_gaps(exposures: DataFrame, min_assets: int = 10) -> DataFrame:
 def cell_density(exposures: DataFrame, market_id=None, min_rows: int = 10) -> DataFrame:
     """Per fine cell: exposures, devices, assets, days, dayparts, impressions; sparse cells dropped.
 
-    One pass groups by (cell, device, asset, day), so the distinct counts expand that
-    smaller set and not the exposures.
+    Each exposure becomes one row for its device, one for its asset and one for its day; those
+    collapse map-side to one row per (cell, kind, id), and counting them gives every distinct
+    count in one pass. The sums ride on the device rows.
     """
     part = daypart(local_hour(F.col("device_time")), morning_from=6, afternoon_from=12)
-    combos = (
+    parts = ("morning", "afternoon", "evening")
+
+    def entry(kind: str, column: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(column).cast("string").alias("id"))
+
+    def own(value: Column | str) -> Column:
+        return F.when(F.col("kind") == "device", F.col(value) if isinstance(value, str) else value)
+
+    ids = (
         exposures.where(equals("market_id", market_id) & F.col("c17").isNotNull())
-        .groupBy("c17", "device_hash", "asset_id", "core_date", part.alias("daypart"))
+        .select(
+            "c17", "mp_value", "match_distance_meter", "lat", "lon", "core_date", part.alias("part"),
+            F.explode(F.array(entry("device", "device_hash"), entry("asset", "asset_id"), entry("day", "core_date"))).alias("e"),
+        )
+        .select("*", "e.*")
+        .groupBy("c17", "kind", "id")
         .agg(
-            F.count(F.lit(1)).alias("n"), F.sum("mp_value").alias("mp_value"),
-            F.sum("match_distance_meter").alias("distance"), F.count("match_distance_meter").alias("distances"),
+            F.count(own(F.lit(1))).alias("n"), F.sum(own("mp_value")).alias("mp_value"),
+            F.sum(own("match_distance_meter")).alias("distance"), F.count(own("match_distance_meter")).alias("distances"),
             F.min("lat").alias("lat"), F.min("lon").alias("lon"),
+            F.min("core_date").alias("first_date"), F.max("core_date").alias("last_date"),
+            *[F.max(own((F.col("part") == p).cast("int"))).alias(p) for p in parts],
         )
     )
 
-    def devices(part: str) -> Column:
-        return F.countDistinct(F.when(F.col("daypart") == part, F.col("device_hash"))).alias(f"{part}_devices")
+    def distinct(kind: str) -> Column:
+        return F.count(F.when(F.col("kind") == kind, F.col("id")))
 
     return (
-        combos.groupBy("c17")
+        ids.groupBy("c17")
         .agg(
             F.sum("n").alias("exposure_count"),
-            F.countDistinct("device_hash").alias("unique_devices"),
-            F.countDistinct("asset_id").alias("unique_assets"),
-            F.sum("mp_value").alias("total_impressions"),
-            F.countDistinct("core_date").alias("days_active"),
+            distinct("device").alias("unique_devices"), distinct("asset").alias("unique_assets"),
+            F.sum("mp_value").alias("total_impressions"), distinct("day").alias("days_active"),
             F.min("lat").alias("lat"), F.min("lon").alias("lon"),
-            devices("morning"), devices("afternoon"), devices("evening"),
+            *[F.count(F.when((F.col(p) == 1) & F.col("id").isNotNull(), 1)).alias(f"{p}_devices") for p in parts],
             (F.sum("distance") / F.sum("distances")).alias("avg_distance_m"),
-            F.min("core_date").alias("first_date"), F.max("core_date").alias("last_date"),
+            F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),
         )
         .where(F.col("exposure_count") >= min_rows)
         .orderBy(F.desc("total_impressions"), "c17")
