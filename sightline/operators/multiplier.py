@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.functions.cells import cell_child, cell_parent
 from sightline.functions.scalars import between_dates, div0
-from sightline.functions.timebins import HOUR_S, anchored_bin, hour_bin
+from sightline.functions.timebins import HOUR_S, anchored_bin, hour_bin, utc_date
 
 # Resolution codes, bin widths and the cap of a combined multiplier.
 FINE, COARSE, MARKET = 7, 5, 100
@@ -71,7 +71,7 @@ def base_multiplier(
         seen.withColumn("is_market", F.col("resolution") == MARKET)
         .join(people, ["cell", "is_market"], "left")
         .select(
-            F.to_date(F.timestamp_seconds("bin_start")).alias("core_date"),
+            utc_date(F.col("bin_start")).alias("core_date"),
             *BASE_KEYS,
             F.greatest(F.coalesce(div0(F.col("pop"), F.col("devices")), F.lit(1.0)), F.lit(1.0))
             .cast(STORED)

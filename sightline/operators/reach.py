@@ -192,24 +192,27 @@ def marginal_reach(
     base_exposures: DataFrame, added_exposures: DataFrame, multiplier: DataFrame, market_id=None, owner_id=None,
     start: dt.date | None = None, end: dt.date | None = None,
 ) -> DataFrame:
-    """What a second medium adds: devices and weight it reaches that the first does not."""
-    def scope(df: DataFrame) -> DataFrame:
-        return df.where(equals("market_id", market_id) & between_dates("core_date", start, end))
+    """What a second medium adds: devices and weight it reaches that the first does not.
+
+    Both sides are summed per device before they meet.
+    """
+    def per_device(df: DataFrame) -> DataFrame:
+        rows = df.where(equals("market_id", market_id) & between_dates("core_date", start, end))
+        return (
+            weighted_totals(rows, multiplier, ["device_hash"])
+            .groupBy("device_hash").agg(F.sum("mp_value").alias("mp_value"))
+        )
 
     def reach(df: DataFrame, name: str) -> DataFrame:
-        weight = weighted_totals(df, multiplier, ["market_id"]).agg(F.sum("mp_value"))
-        return df.agg(F.countDistinct("device_hash").alias(f"{name}_devices")).withColumn(
-            f"{name}_weighted_reach", weight.scalar()
+        return df.agg(
+            F.count("device_hash").alias(f"{name}_devices"),
+            F.coalesce(F.sum("mp_value"), F.lit(0.0)).alias(f"{name}_weighted_reach"),
         )
 
-    base = scope(base_exposures)
-    known = base.select("device_hash").where(F.col("device_hash").isNotNull()).distinct()
-    added = scope(added_exposures).where(equals("owner_id", owner_id)).join(known, "device_hash", "left_anti")
-    marginal = reach(added, "marginal")
-    report = reach(base, "base").withColumns({
-        "marginal_devices": marginal.select("marginal_devices").scalar(),
-        "marginal_weighted_reach": F.coalesce(marginal.select("marginal_weighted_reach").scalar(), F.lit(0.0)),
-    })
+    base = per_device(base_exposures)
+    added = per_device(added_exposures.where(equals("owner_id", owner_id) & F.col("device_hash").isNotNull()))
+    marginal = added.join(base.select("device_hash"), "device_hash", "left_anti")
+    report = beside(reach(base, "base"), reach(marginal, "marginal"))
     combined_devices = F.col("base_devices") + F.col("marginal_devices")
     combined_weight = F.col("base_weighted_reach") + F.col("marginal_weighted_reach")
     return report.withColumns({
@@ -268,18 +271,21 @@ def transition_gaps(exposures: DataFrame, min_assets: int = 10) -> DataFrame:
     """Time from one asset to the next different one, over devices that met enough assets.
 
     Equal times are ordered by asset. Equal gaps of a device are counted once, and those
-    counts feed both the totals and the percentiles. Runs a job when called.
+    counts feed both the totals and the percentiles. Devices with too few assets are dropped
+    from the counts, not from the exposures, whose shuffle would gather a busy device.
+    Runs a job when called.
     """
     wide = (
         exposures.groupBy("device_hash").agg(F.countDistinct("asset_id").alias("assets"))
         .where(F.col("assets") >= min_assets).select("device_hash")
     )
-    seen = exposures.select("device_hash", "asset_id", "device_time").join(wide, "device_hash", "left_semi")
+    seen = exposures.select("device_hash", "asset_id", "device_time").where(F.col("device_hash").isNotNull())
     steps = (
         previous_row(seen, ["device_hash"], "device_time", ["asset_id", "device_time"], ["asset_id"])
         .where(F.col("asset_id") != F.col("prev_asset_id"))
         .groupBy("device_hash", (F.col("device_time") - F.col("prev_device_time")).alias("gap_s"))
         .agg(F.count(F.lit(1)).alias("n"))
+        .join(wide, "device_hash", "left_semi")
     )
     steps = kept(steps)
     quartiles = exact_percentiles(steps, [], "gap_s", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, weight="n")

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.functions.scalars import between_dates, device_bin, equals, in_list, info_field, ratio
+from sightline.functions.timebins import utc_clock
 from sightline.operators.multiplier import apply_multiplier
 from sightline.operators.ordering import first_n_by, hash_sample
 from sightline.operators.spatial import distance_ring, spatial_join, within_radius
@@ -144,9 +145,10 @@ def top_converting_frames(
     converted = conversions.select("device_hash").distinct()
     rows = exposures.where(between_dates("core_date", start, end) & equals("market_id", market_id) & equals("owner_id", owner_id))
     return (
-        rows.select("frame_id", "device_hash").join(ring, "frame_id").join(converted, "device_hash", "left_semi")
+        rows.select("frame_id", "device_hash").join(ring, "frame_id").distinct()
+        .join(converted, "device_hash", "left_semi")
         .groupBy("frame_id", "geopath_id", "lat", "lon")
-        .agg(F.countDistinct("device_hash").alias("converted_devices"))
+        .agg(F.count("device_hash").alias("converted_devices"))
         .orderBy(F.desc("converted_devices"), "frame_id").limit(k)
     )
 
@@ -175,10 +177,9 @@ def control_group(
         .select("device_hash").distinct().join(known, "device_hash", "left_anti")
     )
     chosen = first_n_by(candidates, "device_hash", known.agg(F.count(F.lit(1))))
-    moment = F.timestamp_seconds("unix_ts")
     return rows.join(chosen, "device_hash", "left_semi").select(
-        "device_hash", "lat", "lon", "unix_ts", F.date_format(moment, "HH:mm:ss").alias("time_only"),
-        moment.alias("full_timestamp"), "c14",
+        "device_hash", "lat", "lon", "unix_ts", utc_clock(F.col("unix_ts")).alias("time_only"),
+        F.timestamp_seconds("unix_ts").alias("full_timestamp"), "c14",
     )
 
 

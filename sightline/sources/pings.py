@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from sightline.functions.cells import cell, cell_parent
+from sightline.functions.timebins import utc_date
 from sightline.operators.storage import write_partitions
 
 # The raw file layout and the ingested column order.
@@ -58,22 +59,25 @@ def read_raw_pings(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 def index_pings(raw: DataFrame) -> DataFrame:
     """Raw pings with day, timestamp, point and cells, in the ingested column order."""
     finest = cell(F.col("lat"), F.col("lon"), FINEST_ZOOM)
-    moment = F.timestamp_seconds("unix_ts")
     return (
         raw.withColumn("c25", finest)
         .withColumns({f"c{z}": cell_parent(F.col("c25"), z) for z in PARENT_ZOOMS})
-        .withColumns({"timestamp": moment, "core_date": F.to_date(moment), "device_geo": F.struct("lon", "lat")})
+        .withColumns({
+            "timestamp": F.timestamp_seconds("unix_ts"),
+            "core_date": utc_date(F.col("unix_ts")),
+            "device_geo": F.struct("lon", "lat"),
+        })
         .select(*INGESTED_COLUMNS)
     )
 
 
 def ingest_pings(
-    spark: SparkSession, paths: str | Sequence[str], out: str, mode: str = "overwrite", files_per_day: int | None = None
+    spark: SparkSession, paths: str | Sequence[str], out: str, mode: str = "overwrite", files_per_day: int = PARTS_PER_DAY
 ) -> None:
     """Read, index and write gzip parquet by day; overwrite replaces the days read, append adds to them.
 
-    A missing or unreadable file fails the job. Rows are range-partitioned by (day, cell), so
-    a busy day is written by many tasks.
+    A missing or unreadable file fails the job. Each day is spread over ``files_per_day`` files
+    in one pass over the input.
     """
     write_partitions(
         index_pings(read_raw_pings(spark, paths)), out, sort=["c11", "c17"], mode=mode, compression="gzip",

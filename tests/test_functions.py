@@ -132,11 +132,31 @@ def test_div0_rounding_and_draws(spark):
     assert spark.range(1).select(report_round(F.lit(0.1) + F.lit(0.2) + F.lit(4.565), 2)).first()[0] == 4.87
     draws = [r[0] for r in spark.range(2000).select(uniform(F.col("id"), 1, 0)).collect()]
     assert 0 <= min(draws) and max(draws) < 1 and abs(sum(draws) / 2000 - 0.5) < 0.03
-    again = [r[0] for r in spark.range(2000).repartition(7).select("id", uniform(F.col("id"), 1, 0)).orderBy("id").select(F.col("id")).collect()]
-    assert len(again) == 2000
+    again = spark.range(2000).repartition(7).select("id", uniform(F.col("id"), 1, 0).alias("u")).orderBy("id").collect()
+    assert [r.u for r in again] == draws
 
 
 def test_info_field_reads_json_and_struct(spark):
     text = spark.createDataFrame([('{"A": 1.5}',)], "m string")
     struct = spark.createDataFrame([((1.5,),)], "m struct<A: double>")
     assert text.select(info_field(text, "m", "A")).first()[0] == struct.select(info_field(struct, "m", "A")).first()[0] == 1.5
+
+
+def test_days_and_hours_ignore_the_session_time_zone(spark):
+    times = spark.createDataFrame([(1735689599,), (1735689600,), (1751371199,), (1751371200,)], "t long")
+    t = F.col("t")
+    wanted = times.select(
+        timebins.utc_date(t).cast("string"), timebins.utc_clock(t), timebins.summary_hour(t), timebins.local_hour(t),
+        timebins.local_hour(t, "America/Los_Angeles"),
+    )
+    before = wanted.collect()
+    assert tuple(before[0]) == ("2024-12-31", "23:59:59", 1735686000, 23, 15)
+    assert tuple(before[3]) == ("2025-07-01", "12:00:00", 1751371200, 12, 5)
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        assert times.select(*[c for c in (
+            timebins.utc_date(t).cast("string"), timebins.utc_clock(t), timebins.summary_hour(t), timebins.local_hour(t),
+            timebins.local_hour(t, "America/Los_Angeles"),
+        )]).collect() == before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
