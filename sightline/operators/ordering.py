@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sightline.operators.storage import kept
 
-RANGE_SPLITS = 255
+RANGE_SPLITS = 127
 
 
 def first_of_island(

@@ -257,16 +257,16 @@ def _(fx):
     return _dated(_base(fx))
 
 
-def _old_days(base: DataFrame) -> DataFrame:
-    """An older state of the table: every second bin, with a stale multiplier."""
-    return base.where(F.col("bin_start") % 7200 == 0).withColumn("multiplier", F.lit(2).cast(mult.STORED))
+def _stale(run: DataFrame) -> DataFrame:
+    """An older state of the table: the first half of the run's days, with other multipliers."""
+    return run.where(between_dates("core_date", P_START, dt.date(2025, 1, 4))).withColumn("multiplier", F.lit(2).cast(mult.STORED))
 
 
 @query("m2_upsert_base", f"with {_BASE} select {_OUT_BASE} from base")
 def _(fx):
     # The written table starts stale and partial; upserting the whole run makes it equal to the run.
     base, path = _base(fx), storage.new_path(fx.spark, "multi-base")
-    storage.write_partitions(_old_days(base), path)
+    storage.write_partitions(_stale(base), path)
     storage.upsert_partitions(fx.spark, path, base, mult.BASE_KEYS, sort=["resolution", "cell"])
     return _dated(fx.spark.read.parquet(path).select(*base.columns))
 
@@ -279,10 +279,10 @@ def _(fx):
 @query("m4_upsert_multiplier", f"""
     with {_BASE}, {_ROLL}
     select {_OUT_ROLL} from roll
-    union all select cast(core_date + 31 as varchar), cell, bin_start, bin_end, time_bin_1h, 2e0 from roll where bin_start%7200=0""")
+    union all select cast(core_date + 31 as varchar), cell, bin_start, bin_end, time_bin_1h, 2e0 from roll where core_date <= date '2025-01-04'""")
 def _(fx):
     new = mult.rollup_multiplier(_base(fx), fx.cell_market, P_START, P_END)
-    stale = _old_days(new)
+    stale = _stale(new)
     # Rows of the run are replaced or added, the other month's rows stay.
     target = stale.unionByName(stale.withColumn("core_date", F.date_add("core_date", 31)))
     return _dated(storage.upsert(target, new, mult.MULTIPLIER_KEYS))

@@ -87,10 +87,10 @@ VIEWS = {
               from @lineitem l join @orders o on o.o_orderkey=l.l_orderkey) q""",
     "fx_multiplier": """
         select core_date, time_bin_1h, c14, c14 as cell, 1e0+(count(*)*7)%13 as multiplier
-        from @fx_exposures where time_bin_1h%3<>0 group by core_date, time_bin_1h, c14""",
+        from @fx_exposures where viewability <> 'DECAYED' group by core_date, time_bin_1h, c14""",
     "fx_multiplier_b": """
         select core_date, time_bin_1h, c14, c14 as cell, 1e0+(count(*)*11)%17 as multiplier
-        from @fx_exposures where time_bin_1h%4<>0 group by core_date, time_bin_1h, c14""",
+        from @fx_exposures where viewability <> 'CHANCE_TO_SEE' group by core_date, time_bin_1h, c14""",
     "fx_affinities": """
         select distinct cast(o_custkey as string) as device_hash, lower(substring(o_orderpriority,3)) as audience_attribute from @orders""",
     "fx_paths": """
@@ -145,7 +145,7 @@ VIEWS = {
                cast(c_nationkey%3 as bigint) as owner_id, count(*) as uniques_ots, count(*)*3 as uniques_gross,
                count(*)*1700 as impressions_ots, count(*)*4100 as impressions_gross, count(*)%7 as frequency_ots, count(*)%11 as frequency_gross
         from @customer group by c_nationkey, c_mktsegment""",
-    "fx_flights": "select adgroup_id as flightid, concat('flight ', cast(min(adgroup_id) as string)) as flightref from @fx_ufi where adgroup_id%10<4 group by adgroup_id",
+    "fx_flights": "select adgroup_id as flightid, concat('flight ', cast(min(adgroup_id) as string)) as flightref from @fx_ufi where uniques_ots >= 10 group by adgroup_id",
     "fx_weights": "select l_suppkey as call_id, l_partkey as cell from @lineitem",
     "fx_run_log": """
         select s_suppkey as call_id, case when s_nationkey%4=0 then 'START' else 'EXIT' end as call_state,
