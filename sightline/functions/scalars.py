@@ -61,6 +61,13 @@ def info_field(df: DataFrame, column: str, key: str, as_type: str = "double") ->
     return F.col(column).getField(key).cast(as_type)
 
 
+def with_point(df: DataFrame) -> DataFrame:
+    """``lat`` and ``lon`` as columns, taken from a ``device_geog`` struct where the table has that."""
+    if "lat" in df.columns or "device_geog" not in df.columns:
+        return df
+    return df.withColumns({"lat": F.col("device_geog.lat"), "lon": F.col("device_geog.lon")})
+
+
 def uniform(row_id: Column, step: int | str, seed: int) -> Column:
     """A draw from [0, 1) fixed by the row, the step and the seed.
 

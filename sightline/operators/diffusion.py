@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sightline.functions.cells import cell, cell_child, cell_lat, cell_lon, child_count, grid_disk
 from sightline.functions.scalars import between_dates, equals, in_list, ratio, uniform
 from sightline.operators.ordering import join_null_safe
-from sightline.operators.storage import kept
+from sightline.operators.storage import kept, sized
 
 REGION = ["market_id", "c14"]
 SOURCE = [*REGION, "src"]
@@ -34,7 +34,7 @@ def stage_region(
     if ingest_date is not None:
         rows = rows.where(F.to_date("ingestion_time") == F.lit(ingest_date))
     if isinstance(cells, DataFrame):
-        rows = rows.join(cells.select("c14").distinct(), "c14", "left_semi")
+        rows = rows.join(sized(cells.select("c14").distinct()), "c14", "left_semi")
     else:
         rows = rows.where(in_list("c14", cells))
     return rows.withColumn("src", cell(F.col("lat"), F.col("lon"), FINE_ZOOM)).withColumn(

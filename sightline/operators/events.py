@@ -10,12 +10,14 @@ from sightline.functions.scalars import between_dates
 from sightline.functions.timebins import event_window, relative_day, summary_hour
 from sightline.operators.multiplier import weighted_totals
 from sightline.operators.spatial import within_radius
+from sightline.operators.storage import sized
 
 SEEN = ("LIKELY_TO_SEE", "OPPORTUNITY_TO_SEE")
 
 
 def venue_frames(frames: DataFrame, lat: float, lon: float, radius_m: float = 8000) -> DataFrame:
-    return within_radius(frames, "site_lat", "site_lon", lat, lon, radius_m).select("frame_id").distinct()
+    """Ids of the frames near a venue, broadcast if they fit."""
+    return sized(within_radius(frames, "site_lat", "site_lon", lat, lon, radius_m).select("frame_id").distinct())
 
 
 def event_frame_count(

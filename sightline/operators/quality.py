@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sightline.functions.scalars import between_dates, div0, in_list, info_field
+from sightline.functions.scalars import between_dates, div0, in_list, info_field, with_point
 from sightline.operators.ordering import beside, exact_percentiles, hash_sample, join_null_safe
 
 SEVEN_POINTS = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -57,7 +57,7 @@ def totals_compare(
 ) -> DataFrame:
     """Rows and distinct (device, point) per day of both sources, and their ratio a / b."""
     def totals(df: DataFrame) -> DataFrame:
-        return df.where(between_dates("core_date", start, end)).groupBy("core_date").agg(
+        return with_point(df).where(between_dates("core_date", start, end)).groupBy("core_date").agg(
             F.count(F.lit(1)).cast("double").alias("total_matches"),
             F.countDistinct("device_hash", "lat", "lon").cast("double").alias("distinct_devices"),
         )

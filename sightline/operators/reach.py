@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.functions.scalars import (
-    METERS_TO_MILES, between_dates, equals, in_list, info_field, pct, ratio, sum_if,
+    METERS_TO_MILES, between_dates, equals, in_list, info_field, pct, ratio, sum_if, with_point,
 )
 from sightline.functions.timebins import daypart, local_hour
 from sightline.operators.multiplier import apply_multiplier, weighted_totals
@@ -231,7 +231,7 @@ def exposure_table(
 ) -> DataFrame:
     """Weighted exposures with the match details as numbers; the input of the reports below."""
     rows = _scope(exposures, owner_id, start, end).where(in_list("viewability", viewability))
-    return apply_multiplier(rows, multiplier).select(
+    return apply_multiplier(with_point(rows), multiplier).select(
         "core_date", "path_id", "market_id", "asset_id", "device_hash", "device_time", "time_bin_1h",
         info_field(exposures, "match_info", "MATCH_DISTANCE_METER").alias("match_distance_meter"),
         info_field(exposures, "match_info", "PATH_LENGTH_METER").alias("path_length_meter"),
@@ -308,7 +308,7 @@ def cell_density(exposures: DataFrame, market_id=None, min_rows: int = 10) -> Da
 
     Each exposure becomes one row for its device, one for its asset and one for its day; those
     collapse map-side to one row per (cell, kind, id), and counting them gives every distinct
-    count in one pass. The sums ride on the device rows.
+    count in one pass. The sums ride on the device rows. The point shown is the southernmost.
     """
     part = daypart(local_hour(F.col("device_time")), morning_from=6, afternoon_from=12)
     parts = ("morning", "afternoon", "evening")
@@ -330,7 +330,7 @@ def cell_density(exposures: DataFrame, market_id=None, min_rows: int = 10) -> Da
         .agg(
             F.count(own(F.lit(1))).alias("n"), F.sum(own("mp_value")).alias("mp_value"),
             F.sum(own("match_distance_meter")).alias("distance"), F.count(own("match_distance_meter")).alias("distances"),
-            F.min("lat").alias("lat"), F.min("lon").alias("lon"),
+            F.min("lat").alias("lat"), F.min_by("lon", "lat").alias("lon"),
             F.min("core_date").alias("first_date"), F.max("core_date").alias("last_date"),
             *[F.max(own((F.col("part") == p).cast("int"))).alias(p) for p in parts],
         )
@@ -345,7 +345,7 @@ def cell_density(exposures: DataFrame, market_id=None, min_rows: int = 10) -> Da
             F.sum("n").alias("exposure_count"),
             distinct("device").alias("unique_devices"), distinct("asset").alias("unique_assets"),
             F.sum("mp_value").alias("total_impressions"), distinct("day").alias("days_active"),
-            F.min("lat").alias("lat"), F.min("lon").alias("lon"),
+            F.min("lat").alias("lat"), F.min_by("lon", "lat").alias("lon"),
             *[F.count(F.when((F.col(p) == 1) & F.col("id").isNotNull(), 1)).alias(f"{p}_devices") for p in parts],
             (F.sum("distance") / F.sum("distances")).alias("avg_distance_m"),
             F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),

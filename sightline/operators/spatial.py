@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.functions.cells import METERS_PER_DEGREE, cell, cover, zoom_for_radius
 from sightline.functions.geodesy import distance_m, valid_coords
+from sightline.operators.storage import sized
 
 
 def within_radius(df: DataFrame, lat: str, lon: str, at_lat: float, at_lon: float, radius_m: float) -> DataFrame:
@@ -37,11 +38,13 @@ def spatial_join(
     """All pairs of a left and a right point at most ``radius_m`` apart, with ``distance_m``.
 
     The right points (the smaller side) are copied to the cells their circle may touch,
-    then joined on the cell; the exact distance settles the rest. Skewed cells are split
-    by adaptive execution, as it is a plain inner equi join.
+    then joined on the cell; the exact distance settles the rest. Copies that fit are
+    broadcast; beyond that, skewed cells are split by adaptive execution, as it is a plain
+    inner equi join.
     """
     zoom = zoom_for_radius(radius_m)
     spread = right.withColumn("_cell", F.explode(cover(F.col(right_at[0]), F.col(right_at[1]), radius_m, zoom)))
+    spread = sized(spread)
     placed = left.withColumn("_cell", cell(F.col(left_at[0]), F.col(left_at[1]), zoom))
     gap: Column = distance_m(placed[left_at[0]], placed[left_at[1]], spread[right_at[0]], spread[right_at[1]])
     return (

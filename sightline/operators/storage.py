@@ -9,6 +9,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+# Rows a side may have to be broadcast: some 50 MB of narrow rows.
+BROADCAST_ROWS = 500_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
@@ -35,6 +39,20 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a dimension-sized table has at most ``max_rows`` rows, counted by a job of its own."""
+    return df.count() <= max_rows
+
+
+def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it fits, else unmarked and joined as Spark decides.
+
+    Spark estimates sizes before the filters and explosions that make such a side small, and a
+    join it first plans as a shuffle moves the large side even if the small one turns out tiny.
+    """
+    return F.broadcast(df) if fits(df, max_rows) else df
+
+
 def save_table(df: DataFrame, path: str) -> DataFrame:
     """Write a result as parquet and read it back, as a stage of a longer study."""
     df.write.mode("overwrite").parquet(path)

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sightline.functions.scalars import between_dates, device_bin, equals, in_list, info_field, ratio
+from sightline.functions.scalars import between_dates, device_bin, equals, in_list, info_field, ratio, with_point
 from sightline.functions.timebins import utc_clock
 from sightline.operators.multiplier import apply_multiplier
 from sightline.operators.ordering import first_n_by, hash_sample
 from sightline.operators.spatial import distance_ring, spatial_join, within_radius
+from sightline.operators.storage import sized
 
 MILE_M = 1609.34
 
@@ -27,7 +28,7 @@ def exposures_for_frames(
     """Weighted exposures of the chosen frames: a list, a DataFrame of frame_id, or all."""
     rows = exposures.where(between_dates("core_date", start, end))
     if isinstance(frame_ids, DataFrame):
-        rows = rows.join(frame_ids.select("frame_id").distinct(), "frame_id", "left_semi")
+        rows = rows.join(sized(frame_ids.select("frame_id").distinct()), "frame_id", "left_semi")
     else:
         rows = rows.where(in_list("frame_id", frame_ids))
     return apply_multiplier(rows, multiplier).withColumn("device_hash_bin", device_bin(F.col("device_hash")))
@@ -35,7 +36,7 @@ def exposures_for_frames(
 
 def _facing(exposures: DataFrame, frame_id, max_angle: float) -> DataFrame:
     angle = info_field(exposures, "match_info", "MATCH_ANGLE_DEGREE")
-    return exposures.where(
+    return with_point(exposures).where(
         equals("frame_id", frame_id) & (F.col("viewability") != "DECAYED") & (angle < max_angle) & (angle > -max_angle)
     ).select("frame_id", "device_hash", "lon", "lat", "viewability")
 
@@ -145,7 +146,7 @@ def top_converting_frames(
     converted = conversions.select("device_hash").distinct()
     rows = exposures.where(between_dates("core_date", start, end) & equals("market_id", market_id) & equals("owner_id", owner_id))
     return (
-        rows.select("frame_id", "device_hash").join(ring, "frame_id").distinct()
+        rows.select("frame_id", "device_hash").join(sized(ring), "frame_id").distinct()
         .join(converted, "device_hash", "left_semi")
         .groupBy("frame_id", "geopath_id", "lat", "lon")
         .agg(F.count("device_hash").alias("converted_devices"))
@@ -246,7 +247,7 @@ def lookup_rows(table: DataFrame, column: str, ids: Sequence | DataFrame) -> Dat
     """Rows whose ``column`` is in a list or in a one-column DataFrame."""
     if isinstance(ids, DataFrame):
         wanted = ids.select(F.col(ids.columns[0]).alias(column)).distinct()
-        return table.join(wanted, column, "left_semi").select(*table.columns)
+        return table.join(sized(wanted), column, "left_semi").select(*table.columns)
     return table.where(F.col(column).isin(list(ids)))
 
 

@@ -192,7 +192,7 @@ def _daypart_devices(name: str, first: int, last: int) -> str:
 @query("r14_cell_density", f"""
     with {_ET}
     select c17, count(*) as exposure_count, count(distinct device_hash) as unique_devices, count(distinct asset_id) as unique_assets,
-           round(sum(mp_value),4) as total_impressions, count(distinct core_date) as days_active, round(min(lat),4) as lat, round(min(lon),4) as lon,
+           round(sum(mp_value),4) as total_impressions, count(distinct core_date) as days_active, round(min(lat),4) as lat, round(arg_min(lon,lat),4) as lon,
            {_daypart_devices('morning', 6, 11)}, {_daypart_devices('afternoon', 12, 17)}, {_daypart_devices('evening', 18, 23)},
            round(avg(match_distance_meter),4) as avg_distance_m, cast(min(core_date) as varchar) as first_date, cast(max(core_date) as varchar) as last_date
     from et where c17 is not null group by c17 having count(*) >= 10""")
@@ -228,7 +228,7 @@ def _(fx):
 
 @query("r17_affinity_heatmap", f"""
     with {_ET}
-    select audience_attribute as affinity, c17, round(min(lon),4) as lon, round(min(lat),4) as lat, count(distinct et.device_hash) as unique_devices,
+    select audience_attribute as affinity, c17, round(arg_min(lon,lat),4) as lon, round(min(lat),4) as lat, count(distinct et.device_hash) as unique_devices,
            round(sum(mp_value),4) as total_impressions, {two('avg(mp_value)')} as avg_per_exposure
     from et join fx_affinities f on f.device_hash=et.device_hash where c17 is not null group by all having count(distinct et.device_hash) >= 5""")
 def _(fx):

@@ -7,7 +7,8 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from sightline.operators import affinity, diffusion, matching, multiplier, quality, reach, storage, studies
+from sightline.functions.cells import cell
+from sightline.operators import affinity, diffusion, events, matching, multiplier, quality, reach, storage, studies
 from sightline.sources import pings as ping_source
 
 DAY = dt.date(2025, 1, 2)
@@ -145,8 +146,6 @@ def frame_tables(spark, **changes):
 
 
 def ping_table(spark, rows):
-    from sightline.functions.cells import cell
-
     df = spark.createDataFrame(rows, "device_hash string, unix_ts long, lat double, lon double")
     return df.withColumns({
         "core_date": F.to_date(F.timestamp_seconds("unix_ts")), "device_ip": F.lit("ip"), "device_os": F.lit("os"),
@@ -166,6 +165,17 @@ def test_match_keeps_the_facing_half_and_the_radius(spark):
     assert matching.stage1(frames, meta, sites, pings, DAY, DAY, market_ids=[5]).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 2])
+def test_match_is_the_same_when_nothing_fits_a_broadcast(spark, monkeypatch, limit):
+    frames, meta, sites = frame_tables(spark)
+    pings = ping_table(spark, [(f"d{i % 7}", T0 + i * 500, LAT + (i % 9 - 4) * 3e-4, LON + (i % 5 - 2) * 3e-4) for i in range(150)])
+    columns = ["device_hash", "device_time", "frame_id"]
+    broadcast = sorted(map(tuple, matching.stage1(frames, meta, sites, pings, DAY, DAY).select(*columns).collect()))
+    monkeypatch.setattr(matching, "fits", lambda df: df.count() <= limit)
+    monkeypatch.setattr(matching, "sized", lambda df, rows: df)
+    assert broadcast and broadcast == sorted(map(tuple, matching.stage1(frames, meta, sites, pings, DAY, DAY).select(*columns).collect()))
+
+
 def test_radius_floor_and_missing_process(spark):
     frames, meta, _ = frame_tables(spark, process_id=99, frame_width=30.0)
     got = {r.frame_id: r.match_radius for r in matching.frame_proximity(frames, meta).collect()}
@@ -238,6 +248,28 @@ def test_stage_tables_round_trip(spark, tmp_path):
     assert spark.read.parquet(second).count() == 3
 
 
+def test_pings_to_reports(spark):
+    """The stages chain: matching and multiplier output feed the reports as they are."""
+    frames, meta, sites = frame_tables(spark)
+    rows = [(f"d{i}", T0 + i * 600, LAT + (0.0004 if i % 2 else -0.0004), LON) for i in range(12)]
+    pings = ping_table(spark, rows).withColumns({"c11": cell(F.col("lat"), F.col("lon"), 11), "dma_code": F.lit(1).cast("long")})
+    _, _, dma, info = multiplier_inputs(spark)
+    pop = pings.select(F.col("c14").alias("cell"), F.lit(120).cast("long").alias("pop")).distinct()
+    base = multiplier.base_multiplier(pings, pop, dma, info, DAY, DAY)
+    mult = multiplier.rollup_multiplier(base, spark.createDataFrame([], "cell long, market_id long"), DAY, DAY).withColumnRenamed("cell", "c14")
+    plays = spark.createDataFrame([(1, 2, 5, T0, T0 + 7200, DAY, DAY)], "site_id long, frame_id long, creative_id long, start_epoch long, end_epoch long, start_date date, end_date date")
+    exposures = matching.stage2(matching.stage1(frames, meta, sites, pings, DAY, DAY), plays, DAY, DAY)
+    assert exposures.count() == 12
+    report = events.event_weighted_hourly(exposures, frames, mult, DAY, LAT, LON)
+    # Six devices an hour over two hours; 120 people / 6 devices = 20, averaged with the coarse level's 1.
+    assert report.agg(F.sum("freq_gross")).first()[0] == 12.0
+    assert {round(r.weight_gross / r.freq_gross, 6) for r in report.collect()} == {10.5}
+    likes = spark.createDataFrame([("d0", "x"), ("d1", "x")], "device_hash string, audience_attribute string")
+    assert studies.exposure_affinity_points(exposures, likes).count() == 2
+    assert quality.totals_compare(exposures, exposures).where("source = 'ratio'").first().total_matches == 1.0
+    assert quality.null_creative_groups(exposures).first().n == 6
+
+
 # ---- diffusion
 
 def diffusion_tables(spark, copies=400):
@@ -274,10 +306,10 @@ def test_diffusion_without_baseline_stays(spark):
 
 def test_stage_region_filters(spark):
     pings = diffusion_tables(spark, 3).withColumns({"dma_code": F.lit(803), "provider": F.lit("a"), "ingestion_time": F.lit("2025-01-05 10:00:00").cast("timestamp")})
-    cell = pings.first().c14
+    c14 = pings.first().c14
     keep = dict(day=DAY, dma_code=803, provider="a", ingest_date=dt.date(2025, 1, 5))
-    some = diffusion.stage_region(pings, cells=[cell], **keep).count()
-    assert some == diffusion.stage_region(pings, cells=pings.where(F.col("c14") == cell), **keep).count() > 0
+    some = diffusion.stage_region(pings, cells=[c14], **keep).count()
+    assert some == diffusion.stage_region(pings, cells=pings.where(F.col("c14") == c14), **keep).count() > 0
     for change in (dict(day=dt.date(2025, 1, 9)), dict(dma_code=1), dict(provider="b"), dict(ingest_date=DAY)):
         assert diffusion.stage_region(pings, **{**keep, **change}).count() == 0
 
