@@ -21,11 +21,11 @@ _COVER = f"""
     widest as (select s.site_id, s.site_lat, s.site_lon, max(match_radius) as max_radius from fx_sites s join prox p on p.site_id=s.site_id group by all),
     cells as ({cover_rows('widest', '1.2e0*max_radius', 17, 'site_lat', 'site_lon')})"""
 _MATCH = f"""
-    pair as (select p.ping_id, p.core_date, p.device_hash, p.unix_ts as device_time, p.lat, p.lon, p.c14, p.c17, s.site_id,
+    pair as (select p.ping_id, p.core_date, p.device_hash, p.device_ip, p.device_os, p.unix_ts as device_time, p.lat, p.lon, p.c14, p.c17, s.site_id,
                     {hav('site_lat', 'site_lon', 'lat', 'lon')} as d, {bearing('site_lat', 'site_lon', 'lat', 'lon')} as az
              from fx_pings p, fx_sites s where {hav('site_lat', 'site_lon', 'lat', 'lon')} <= 2000),
     matches as (select * from (
-             select x.core_date, x.device_hash, x.device_time, x.lat, x.lon, x.c14, x.c17, x.d, x.az,
+             select x.core_date, x.device_hash, x.device_ip, x.device_os, x.device_time, x.lat, x.lon, x.c14, x.c17, x.d, x.az,
                     {angle_between('x.az', 'f.exposition_angle')} as diff, f.owner_id, f.site_id, f.frame_id, f.frame_type, f.market_id,
                     f.match_radius, f.exposition_angle, f.exposition_width
              from pair x join prox f on f.site_id=x.site_id where x.d <= f.match_radius) q
@@ -38,7 +38,7 @@ _STATIC = """
         union all select * from matches where frame_type <> 'STATIC')"""
 _SIGHT_OUT = """cast(core_date as varchar) as core_date, owner_id, site_id, frame_id, frame_type, market_id, device_hash, device_time,
     round(d,4) as match_distance_meter, round(diff,4) as match_angle_degree, round(az,4) as absolute_angle_degree,
-    round(match_radius,4) as match_radius, c14, c17"""
+    round(match_radius,4) as match_radius, c14, c17, device_ip, device_os, round(lat,4) as device_lat, round(lon,4) as device_lon"""
 
 
 def _proximity(fx) -> DataFrame:
@@ -54,7 +54,8 @@ def _sight_out(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
         F.col("core_date").cast("string").alias("core_date"), "owner_id", "site_id", "frame_id", "frame_type", "market_id",
         "device_hash", "device_time", "match_distance_meter", "match_angle_degree", "absolute_angle_degree",
-        F.col("match_info.FRAME_MATCH_RADIUS").alias("match_radius"), "c14", "c17", *more,
+        F.col("match_info.FRAME_MATCH_RADIUS").alias("match_radius"), "c14", "c17", "device_ip", "device_os",
+        F.col("device_geog.lat").alias("device_lat"), F.col("device_geog.lon").alias("device_lon"), *more,
     )
 
 
