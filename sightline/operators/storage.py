@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -14,15 +13,14 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder.
-
-    Only a local session that has neither may fall back to a folder of its own.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint
+    folder, else one inside the session's warehouse.
     """
     context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if context.getCheckpointDir() is None:
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sightline-"))
+        context.setCheckpointDir(folder)
     return (folder or context.getCheckpointDir()).rstrip("/")
 
 
