@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.llm import exact_dedup, secrets
+from sightline.llm import bpe, exact_dedup, packing, secret_scan
 from sightline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,16 @@ def _query(sql: str | None = None):
     return register
 
 
+@_query()
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @_query("""
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
            doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -34,13 +44,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
     def count(kind: str):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     return found.select(
-        "doc_id", *[count(kind) for kind, *_ in secrets.BASE_RULES],
-        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
-        secrets.listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        "doc_id", *[count(kind) for kind, *_ in secret_scan.BASE_RULES],
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
