@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.llm import bpe, exact_dedup, packing, secret_scan
+from sightline.llm import bpe, exact_dedup, packing, secret_scan, warc
 from sightline.llm.common import table
+from sightline.operators import storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +34,23 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@_query("""
+    WITH sized AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+                   FROM pages),
+         firsts AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS least
+                    FROM sized)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN least < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN least < page_id THEN least END AS refers_to
+    FROM firsts
+""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = storage.new_path(spark, "warc")
+    index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    records = warc.read_records(index, folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_query("""
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
            doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
