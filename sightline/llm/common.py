@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sightline.operators import storage
 
@@ -19,3 +19,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def narrowed(df: DataFrame, **named: str) -> DataFrame:
     """Only the named columns under the operator's own names, so that extra columns cannot clash."""
     return df.select(*[F.col(f"`{source}`").alias(own) for own, source in named.items()])
+
+
+def fold(id_col: str, folds: int) -> Column:
+    """Remainder of the CRC-32 of the identifier's text."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.llm import bpe, exact_dedup, langid, packing, secret_scan, warc
-from sightline.llm.common import table
+from sightline.llm import bpe, exact_dedup, langid, packing, secret_scan, toxicity, warc
+from sightline.llm.common import fold, table
 from sightline.operators import storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,10 +60,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@_query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold("doc_id", 5) == 0
+    found = toxicity.scored(docs, toxicity.teach(docs, labels.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @_query()
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = langid.fold("doc_id", 4) == 2
+    held_out = fold("doc_id", 4) == 2
     found = langid.identified(docs, langid.teach(docs.where(~held_out)))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 

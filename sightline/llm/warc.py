@@ -1,31 +1,30 @@
 """WARC archives written and read through an index.
 
-The index comes first: the length of every record is known before it is written, so archives and
-offsets are laid out from lengths alone, and the index (archive, offset, length, URL, digest) is a table.
-The archives are then written by Spark in that layout, one file per archive and nothing between
-records. To read, the wanted index rows are sorted by place and neighbouring byte ranges
-are merged into few large reads.
+Writing leaves an index: archive, offset, length, URL and digest of every record. Nothing reads an archive
+from its start; the wanted index rows are sorted by place, and neighbouring byte ranges are merged into
+few large reads. Payloads move at most once, to meet the list of those that revisit another.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.llm.common import narrowed
 from sightline.operators import storage
 
-# Payload bytes an archive holds on average; payloads shorter than MIN_REVISIT are always stored.
-ARCHIVE_BYTES, MIN_REVISIT = 32 << 20, 100
+# Bytes after which a task begins another archive; payloads shorter than MIN_REVISIT are always stored; gzip level.
+ARCHIVE_BYTES, MIN_REVISIT, LEVEL = 256 << 20, 100, 5
 # Ranges closer than GAP bytes are read at once, up to READ bytes at a time.
 GAP, READ = 64 << 10, 4 << 20
 
 CRLF = "\r\n"
-# The blank lines that end a record are the separator of the text writer.
-RECORD_END = CRLF * 2
+RECORD_END = b"\r\n\r\n"
 
 
 def _uri(page_id: Column) -> Column:
@@ -59,70 +58,77 @@ def _header(target: Column) -> Column:
     )
 
 
-def layout(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    archive_bytes: int = ARCHIVE_BYTES, min_revisit: int = MIN_REVISIT,
-) -> DataFrame:
-    """The index: one row per page, ``page_id, url, payload_bytes, payload_digest, record_type, refers_to,
-    archive, offset, length``.
+def _revisits(rows: DataFrame, min_revisit: int) -> DataFrame:
+    """(page_id, payload_digest, refers_to) of the pages whose payload another page stores. No payload is moved."""
+    long = rows.where(F.col("payload_bytes") >= min_revisit).select("page_id", "payload_digest")
+    stored = long.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last"))
+    again = long.join(stored.where("refers_to < _last").drop("_last"), "payload_digest").where("refers_to < page_id")
+    return again.dropDuplicates(["page_id", "payload_digest"])
 
-    Of equal payloads (by SHA-256) with at least ``min_revisit`` bytes the one with the smallest identifier is stored, the
-    others revisit it. A null payload is empty; line breaks in a URL become spaces; a repeated row is a record
-    of its own. Payloads are read but not moved. Runs a job when called, to count bytes.
-    """
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = narrowed(pages, page_id=id_col, url=url_col, html=html_col).select(
-        F.col("page_id").cast("bigint").alias("page_id"), F.regexp_replace("url", "[\\x00-\\x20]+", " ").alias("url"),
-        F.octet_length(payload).cast("bigint").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"),
-    )
-    total = rows.agg(F.sum("payload_bytes"), F.count(F.lit(1))).first()
-    archives = max(1, -(-((total[0] or 0) + 400 * total[1]) // archive_bytes))
-    stored = rows.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(
-        F.min("page_id").alias("_kept"), F.count(F.lit(1)).alias("_n")
-    ).where("_n > 1").drop("_n")
-    again = (F.col("payload_bytes") >= min_revisit) & (F.col("_kept") < F.col("page_id"))
-    placed = (
-        rows.join(stored, "payload_digest", "left")
-        .withColumn("refers_to", F.when(again, F.col("_kept")))
-        .withColumn("record_type", F.when(again, "revisit").otherwise("response"))
-        .withColumn("archive", F.pmod(F.xxhash64("page_id"), F.lit(archives)).cast("int"))
-        .withColumn("_content", F.when(again, F.lit(0)).otherwise(F.col("payload_bytes")))
-        .withColumn("length", F.octet_length(_header(F.col("url"))) + F.col("_content") + len(RECORD_END))
-    )
-    before = Window.partitionBy("archive").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(
-        "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive",
-        F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length",
-    )
+
+_INDEX = (
+    "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, "
+    "archive string, offset bigint, length bigint"
+)
 
 
 def write_archives(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
     archive_bytes: int = ARCHIVE_BYTES, min_revisit: int = MIN_REVISIT,
 ) -> DataFrame:
-    """Write ``folder/index`` (Parquet), then ``folder/archives``, and return the index.
-
-    Archives are plain WARC 1.1, one file in ``archive=<n>``. They are written by Spark's writer, whose commit lets a lost
-    executor's task run again. An empty table writes an index without rows and no archive.
+    """Write a record per page to archives in ``folder`` and return the index, one row per record:
+    ``page_id, url, payload_bytes, payload_digest, record_type, refers_to, archive, offset, length``.
+
+    Archives are ``.warc.gz``, each record a gzip member of its own. Of equal payloads (by SHA-256) with at least
+    ``min_revisit`` bytes the one with the smallest identifier is stored, the others revisit it. A null payload
+    is empty, control characters and spaces in a URL become one space, a repeated row is a record of its own.
+    A task writes archives under fresh names and the index names only those of attempts that Spark committed, so a lost
+    executor costs its tasks and leaves files that nothing refers to. An empty table gives an empty index.
     """
-    spark = pages.sparkSession
-    index = storage.save_table(
-        layout(pages, id_col, url_col, html_col, archive_bytes, min_revisit), f"{folder}/index"
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = narrowed(pages, page_id=id_col, url=url_col, html=html_col).select(
+        F.col("page_id").cast("bigint").alias("page_id"), F.regexp_replace("url", "[\\x00-\\x20]+", " ").alias("url"), "html",
+        F.octet_length(payload).cast("bigint").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"),
     )
-    html = narrowed(pages, page_id=id_col, html=html_col).select(
-        F.col("page_id").cast("bigint").alias("page_id"), "html",
-        F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256).alias("payload_digest"),
-    ).dropDuplicates(["page_id", "payload_digest"])
-    body = F.when(F.col("refers_to").isNull(), F.coalesce("html", F.lit(""))).otherwise(F.lit(""))
-    n = index.agg(F.max("archive")).first()[0]
     records = (
-        index.join(html, ["page_id", "payload_digest"])
-        .withColumn("value", F.concat(_header(F.col("url")), body))
-        .select("archive", "offset", "value")
-        .repartition((n or 0) + 1, "archive").sortWithinPartitions("archive", "offset")
+        rows.join(_revisits(rows, min_revisit), ["page_id", "payload_digest"], "left")
+        .withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+        .withColumn("content", F.when(F.col("refers_to").isNull(), payload))
+        .withColumn("header", _header(F.col("url")))
+        .select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "header", "content")
     )
-    records.select("archive", "value").write.partitionBy("archive").option("lineSep", RECORD_END).text(f"{folder}/archives")
-    return spark.read.schema(index.schema).parquet(f"{folder}/index")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        out, name, size = None, "", 0
+        try:
+            for batch in batches:
+                names, offsets, lengths = [], [], []
+                for header, content in zip(batch.column("header").to_pylist(), batch.column("content").to_pylist()):
+                    if out is None or size >= archive_bytes:
+                        if out is not None:
+                            out.close()
+                        name, size = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(f"{root}/{name}", compression=None)
+                    member = gzip.compress(header.encode() + (content or b"") + RECORD_END, LEVEL, mtime=0)
+                    out.write(member)
+                    names.append(name)
+                    offsets.append(size)
+                    lengths.append(len(member))
+                    size += len(member)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:6], pa.array(names, pa.string()), pa.array(offsets, pa.int64()),
+                     pa.array(lengths, pa.int64())],
+                    names=[c.split()[0] for c in _INDEX.split(", ")],
+                )
+        finally:
+            if out is not None:
+                out.close()
+
+    return storage.save_table(records.mapInArrow(run, _INDEX), f"{folder}/index")
 
 
 _RECORD = "page_id bigint, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, url string"
@@ -150,7 +156,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
         raise ValueError("not a WARC record")
     fields = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in lines[1:])}
     n = int(fields["content-length"])
-    if rest[n:] != RECORD_END.encode():
+    if rest[n:] != RECORD_END:
         raise ValueError("a record's length differs from its index")
     return fields, rest[:n]
 
@@ -165,7 +171,7 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(f"{folder}/archives")
+        store, root = fs.FileSystem.from_uri(folder)
         opened, at = None, None
         for batch in batches:
             archives, offsets, lengths = (batch.column(i).to_pylist() for i in range(3))
@@ -176,14 +182,12 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
                     end += 1
                 if at != archives[begin]:
                     at = archives[begin]
-                    files = store.get_file_info(fs.FileSelector(f"{root}/archive={at}"))
-                    name, = [f.path for f in files if f.base_name.startswith("part-")]
-                    opened = store.open_input_file(name)
+                    opened = store.open_input_file(f"{root}/{at}")
                 places = list(zip(offsets[begin:end], lengths[begin:end]))
                 for start, size, i, j in merged_ranges(places):
                     block, rows = opened.read_at(size, start), []
                     for offset, length in places[i:j]:
-                        fields, content = parse_record(block[offset - start:offset - start + length])
+                        fields, content = parse_record(gzip.decompress(block[offset - start:offset - start + length]))
                         digest = fields["warc-payload-digest"].partition(":")[2]
                         stored = fields["warc-type"] == "response"
                         if stored and hashlib.sha256(content).hexdigest() != digest:
