@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.llm import bpe, exact_dedup, langid, packing, secret_scan, toxicity, warc
+from sightline.llm import ann, bpe, exact_dedup, langid, packing, secret_scan, toxicity, warc
 from sightline.llm.common import fold, table
 from sightline.operators import storage
 
@@ -24,6 +24,12 @@ def _query(sql: str | None = None):
     return register
 
 
+@_query()
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 @_query()
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"))

@@ -24,8 +24,8 @@ TRAIN_DOCS, BUCKET_BITS, FACTORS = 20_000, 18, 4
 PREFIXES = (4, 5, 6)
 # A bucket is learnt if this many sampled documents have it, and if its share of toxic ones differs from
 # all documents' by this many standard errors.
-MIN_DOCS, MIN_Z = 4, 3.0
-EPOCHS, BATCH, RATE, DECAY = 30, 128, 0.02, 3e-4
+MIN_DOCS, MIN_Z = 4, 4.0
+EPOCHS, BATCH, RATE, DECAY = 30, 128, 0.02, 1e-4
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
