@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.llm import ann, bpe, exact_dedup, langid, packing, secret_scan, toxicity, warc
+from sightline.llm import ann, bpe, exact_dedup, langid, minhash, packing, secret_scan, toxicity, warc
 from sightline.llm.common import fold, table
 from sightline.operators import storage
 
@@ -35,6 +35,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 @_query()
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
