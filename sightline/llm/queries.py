@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.llm import ann, bpe, exact_dedup, langid, minhash, packing, secret_scan, toxicity, warc
+from sightline.llm import ann, bpe, exact_dedup, langid, minhash, packing, secret_scan, substrings, toxicity, warc
 from sightline.llm.common import fold, table
 from sightline.operators import storage
 
@@ -87,6 +87,11 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@_query()
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated(table(spark, sf_dir, "documents"), least=200)
+
+
 @_query()
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
