@@ -120,19 +120,18 @@ def _matches(text: Column, pattern: str, kind: str, rank: int, wanted: Column, g
     )
 
 
-def find_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Sequence[EntropyClass] = CLASSES,
-    allow: Sequence[str] = ALLOW, window: int = WINDOW,
+def scanned(
+    docs: DataFrame, text_col: str = "text", classes: Sequence[EntropyClass] = CLASSES, allow: Sequence[str] = ALLOW,
+    window: int = WINDOW,
 ) -> DataFrame:
-    """One row per document: ``doc_id, text, base, added``, the last two arrays of
-    (start, rank, kind, end) in order of start, then kind; ends are exclusive, positions in code points.
+    """``docs`` with two columns more, ``base`` and ``added``: arrays of (start, rank, kind, end) in order of start,
+    then kind; ends are exclusive, positions in code points. Columns that have these names are replaced.
 
     ``base`` are the matches of the base rules. ``added`` are strings of one character class in which some
     window reaches the class's entropy and which no allow-list pattern matches, unless a base span holds
     them. A null text counts as empty and has no spans. One narrow pass: nothing is shuffled.
     """
-    text = F.col("text")
-    out = narrowed(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce(text, F.lit("")))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = [
         _matches(text, _SHORTCUTS.get(kind, pattern), kind, rank, lambda part, least=least: F.length(part) >= least, group)
         for rank, (kind, pattern, group, least) in enumerate(BASE_RULES)
@@ -150,13 +149,16 @@ def find_secrets(
     added = [
         _matches(text, c.pattern, f"entropy_{c.name}", len(BASE_RULES) + i, suspicious(c)) for i, c in enumerate(classes)
     ]
-    out = out.withColumn("base", F.array_sort(F.concat(*base)))
-    added_all = F.array_sort(F.concat(*added)) if added else F.array().cast(_SPANS)
-    held = F.filter(
-        added_all,
-        lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])),
-    )
-    return out.withColumn("added", held)
+    found = F.array_sort(F.concat(*added)) if added else F.array().cast(_SPANS)
+    out = docs.withColumns({"base": F.array_sort(F.concat(*base)), "added": found})
+    return out.withColumn("added", F.filter(
+        "added", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    ))
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: ``doc_id, base, added``, as ``scanned`` finds them."""
+    return scanned(narrowed(docs, doc_id=id_col, text=text_col), "text", **options).drop("text")
 
 
 def listed(spans: Column) -> Column:
