@@ -22,7 +22,9 @@ def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus teaches: those without a letter, or like none of them, go."""
+    """Documents in a language that the corpus teaches: those without a letter, or like none of them, go, and so do
+    rows without an identifier.
+    """
     model = langid.teach(docs.where(fold("doc_id", 4) != 2))
     found = langid.identified(docs, model)
     accepted = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
@@ -30,8 +32,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest identifier."""
-    return _kept(docs, exact_dedup.exact_groups(docs, keep="smallest").where("kept"))
+    """Of equal texts the one with the smallest identifier, once if its row is repeated."""
+    kept = exact_dedup.exact_groups(docs, keep="smallest").where("kept").select("doc_id", "text_sha256").distinct()
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    same = docs.select(*COLUMNS, digest.alias("text_sha256")).join(kept, ["doc_id", "text_sha256"], "left_semi")
+    return same.dropDuplicates(["doc_id", "text_sha256"]).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

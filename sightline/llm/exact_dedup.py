@@ -96,8 +96,9 @@ def exact_groups(
 
     Texts are equal when their normalised forms are identical (``normalise`` maps a string column;
     none by default); a null text counts as empty. ``keep`` is ``smallest`` or ``largest``: the
-    identifier that stays of a group. Documents repeated with one identifier count as several rows. An empty
-    table gives no rows; other columns of ``docs`` are ignored. Runs a job when called.
+    identifier that stays of a group. Repeated rows count each in the group's size, and all of them are kept if
+    their identifier is. Rows without an identifier are left out. An empty table gives no rows; other columns
+    of ``docs`` are ignored. Runs a job when called.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
@@ -105,6 +106,7 @@ def exact_groups(
     rows = (
         narrowed(docs, doc_id=id_col, norm=text_col)
         .withColumn("doc_id", F.col("doc_id").cast("bigint"))
+        .where("doc_id is not null")
         .withColumn("norm", normalise(norm) if normalise else norm)
         .withColumn("sha", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
         .withColumn("head", F.substring("norm", 1, KEY_CHARS))

@@ -20,7 +20,9 @@ from sightline.llm.words import portions
 
 # Sampled documents per language, stretches taken from each, languages at most; the bounds of the training set.
 PER_LANGUAGE, STRETCHES, MAX_LANGUAGES = 600, 2, 64
-TRAIN_BYTES, HIDDEN, EPOCHS, BATCH, RATE = 128, 8, 8, 256, 0.02
+TRAIN_BYTES, HIDDEN, EPOCHS, BATCH, RATE = 128, 8, 8, 128, 0.02
+# Steps of training at least: a small sample is seen more often, in smaller batches.
+MIN_STEPS, MIN_BATCH = 250, 16
 # Bytes labelled per stretch, and bytes of context on either side.
 CORE, CONTEXT = 240, 16
 PAD = 256
@@ -115,6 +117,8 @@ class ByteGru:
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 7):
         """``x`` (steps, sequences) of bytes, ``y`` the label's number of each sequence; Adam on cross-entropy."""
         rng, n = np.random.default_rng(seed), x.shape[1]
+        batch = min(batch, max(MIN_BATCH, n // MIN_BATCH))
+        epochs = max(epochs, -(-MIN_STEPS // -(-n // batch)))
         params = [(self.sides[0], k) for k in "EUCO"] + [(self.sides[1], k) for k in "EUCO"] + [(vars(self), "bias")]
         first = [np.zeros_like(o[k]) for o, k in params]
         second = [np.zeros_like(o[k]) for o, k in params]

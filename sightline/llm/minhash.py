@@ -153,9 +153,12 @@ def near_duplicates(
     Words are runs of bytes other than space and tab to carriage return, A-Z lower-cased; a document's set has its distinct
     runs of ``words`` words, or its whole sequence if shorter. Documents link if the intersection of their sets has at
     least ``percent`` hundredths of the union; ``component_id`` is the smallest identifier reachable by links, and
-    that document is kept. Null and empty texts have no shingles and no links. Runs jobs when called.
+    that document is kept. Null and empty texts have no shingles and no links. An identifier
+    stands for one text: repeated rows come back as often, rows without an identifier are left out. Runs jobs when
+    called.
     """
     rows = narrowed(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = rows.where("doc_id is not null")
     signed = written(_signed(rows, words, seed), "signatures")
     key = ["n_shingles", "s1", "s2"]
     sets = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))

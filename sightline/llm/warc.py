@@ -81,7 +81,8 @@ def write_archives(
 
     Archives are ``.warc.gz``, each record a gzip member of its own. Of equal payloads (by SHA-256) with at least
     ``min_revisit`` bytes the one with the smallest identifier is stored, the others revisit it. A null payload
-    is empty, control characters and spaces in a URL become one space, a repeated row is a record of its own.
+    is empty, control characters and spaces in a URL become one space, a repeated row is a record of its own, and rows
+    without an identifier are left out.
     A task writes archives under fresh names and the index names only those of attempts that Spark committed, so a lost
     executor costs its tasks and leaves files that nothing refers to. An empty table gives an empty index.
     """
@@ -89,7 +90,7 @@ def write_archives(
     rows = narrowed(pages, page_id=id_col, url=url_col, html=html_col).select(
         F.col("page_id").cast("bigint").alias("page_id"), F.regexp_replace("url", "[\\x00-\\x20]+", " ").alias("url"), "html",
         F.octet_length(payload).cast("bigint").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"),
-    )
+    ).where("page_id is not null")
     records = (
         rows.join(_revisits(rows, min_revisit), ["page_id", "payload_digest"], "left")
         .withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
