@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sightline.functions.cells import cell_child, cell_parent
 from sightline.functions.scalars import between_dates, div0
 from sightline.functions.timebins import HOUR_S, anchored_bin, hour_bin, utc_date
+from sightline.operators.storage import sized
 
 # Resolution codes, bin widths and the cap of a combined multiplier.
 FINE, COARSE, MARKET = 7, 5, 100
@@ -26,10 +27,14 @@ def _epoch(day: dt.date) -> int:
 
 
 def market_lookup(pings: DataFrame, dma_map: DataFrame, market_info: DataFrame) -> DataFrame:
-    """Add market_id through dma code -> market hash -> market; NULL where there is none."""
-    codes = dma_map.select("dma_code", "markethash")
+    """Add market_id through dma code -> market hash -> market; NULL where there is none.
+
+    A few hundred codes meet every ping: the two lists are joined first and broadcast if they fit, as a
+    shuffle by code would gather a market in a task.
+    """
     markets = market_info.select("markethash", F.col("marketid").alias("market_id"))
-    return pings.drop("market_id").join(codes, "dma_code", "left").join(markets, "markethash", "left")
+    codes = dma_map.select("dma_code", "markethash").join(markets, "markethash", "left")
+    return pings.drop("market_id").join(sized(codes), "dma_code", "left")
 
 
 def base_multiplier(

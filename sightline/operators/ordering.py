@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sightline.operators.storage import kept
 
 RANGE_SPLITS = 127
+# Sample sizes up to which every task may send a whole sample.
+DIRECT_SAMPLE = 1000
 
 
 def first_of_island(
@@ -186,6 +188,17 @@ def first_n_by(df: DataFrame, column: str, n: DataFrame) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, k: int, by: Sequence[str], seed: int = 0) -> DataFrame:
-    """``k`` rows picked by a seeded hash of ``by``: random looking, the same on every run."""
+    """``k`` rows picked by a seeded hash of ``by``, the same on every run: those that sort first by it.
+
+    A large sample would have every task send ``k`` rows to one. As hashes are spread evenly, a cut a
+    little above k / rows keeps hardly more than ``k`` rows in all, and only these are sorted; should it keep fewer,
+    all rows are. Runs a job when called with a large ``k``.
+    """
     text = F.concat_ws(":", *[F.col(c).cast("string") for c in by], F.lit(str(seed)))
-    return df.withColumn("_h", F.md5(text)).orderBy("_h", *by).limit(k).drop("_h")
+    hashed = df.withColumn("_h", F.md5(text))
+    if k > DIRECT_SAMPLE:
+        share = (k + 6 * k**0.5) / max(1, df.count())
+        if share < 1:
+            few = hashed.where(F.col("_h") < f"{int(share * 16**8):08x}")
+            hashed = few if few.count() >= k else hashed
+    return hashed.orderBy("_h", *by).limit(k).drop("_h")

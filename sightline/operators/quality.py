@@ -168,7 +168,7 @@ def frame_metadata(frames: DataFrame, customers: DataFrame, sites: DataFrame, fr
         .join(owners, "owner_id", "left").join(sites.select("site_id", "site_lat", "site_lon"), "site_id", "left")
         .select(
             "frame_id", "customername", F.get_json_object("metadata", "$.frameMedia").alias("venue_media_type"),
-            "site_lat", "site_lon", "frame_type", "exposition_angle", "exposition_width", "frame_height", "frame_width",
+            "site_lat", "site_lon", "frame_type", "exposition_angle", "exposition_width", "frame_height", "frame_width", "frame_elevation",
         )
     )
 
@@ -240,17 +240,26 @@ def row_sample(summary: DataFrame, n: int = 100000, by: Sequence[str] = ("device
     return hash_sample(summary, n, by, seed)
 
 
-def distribution_histogram(summary: DataFrame, n_buckets: int = 50, max_entropy: float = 3.0) -> DataFrame:
-    """Counts and densities of prior and posterior probability and entropy, overall and by category."""
+def distribution_histogram(summary: DataFrame, n_buckets: int = 50, entropy_span: float = 3.0) -> DataFrame:
+    """Counts and densities of prior and posterior probability and entropy, overall and by category.
+
+    ``n_buckets`` buckets span the probabilities, whose largest value, 1, belongs to the last. As many
+    span ``entropy_span`` bits; entropies have no largest value, and buckets of that width go on as far as they do.
+    """
     measures = {
         "max_prior_probability": 1.0, "max_posterior_probability": 1.0,
-        "prior_entropy": max_entropy, "posterior_entropy": max_entropy,
+        "prior_entropy": entropy_span, "posterior_entropy": entropy_span,
     }
+
+    def bucket(name: str, top: float):
+        at = F.floor(F.col(name) / (top / n_buckets)) + 1
+        return at if name.endswith("entropy") else F.least(at, F.lit(n_buckets))
+
     bins = [
         F.struct(
             F.lit(name).alias("measure"),
             F.lit(top / n_buckets).alias("width"),
-            F.least(F.floor(F.col(name) / (top / n_buckets)) + 1, F.lit(n_buckets)).cast("bigint").alias("bucket"),
+            bucket(name, top).cast("bigint").alias("bucket"),
         )
         for name, top in measures.items()
     ]

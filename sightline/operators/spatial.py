@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.functions.cells import METERS_PER_DEGREE, cell, cover, zoom_for_radius
@@ -12,12 +14,19 @@ from sightline.operators.storage import sized
 def within_radius(df: DataFrame, lat: str, lon: str, at_lat: float, at_lon: float, radius_m: float) -> DataFrame:
     """Rows within ``radius_m`` of a fixed point, with ``distance_m``.
 
-    The latitude band is a plain range on a column, which parquet can skip by.
+    The latitude and longitude bands are plain ranges on columns, which parquet can skip by: files laid
+    out by cell are cut by longitude first. Around a pole, or over the 180th meridian, one band is left.
     """
     band = radius_m * 1.01 / METERS_PER_DEGREE
+    near = F.col(lat).between(at_lat - band, at_lat + band)
+    # The widest longitude on the circle lies toward the nearer pole.
+    reach = math.cos(math.radians(min(90.0, abs(at_lat) + band)))
+    wide = band / reach if reach > 0 else 360.0
+    if wide < 180 and -180 <= at_lon - wide and at_lon + wide <= 180:
+        near = near & F.col(lon).between(at_lon - wide, at_lon + wide)
     return (
         df.where(valid_coords(F.col(lat), F.col(lon)))
-        .where(F.col(lat).between(at_lat - band, at_lat + band))
+        .where(near)
         .withColumn("distance_m", distance_m(F.lit(at_lat), F.lit(at_lon), F.col(lat), F.col(lon)))
         .where(F.col("distance_m") <= radius_m)
     )

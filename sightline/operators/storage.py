@@ -6,10 +6,11 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 
-# Rows a side may have to be broadcast: some 50 MB of narrow rows.
-BROADCAST_ROWS = 500_000
+# What a side may have to be broadcast: rows, and bytes by the width of its schema.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +35,20 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def row_width(schema: StructType) -> int:
+    """Bytes a row is taken to have: 8 a value, 40 a string, 400 an array, map or other nested value."""
+    def width(kind) -> int:
+        if isinstance(kind, StructType):
+            return sum(width(f.dataType) for f in kind.fields)
+        return 400 if isinstance(kind, (ArrayType, MapType)) else 40 if isinstance(kind, (StringType, BinaryType)) else 8
+
+    return width(schema)
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a dimension-sized table has at most ``max_rows`` rows, counted by a job of its own."""
-    return df.count() <= max_rows
+    """Whether a dimension-sized table has at most ``max_rows`` rows and BROADCAST_BYTES bytes, counted by a job of its own."""
+    most = min(max_rows, BROADCAST_BYTES // max(1, row_width(df.schema)))
+    return df.limit(most + 1).count() <= most
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -62,22 +74,16 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFra
 
 def write_partitions(
     df: DataFrame, path: str, day: str = "core_date", sort: Sequence[str] = (), mode: str = "overwrite",
-    compression: str = "snappy", files_per_day: int | None = None,
+    compression: str = "snappy",
 ) -> None:
     """Write parquet partitioned by day, each day spread over several files and sorted inside them.
 
-    Ranges of (day, sort columns) give each file a narrow min/max to skip by. With
-    ``files_per_day`` rows are dealt to that many files a day instead, which needs no sampling
-    pass over the input. Either way the input partition is the last key, so that many rows with
-    equal keys, even exact copies, do not end in one task; it is the same when a task is run again.
+    Ranges of (day, sort columns) give each file a narrow min/max to skip by, and as many files as the
+    data fill. The input partition is the last key, so that many rows with equal keys, even exact
+    copies, do not end in one task; it is the same when a task is run again.
     """
     by = [day, *sort]
-    placed = df.withColumn("_from", F.spark_partition_id())
-    if files_per_day:
-        deal = F.pmod(F.xxhash64(*df.columns, "_from"), F.lit(files_per_day).cast("bigint"))
-        placed = placed.withColumn("_file", deal).repartition(day, "_file").drop("_file")
-    else:
-        placed = placed.repartitionByRange(*by, "_from")
+    placed = df.withColumn("_from", F.spark_partition_id()).repartitionByRange(*by, "_from")
     writer = placed.drop("_from").sortWithinPartitions(*by).write.mode(mode).option("compression", compression)
     if mode == "overwrite":
         writer = writer.option("partitionOverwriteMode", "dynamic")
@@ -88,16 +94,22 @@ def upsert_partitions(
     spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], day: str = "core_date",
     sort: Sequence[str] = (),
 ) -> None:
-    """Upsert into a parquet table partitioned by day, rewriting only the days in ``source``.
+    """Upsert into a parquet table partitioned by day, reading and rewriting only the days in ``source``.
 
-    A key never moves to another day: its bin start fixes its day.
+    A key never moves to another day: its bin start fixes its day. The days of a run are listed, so that
+    other partitions are not opened. The new days are written to a staging folder first and replace the old
+    ones in one commit; if it fails before, the table is as it was.
     """
     source = kept(source)
-    table = spark.read.parquet(path)
-    columns = table.columns
-    touched = source.select(day).distinct()
-    old = table.join(touched, day, "left_semi").select(*columns)
-    write_partitions(upsert(old, source, keys).select(*columns), path, day, sort)
+    old = days_of(spark.read.parquet(path), source, day)
+    staged = save_table(upsert(old, source, keys).select(*old.columns), new_path(spark, "upsert"))
+    write_partitions(staged, path, day, sort)
+
+
+def days_of(table: DataFrame, source: DataFrame, day: str = "core_date") -> DataFrame:
+    """The rows of ``table`` on the days that ``source`` has, as a filter that prunes partitions."""
+    days = [r[0] for r in source.select(day).distinct().collect()]
+    return table.where(F.col(day).isin(days))
 
 
 def counts_by_date(df: DataFrame, day: str = "core_date") -> DataFrame:

@@ -80,11 +80,11 @@ def poi_dwell(
     dma: int | None = None, start: dt.date | None = None, end: dt.date | None = None,
 ) -> DataFrame:
     """Devices with enough pings beside a point of interest, and their mean distance."""
-    chosen = _period(pings, dma, start, end).join(devices.select("device_hash").distinct(), "device_hash", "left_semi")
+    # The points drop nearly all pings where they are read; only what is left is shuffled to meet the devices.
     near = spatial_join(
-        chosen.select("device_hash", "lat", "lon"), pois.select("poi_id", "poi_name", "poi_lat", "poi_lon"),
-        radius_m, right_at=("poi_lat", "poi_lon"),
-    )
+        _period(pings, dma, start, end).select("device_hash", "lat", "lon"),
+        pois.select("poi_id", "poi_name", "poi_lat", "poi_lon"), radius_m, right_at=("poi_lat", "poi_lon"),
+    ).join(devices.select("device_hash").distinct(), "device_hash", "left_semi")
     return (
         near.groupBy("device_hash", "poi_id", "poi_name")
         .agg(F.avg(F.round("distance_m").cast("int")).alias("avg_distance_m"), F.count(F.lit(1)).alias("nearby_pings"))
@@ -102,12 +102,10 @@ def poi_visitor_trails(
         active.select("device_hash").distinct()
         .join(exposures.select("device_hash").distinct(), "device_hash", "left_semi")
     )
-    trail = _period(pings, dma, start, end).join(wanted, "device_hash", "left_semi").select(
-        "device_hash", "lat", "lon", "unix_ts"
-    )
+    trail = _period(pings, dma, start, end).select("device_hash", "lat", "lon", "unix_ts")
     visited = spatial_join(
         trail, pois.select("poi_name", "poi_lat", "poi_lon"), radius_m, right_at=("poi_lat", "poi_lon")
-    ).select("device_hash", "poi_name").distinct()
+    ).select("device_hash", "poi_name").distinct().join(wanted, "device_hash", "left_semi")
     return trail.join(visited, "device_hash").select("device_hash", "lat", "lon", "unix_ts", "poi_name")
 
 
@@ -174,7 +172,7 @@ def control_group(
     rows = _period(pings, dma, start, end)
     known = exposed.select("device_hash").where(F.col("device_hash").isNotNull()).distinct()
     candidates = (
-        rows.join(exposed.select("c17").distinct(), "c17", "left_semi")
+        rows.join(sized(exposed.select("c17").distinct()), "c17", "left_semi")
         .select("device_hash").distinct().join(known, "device_hash", "left_anti")
     )
     chosen = first_n_by(candidates, "device_hash", known.agg(F.count(F.lit(1))))

@@ -183,7 +183,7 @@ def _(fx):
     select cast(core_date as varchar) as core_date, device_hash as device_id, unix_ts, round(lat,8) as lat, round(lon,8) as lon,
            round(lon,8) as geo_lon, round(lat,8) as geo_lat,
            datasource_id, accuracy, device_ip, user_agent, publisher_id, make, os, os_version, categories, country_code, market_hash,
-           {cell_at(25)} as c25, c20, c17, c14, c11
+           {cell_at(25)} as c25, c20, c17, c14, c11, unix_ts as timestamp_s
     from (select p.*, r.datasource_id, r.accuracy, r.user_agent, r.publisher_id, r.make, r.os, r.os_version, r.categories, r.country_code, r.market_hash
           from fx_pings p, (select distinct datasource_id, accuracy, user_agent, publisher_id, make, os, os_version, categories, country_code, market_hash
                             from fx_raw_pings) r where r.publisher_id=p.market_id and r.os=p.device_os) q""", digits=8)
@@ -194,6 +194,7 @@ def _(fx):
     table = fx.spark.read.parquet(out)
     return table.select(
         F.col("core_date").cast("string").alias("core_date"), F.col("device_geo.lon").alias("geo_lon"), F.col("device_geo.lat").alias("geo_lat"),
+        F.unix_timestamp("timestamp").alias("timestamp_s"),
         *[c for c in ping_source.INGESTED_COLUMNS if c not in ("core_date", "timestamp", "device_geo")],
     )
 
@@ -202,10 +203,7 @@ def _(fx):
     select concat('raw/', markethash, '/', strftime(d, '%Y/%m/%d'), '/part-*.gz') as path
     from fx_markets, (select unnest(generate_series(min(core_date), max(core_date), interval 1 day)) as d from fx_pings) q""")
 def _(fx):
-    first, last = fx.pings.agg(F.min("core_date"), F.max("core_date")).first()
-    markets = [row.markethash for row in fx.markets.select("markethash").collect()]
-    paths = ping_source.backfill_paths("raw", markets, first, last)
-    return fx.spark.createDataFrame([(path,) for path in paths], "path string")
+    return ping_source.backfill_path_rows("raw", fx.markets, fx.pings)
 
 
 def _located(fx) -> DataFrame:
@@ -284,8 +282,10 @@ def _(fx):
     new = mult.rollup_multiplier(_base(fx), fx.cell_market, P_START, P_END)
     stale = _stale(new)
     # Rows of the run are replaced or added, the other month's rows stay.
-    target = stale.unionByName(stale.withColumn("core_date", F.date_add("core_date", 31)))
-    return _dated(storage.upsert(target, new, mult.MULTIPLIER_KEYS))
+    path = storage.new_path(fx.spark, "multiplier")
+    storage.write_partitions(stale.unionByName(stale.withColumn("core_date", F.date_add("core_date", 31))), path)
+    storage.upsert_partitions(fx.spark, path, new, mult.MULTIPLIER_KEYS, sort=["cell", "bin_start"])
+    return _dated(fx.spark.read.parquet(path).select(*new.columns))
 
 
 @query("m5_apply_multiplier", """

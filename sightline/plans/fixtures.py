@@ -48,7 +48,7 @@ VIEWS = {
                cast(p_partkey%6 as bigint) as process_id,
                case when p_size%2=0 then 'STATIC' else 'DIGITAL' end as frame_type,
                cast((p_partkey*37)%360 as double) as exposition_angle, cast(60+p_size as double) as exposition_width,
-               cast(3+p_size%10 as double) as frame_width, cast(2+p_size%5 as double) as frame_height,
+               cast(3+p_size%10 as double) as frame_width, cast(2+p_size%5 as double) as frame_height, cast(4+p_size%7 as double) as frame_elevation,
                29.95e0+((((p_partkey%500)*3571) % 10007)/10007e0-0.5e0)*0.1e0 as site_lat,
                -90.08e0+((((p_partkey%500)*4177) % 10007)/10007e0-0.5e0)*0.1e0 as site_lon,
                case p_type when 'LARGE' then 'billboards' when 'SMALL' then 'street' when 'ECONOMY' then 'place' else 'other' end as inventory_type,
@@ -56,8 +56,8 @@ VIEWS = {
         from @part""",
     "fx_sites": "select distinct site_id, site_lat, site_lon from @fx_frames",
     "fx_process_meta": """
-        select cast(r_regionkey as bigint) as process_id, case when r_regionkey%2=0 then 'METER' else 'FOOT' end as dimension_unit,
-               cast(6+r_regionkey as double) as min_noticing_radial from @region""",
+        select cast(r_regionkey as bigint) as process_id, case when r_regionkey=3 then 'YARD' when r_regionkey%2=0 then 'METER' else 'FOOT' end as dimension_unit,
+               cast(case when r_regionkey=4 then 0 else 6+r_regionkey end as double) as min_noticing_radial from @region""",
     "fx_adplays": """
         select q.*, cast(@D0(cast(floor((start_epoch-1735689600)/86400e0) as int)) as date) as start_date,
                cast(@D0(cast(floor((end_epoch-1735689600)/86400e0) as int)) as date) as end_date

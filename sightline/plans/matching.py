@@ -15,7 +15,7 @@ from sightline.plans.sqltext import (
 
 _PROX = f"""
     prox as (select f.*, greatest(150e0, coalesce(3*greatest(frame_width, frame_height)*(case dimension_unit when 'METER' then 1e0 when 'FOOT' then 0.3048e0 end)
-                    /(2*tan(radians(min_noticing_radial)/2)), 150e0)) as match_radius, {cell_at(17, 'site_lat', 'site_lon')} as site_cell
+                    /nullif(2*tan(radians(min_noticing_radial)/2), 0), 150e0)) as match_radius, {cell_at(17, 'site_lat', 'site_lon')} as site_cell
              from fx_frames f left join fx_process_meta m on m.process_id=f.process_id)"""
 _COVER = f"""
     widest as (select s.site_id, s.site_lat, s.site_lon, max(match_radius) as max_radius from fx_sites s join prox p on p.site_id=s.site_id group by all),
@@ -59,9 +59,9 @@ def _sight_out(df: DataFrame, *more: str) -> DataFrame:
     )
 
 
-@query("x1_frame_proximity", f"with {_PROX} select frame_id, site_id, round(match_radius,4) as match_radius, site_cell from prox")
+@query("x1_frame_proximity", f"with {_PROX} select frame_id, site_id, frame_elevation, round(match_radius,4) as match_radius, site_cell from prox")
 def _(fx):
-    return _proximity(fx).select("frame_id", "site_id", "match_radius", "site_cell")
+    return _proximity(fx).select("frame_id", "site_id", "frame_elevation", "match_radius", "site_cell")
 
 
 @query("x2_site_cover", f"""

@@ -115,7 +115,7 @@ def _(fx):
 
 @query("q9_frame_metadata", """
     select frame_id, customername, json_extract_string(metadata, '$.frameMedia') as venue_media_type, round(s.site_lat,4) as site_lat, round(s.site_lon,4) as site_lon,
-           frame_type, exposition_angle, exposition_width, frame_height, frame_width
+           frame_type, exposition_angle, exposition_width, frame_height, frame_width, frame_elevation
     from fx_frames f left join fx_customers c on c.customer_id=f.owner_id left join fx_sites s on s.site_id=f.site_id""")
 def _(fx):
     return quality.frame_metadata(fx.frames, fx.customers, fx.sites)
@@ -190,7 +190,8 @@ _LONG = " union all ".join(f"select category, '{m}' as measure, {m} as v, {top}/
 
 @query("q15_distribution_histogram", f"""
     with {_SUMMARY},
-    l as (select category, measure, width, least(cast(floor(v/width) as bigint)+1, 50) as bucket from ({_LONG}) q),
+    l as (select category, measure, width, case when measure like '%entropy' then cast(floor(v/width) as bigint)+1
+                 else least(cast(floor(v/width) as bigint)+1, 50) end as bucket from ({_LONG}) q),
     c as (select category, measure, width, bucket, count(*) as n from (select * from l union all select * replace ('OVERALL' as category) from l) q group by all)
     select category, measure, bucket, n, round(n/cast(sum(n) over (partition by category, measure) as double)/width,4) as density from c""")
 def _(fx):

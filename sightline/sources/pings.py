@@ -39,7 +39,6 @@ INGESTED_COLUMNS = [
 ]
 FINEST_ZOOM = 25
 PARENT_ZOOMS = (20, 17, 14, 11)
-PARTS_PER_DAY = 50
 
 
 def backfill_paths(root: str, markets: Sequence[str], start: dt.date, end: dt.date, parts: int | None = None) -> list[str]:
@@ -51,6 +50,16 @@ def backfill_paths(root: str, markets: Sequence[str], start: dt.date, end: dt.da
     return [f"{folder}/part-{i:05d}.gz" for folder in folders for i in range(parts)]
 
 
+def backfill_path_rows(root: str, markets: DataFrame, pings: DataFrame, day: str = "core_date") -> DataFrame:
+    """``path``: one glob for each market hash and calendar day from the first day of ``pings`` to the last."""
+    days = F.sequence(
+        pings.agg(F.min(day)).scalar(), pings.agg(F.max(day)).scalar(), F.expr("interval 1 day")
+    )
+    return markets.select("markethash", F.explode(days).alias("_day")).select(F.concat(
+        F.lit(root.rstrip("/") + "/"), "markethash", F.lit("/"), F.date_format("_day", "yyyy/MM/dd"), F.lit("/part-*.gz")
+    ).alias("path"))
+
+
 def read_raw_pings(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """All files in one read, by the declared schema."""
     return spark.read.schema(RAW_SCHEMA).option("sep", "\t").csv(paths if isinstance(paths, str) else list(paths))
@@ -72,14 +81,13 @@ def index_pings(raw: DataFrame) -> DataFrame:
 
 
 def ingest_pings(
-    spark: SparkSession, paths: str | Sequence[str], out: str, mode: str = "overwrite", files_per_day: int = PARTS_PER_DAY
+    spark: SparkSession, paths: str | Sequence[str], out: str, mode: str = "overwrite"
 ) -> None:
     """Read, index and write gzip parquet by day; overwrite replaces the days read, append adds to them.
 
-    A missing or unreadable file fails the job. Each day is spread over ``files_per_day`` files
-    in one pass over the input.
+    A missing or unreadable file fails the job. A day has as many files as its rows fill, each with
+    a range of cells.
     """
     write_partitions(
-        index_pings(read_raw_pings(spark, paths)), out, sort=["c11", "c17"], mode=mode, compression="gzip",
-        files_per_day=files_per_day,
+        index_pings(read_raw_pings(spark, paths)), out, sort=["c11", "c17"], mode=mode, compression="gzip"
     )

@@ -2,13 +2,17 @@
 
 import datetime as dt
 import gzip
+import hashlib
+import math
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sightline.functions.cells import cell
-from sightline.operators import affinity, diffusion, events, matching, multiplier, quality, reach, storage, studies
+from sightline.operators import (
+    affinity, diffusion, events, matching, multiplier, ordering, quality, reach, spatial, storage, studies,
+)
 from sightline.sources import pings as ping_source
 
 DAY = dt.date(2025, 1, 2)
@@ -42,6 +46,75 @@ def test_upsert_partitions_touches_only_its_days(spark, tmp_path):
     assert untouched == {p.name for p in (tmp_path / "t" / "core_date=2025-01-01").iterdir()}
 
 
+def test_upsert_opens_only_the_days_of_its_source(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(dt.date(2025, 1, d), 1, "old") for d in range(1, 8)]
+    storage.write_partitions(spark.createDataFrame(rows, "core_date date, k int, v string"), path)
+    source = spark.createDataFrame([(3, 1)], "d int, k int").select(F.make_date(F.lit(2025), F.lit(1), "d").alias("core_date"), "k")
+    read = storage.days_of(spark.read.parquet(path), source)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "2025-01-03" in plan and read.count() == 1
+    assert len(read.inputFiles()) >= 1
+
+
+def test_upsert_that_fails_leaves_the_old_day(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    old = spark.createDataFrame([(DAY, 1, "old")], "core_date date, k int, v string")
+    storage.write_partitions(old, path)
+
+    def broken(*args, **kwargs):
+        raise OSError("no space")
+
+    monkeypatch.setattr(storage, "write_partitions", broken)
+    with pytest.raises(OSError):
+        storage.upsert_partitions(spark, path, old.withColumn("v", F.lit("new")), ["core_date", "k"])
+    assert [r.v for r in spark.read.parquet(path).collect()] == ["old"]
+
+
+def test_broadcast_limit_counts_bytes(spark):
+    narrow = spark.range(200_000)
+    assert storage.fits(narrow) and not storage.fits(narrow.withColumn("a", F.array(F.lit(1))))
+
+
+def test_large_hash_sample_is_the_first_by_hash(spark):
+    df = spark.range(30_000).select(F.col("id").cast("string").alias("k"))
+    large = {r.k for r in ordering.hash_sample(df, 5000, ["k"]).collect()}
+    hashed = sorted((hashlib.md5(f"{i}:0".encode()).hexdigest(), str(i)) for i in range(30_000))
+    assert large == {k for _, k in hashed[:5000]}
+    assert ordering.hash_sample(df.limit(10), 5000, ["k"]).count() == 10
+
+
+def test_radius_filter_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.createDataFrame([(LAT, LON), (LAT + 1, LON), (LAT, LON + 1)], "lat double, lon double").write.parquet(path)
+    near = spatial.within_radius(spark.read.parquet(path), "lat", "lon", LAT, LON, 100)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = near._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters"):]
+    assert near.count() == 1 and "GreaterThanOrEqual(lon,-90.08" in pushed and "GreaterThanOrEqual(lat,29.94" in pushed
+    # Over the 180th meridian and around a pole only one band is left.
+    edge = spark.createDataFrame([(10.0, 179.9999), (10.0, -179.9999), (89.9999, 90.0), (89.9999, -90.0)], "lat double, lon double")
+    assert spatial.within_radius(edge, "lat", "lon", 10.0, 180.0, 100).count() == 2
+    assert spatial.within_radius(edge, "lat", "lon", 90.0, 0.0, 100).count() == 2
+
+
+def test_dwell_joins_points_before_devices_are_shuffled(spark, tmp_path):
+    path = str(tmp_path / "p")
+    ping_table(spark, [("a", T0 + i, LAT, LON) for i in range(6)]).write.parquet(path)
+    pois = spark.createDataFrame([(1, "x", LAT, LON)], "poi_id long, poi_name string, poi_lat double, poi_lon double")
+    devices = spark.createDataFrame([("a",)], "device_hash string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = studies.poi_dwell(spark.read.parquet(path), devices, pois)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.count() == 1 and plan.index("LeftSemi") < plan.index("BroadcastHashJoin")
+
+
 # ---- ingest
 
 def raw_line(i, ts=T0):
@@ -76,7 +149,7 @@ def test_ingested_column_order(spark):
 def test_backfill_paths_follow_the_calendar():
     days = ping_source.backfill_paths("s", ["a", "b"], dt.date(2024, 2, 28), dt.date(2024, 3, 1))
     assert days == [f"s/{m}/2024/{d}/part-*.gz" for d in ("02/28", "02/29", "03/01") for m in "ab"]
-    parts = ping_source.backfill_paths("s", ["a"], DAY, DAY, ping_source.PARTS_PER_DAY)
+    parts = ping_source.backfill_paths("s", ["a"], DAY, DAY, 50)
     assert len(parts) == 50 and parts[-1] == "s/a/2025/01/02/part-00049.gz"
 
 
@@ -132,12 +205,12 @@ def test_weighted_totals_equal_row_by_row(spark):
 def frame_tables(spark, **changes):
     frame = {
         "frame_id": 1, "site_id": 1, "owner_id": 1, "market_id": 1, "process_id": 1, "frame_type": "STATIC", "exposition_angle": 0.0,
-        "exposition_width": 60.0, "frame_width": 3.0, "frame_height": 2.0, "site_lat": LAT, "site_lon": LON,
+        "exposition_width": 60.0, "frame_width": 3.0, "frame_height": 2.0, "frame_elevation": 5.0, "site_lat": LAT, "site_lon": LON,
     }
     other = {**frame, "frame_id": 2, "owner_id": 2, "frame_type": "DIGITAL", "exposition_angle": 180.0, **changes}
     schema = (
         "frame_id long, site_id long, owner_id long, market_id long, process_id long, frame_type string, exposition_angle double, "
-        "exposition_width double, frame_width double, frame_height double, site_lat double, site_lon double"
+        "exposition_width double, frame_width double, frame_height double, frame_elevation double, site_lat double, site_lon double"
     )
     names = [f.split()[0] for f in schema.split(", ")]
     frames = spark.createDataFrame([tuple(f[n] for n in names) for f in (frame, other)], schema)
@@ -220,6 +293,48 @@ def test_adplay_must_span_the_period_unless_told(spark):
     assert matching.adplay_interval_join(seen, plays, DAY, after, spanning=False).first().creative_id == 5
 
 
+def test_adplay_of_sightings_whose_day_is_not_that_of_their_time(spark):
+    frames, meta, sites = frame_tables(spark)
+    pings = ping_table(spark, [("early", T0 - 3 * 86400, LAT - 0.0005, LON), ("late", T0 + 9 * 86400, LAT - 0.0005, LON)])
+    pings = pings.withColumn("core_date", F.lit(DAY))
+    plays = spark.createDataFrame(
+        [(1, 2, 7, T0 - 30 * 86400, T0 + 30 * 86400, DAY, DAY)],
+        "site_id long, frame_id long, creative_id long, start_epoch long, end_epoch long, start_date date, end_date date",
+    )
+    seen = matching.stage1(frames, meta, sites, pings, DAY, DAY)
+    for spanning in (True, False):
+        got = matching.adplay_interval_join(seen, plays, DAY, DAY, spanning=spanning).collect()
+        assert {(r.device_hash, r.creative_id) for r in got} == {("early", 7), ("late", 7)}
+    assert matching.adplay_interval_join(seen.limit(0), plays, DAY, DAY, spanning=False).count() == 0
+
+
+def test_angle_zero_and_unknown_unit_fall_to_the_least_radius(spark):
+    frames, _, _ = frame_tables(spark, process_id=2, frame_width=30.0)
+    meta = spark.createDataFrame([(1, "METER", 0.0), (2, "YARD", 8.0)], "process_id long, dimension_unit string, min_noticing_radial double")
+    assert {r.frame_id: r.match_radius for r in matching.frame_proximity(frames, meta).collect()} == {1: 150.0, 2: 150.0}
+
+
+def test_a_hot_device_hour_is_split(spark):
+    """One device and no device hold most pings of an hour: rebalanced pairs leave no task with most of them."""
+    frames, meta, sites = frame_tables(spark)
+    pings = ping_table(spark, [
+        (None if i % 2 else "zero", T0 + i % 3000, LAT + (i % 9 - 4) * 1e-4, LON + (i % 5 - 2) * 1e-4) for i in range(30_000)
+    ])
+    prox = matching.frame_proximity(frames, meta)
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.1",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        matches = matching.frame_device_match(prox, matching.site_cells(sites, prox), pings.repartition(8), DAY, DAY)
+        sizes = [r[0] for r in matches.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sum(sizes) > 10_000 and max(sizes) < 0.4 * sum(sizes)
+
+
 def test_bands_and_decay(spark):
     df = spark.createDataFrame([(d,) for d in (0.0, 29.9, 30.0, 56.24, 56.25, 74.9, 75.0, 112.5, 150.0)], "d double")
     r = F.lit(150.0)
@@ -425,7 +540,18 @@ def test_histogram_puts_the_top_in_the_last_bucket(spark):
     df = spark.createDataFrame([("a", "x", 1.0, 0.0, 3.0, 9.0)], schema)
     got = {(r.category, r.measure): (r.bucket, r.n) for r in quality.distribution_histogram(df, 50, 3.0).collect()}
     assert got["x", "max_prior_probability"] == (50, 1) and got["OVERALL", "max_posterior_probability"] == (1, 1)
-    assert got["x", "posterior_entropy"] == (50, 1)
+    # Entropies have no largest value: 3 bits are the end of bucket 50, 9 bits lie in bucket 151.
+    assert got["x", "prior_entropy"] == (51, 1) and got["x", "posterior_entropy"] == (151, 1)
+
+
+def test_histogram_of_a_category_with_many_values(spark):
+    entropy = math.log2(20)
+    summary = spark.createDataFrame(
+        [("a", "x", 0.05, 0.05, entropy, entropy), ("b", "x", 0.05, 0.05, 3.2, 3.9)],
+        "device_hash string, category string, max_prior_probability double, max_posterior_probability double, prior_entropy double, posterior_entropy double",
+    )
+    got = {(r.measure, r.bucket): r.n for r in quality.distribution_histogram(summary).where("category = 'x'").collect()}
+    assert got["posterior_entropy", 66] == 1 and got["posterior_entropy", int(entropy / 0.06) + 1] == 1
 
 
 def test_totals_compare_ratio(spark):

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from sightline.plans.registry import ORACLES, QUERIES
 
 FOLDER = Path("/root/testdata/sf0.001")
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -30,10 +31,10 @@ def close(a, b):
     return all(abs(x - y) <= 2e-3 if isinstance(x, float) and isinstance(y, float) else x == y for x, y in zip(a, b))
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    df = entry_point.queries()[name](spark, str(FOLDER))
-    cursor = duck.execute(entry_point.oracle_sql()[name])
+    df = QUERIES[name](spark, str(FOLDER))
+    cursor = duck.execute(ORACLES[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     expected = sorted((tuple(plain(v) for v in row) for row in cursor.fetchall()), key=str)
@@ -44,7 +45,7 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", PLAIN)
 def test_plan_stays_on_the_jvm_without_nested_loops(spark, name):
-    plan = entry_point.queries()[name](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert node not in plan
 
@@ -71,5 +72,9 @@ def test_date_filter_reaches_the_scan(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(core_date" in plan and "PushedFilters: [IsNotNull(owner_id), EqualTo(owner_id,1)" in plan
 
 
+def test_every_query_is_registered_with_its_sql():
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(entry_point.queries())
+
+
 def test_entry_returns_rows(spark):
     assert entry_point.entry(spark).count() > 0
