@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sightline.functions.cells import cell, cell_child, cell_lat, cell_lon, child_count, grid_disk
 from sightline.functions.scalars import between_dates, equals, in_list, ratio, uniform
 from sightline.operators.ordering import join_null_safe
-from sightline.operators.storage import kept, sized
+from sightline.operators.storage import kept, sized, write_partitions
 
 REGION = ["market_id", "c14"]
 SOURCE = [*REGION, "src"]
@@ -142,7 +142,7 @@ def density_snapshot(positions: DataFrame, iteration: int) -> DataFrame:
 
 
 def density_snapshots(steps: Sequence[DataFrame]) -> DataFrame:
-    """All hops' densities; write it partitioned by ``iter``."""
+    """All hops' densities; ``append_snapshots`` stores them."""
     frames = [density_snapshot(p, i) for i, p in enumerate(steps, start=1)]
     out = frames[0]
     for frame in frames[1:]:
@@ -156,7 +156,7 @@ def spread_metric(snapshots: DataFrame) -> DataFrame:
 
 
 def jitter_to_child(positions: DataFrame, child_zoom: int = CHILD_ZOOM, seed: int = 0) -> DataFrame:
-    """Centre of a random fine child of each final cell."""
+    """Centre of a fine child, drawn by a seeded hash, of each final cell."""
     kids = child_count(F.col("cur"), child_zoom)
     index = F.floor(uniform(F.col("row_id"), "child", seed) * kids)
     return (
@@ -166,6 +166,16 @@ def jitter_to_child(positions: DataFrame, child_zoom: int = CHILD_ZOOM, seed: in
     )
 
 
+def append_snapshots(snapshots: DataFrame, path: str) -> None:
+    """Append densities to a table laid out by ``iter``, one folder a hop."""
+    snapshots.repartitionByRange("iter", "c20").write.mode("append").partitionBy("iter").parquet(path)
+
+
+def write_smoothed(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store smoothed pings by day, ordered by market and cell."""
+    write_partitions(rows, path, sort=["market_id", "c14"], mode=mode)
+
+
 def parity_writeback(staged: DataFrame, moves: DataFrame) -> DataFrame:
     """The staged rows with moved coordinates and recomputed cells: same rows, same column order.
 

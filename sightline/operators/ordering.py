@@ -7,6 +7,7 @@ rows is spread over its slices and the per-key step only sees one row per slice.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sightline.operators.storage import kept
 
-RANGE_SPLITS = 127
+# Value ranges of a small table, and rows that a range holds of a large one.
+RANGE_SPLITS, ROWS_PER_RANGE = 127, 5_000_000
 # Sample sizes up to which every task may send a whole sample.
 DIRECT_SAMPLE = 1000
 
@@ -88,21 +90,28 @@ def previous_row(
 
 
 def _with_range_bucket(df: DataFrame, value: str, spread: Sequence[str]) -> DataFrame:
-    """Number the rows' value ranges; the cut points are the values with the smallest hashes.
+    """Number the rows' value ranges; the cut points are the values whose hashes fall under a share.
 
-    Hash order makes the cuts a fixed random sample, at most RANGE_SPLITS values, so the
-    ranges hold similar numbers of rows whatever the distribution. ``df`` is read twice.
+    That makes the cuts a fixed sample of about a value for every ROWS_PER_RANGE rows, some RANGE_SPLITS at
+    least, so the ranges hold similar numbers of rows whatever the distribution, and as many more ranges as
+    there are more rows. A row's range is found in two steps, among every k-th cut and then between two of
+    them. ``df`` is read three times.
     """
-    cuts = (
-        df.select(value, F.xxhash64(*spread).alias("_h"))
-        .orderBy("_h", value)
-        .limit(RANGE_SPLITS)
-        .agg(F.array_sort(F.collect_list(value)))
-    )
+    rows = df.count()
+    n = max(RANGE_SPLITS, rows // ROWS_PER_RANGE)
+    step = math.isqrt(n) + 1
+    drawn = F.pmod(F.xxhash64(*spread), F.lit(1 << 30)) < int((1 << 30) * min(1.0, n / max(1, rows)))
+    cuts = df.where(drawn).agg(F.array_sort(F.collect_list(value)))
+
+    def below(cut_points: Column) -> Column:
+        return F.size(F.filter(cut_points, lambda c: c < F.col(value)))
+
     return (
         df.withColumn("_cuts", cuts.scalar())
-        .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-        .drop("_cuts")
+        .withColumn("_coarse", F.filter("_cuts", lambda _, i: i % step == step - 1))
+        .withColumn("_block", below(F.col("_coarse")) * step)
+        .withColumn("_bucket", F.col("_block") + below(F.slice("_cuts", F.col("_block") + 1, step)))
+        .drop("_cuts", "_coarse", "_block")
     )
 
 
@@ -119,7 +128,7 @@ def exact_percentiles(
     """Interpolated percentiles per group, exact, with no group gathered in one task.
 
     Equal values are counted first (map-side) and the counts checkpointed, as they are read
-    three times: to cut the values into ranges, to add up the ranges, and to count inside
+    several times: to cut the values into ranges, to add up the ranges, and to count inside
     them. ``weight`` counts a row that many times. Runs a job when called.
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
@@ -171,7 +180,7 @@ def first_n_by(df: DataFrame, column: str, n: DataFrame) -> DataFrame:
     """The first ``n`` rows in the order of a unique ``column``; ``n`` is a one-cell DataFrame.
 
     Ranks come from value ranges, so no task orders the whole table. Runs a job when called,
-    as the rows are checkpointed before they are read three times.
+    as the rows are checkpointed before they are read several times.
     """
     bucketed = _with_range_bucket(kept(df), column, [column])
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.functions.scalars import between_dates, div0, in_list, info_field, with_point
 from sightline.operators.ordering import beside, exact_percentiles, hash_sample, join_null_safe
+from sightline.operators.storage import kept, sized
 
 SEVEN_POINTS = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 FIVE_POINTS = {name: SEVEN_POINTS[name] for name in ("p5", "p25", "p50", "p75", "p95")}
@@ -31,7 +32,7 @@ def multiplier_daily_compare(
             F.lit(name).alias("source"), "core_date", "cell", F.col("multiplier").cast("double").alias("multiplier")
         )
 
-    rows = tagged(mult_a, names[0]).unionByName(tagged(mult_b, names[1]))
+    rows = kept(tagged(mult_a, names[0]).unionByName(tagged(mult_b, names[1])))
     keys = ["source", "core_date"]
     stats = rows.groupBy(*keys).agg(
         F.countDistinct("cell").alias("unique_cells"), F.avg("multiplier").alias("avg_multiplier"),
@@ -40,7 +41,7 @@ def multiplier_daily_compare(
     return join_null_safe(stats, exact_percentiles(rows, keys, "multiplier", {"median_multiplier": 0.5}), keys)
 
 
-def random_frames(exposures: DataFrame, k: int = 10, exclude_owner=None, seed: int = 0) -> DataFrame:
+def sampled_frames(exposures: DataFrame, k: int = 10, exclude_owner=None, seed: int = 0) -> DataFrame:
     """``k`` distinct frames with their coordinates, picked by a seeded hash."""
     rows = exposures if exclude_owner is None else exposures.where(F.col("owner_id") != F.lit(exclude_owner))
     places = rows.select(
@@ -124,11 +125,12 @@ def market_ratio_summary(
     keys = ["core_date", "market_id", "frame_id"]
     a, b = _frame_metrics(exp_a, keys, start, end), _frame_metrics(exp_b, keys, start, end)
     names = markets.select("market_id", "marketname")
-    both = (
+    both = kept(
         a.join(b.withColumnsRenamed({"unique_devices": "_u", "total_matches": "_t"}), keys)
         .withColumn("ratio_unique_devices", F.try_divide("unique_devices", "_u"))
         .withColumn("ratio_total_matches", F.try_divide("total_matches", "_t"))
-        .join(names, "market_id", "left")
+        .join(sized(names), "market_id", "left")
+        .select("marketname", "frame_id", "ratio_unique_devices", "ratio_total_matches")
     )
     report = both.groupBy("marketname").agg(
         F.countDistinct("frame_id").alias("total_frames"),
@@ -224,7 +226,7 @@ def enrichment_report(summary: DataFrame, formatted: bool = False) -> DataFrame:
 
 def affinity_count_distribution(affinities: DataFrame) -> DataFrame:
     """Attributes per device: extremes, mean, spread and percentiles."""
-    counts = (
+    counts = kept(
         affinities.where(F.col("audience_attribute").isNotNull())
         .groupBy("device_hash").agg(F.count("audience_attribute").alias("n"))
     )

@@ -13,7 +13,7 @@ from sightline.functions.scalars import (
 from sightline.functions.timebins import daypart, local_hour
 from sightline.operators.multiplier import apply_multiplier, weighted_totals
 from sightline.operators.ordering import beside, exact_percentiles, previous_row
-from sightline.operators.storage import kept
+from sightline.operators.storage import kept, write_partitions
 
 OTS = "OPPORTUNITY_TO_SEE"
 LTS = "LIKELY_TO_SEE"
@@ -239,11 +239,16 @@ def exposure_table(
     )
 
 
+def write_exposure_table(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store weighted exposures by day, ordered by market and cell, for the reports to read."""
+    write_partitions(rows, path, sort=["market_id", "c14", "c17"], mode=mode)
+
+
 def _assets_per_device(exposures: DataFrame, period: Column, min_rows: int) -> DataFrame:
-    seen = (
+    seen = kept(
         exposures.groupBy("device_hash", period.alias("period"), "asset_id").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("device_hash", "period").agg(F.count("asset_id").alias("assets"), F.sum("n").alias("n"))
-        .where(F.col("n") >= min_rows)
+        .where(F.col("n") >= min_rows).select("assets")
     )
     totals = seen.agg(
         F.avg("assets").alias("avg_assets"), F.min("assets").alias("min_assets"), F.max("assets").alias("max_assets"),

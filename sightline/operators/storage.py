@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
@@ -25,8 +26,30 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or context.getCheckpointDir()).rstrip("/")
 
 
+_PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, the tables that operators wrote to the shared folder within it.
+
+    What operators return reads them, so results are to be stored before. Checkpoints are Spark's own to remove:
+    set ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    begin = len(_PATHS)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _PATHS[begin:]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        del _PATHS[begin:]
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -220,9 +220,15 @@ def _cdf(fx) -> DataFrame:
     return diff.neighbour_cdf(diff.neighbour_pairs(w), diff.cell_probability(w))
 
 
-@query("d1_stage_region", "select ping_id, ping_id as row_id, market_id, c14, c20 as src from fx_pings")
+@query("d1_stage_region", """
+    select ping_id, ping_id as row_id, market_id, c14, c20 as src from fx_pings
+    where dma_code=602 and provider='a' and c14 in (select c14 from fx_pings where ping_id%3=0)""")
 def _(fx):
-    return _staged(fx).select("ping_id", "row_id", "market_id", "c14", "src")
+    located = mult.market_lookup(fx.pings, fx.markets, fx.markets)
+    cells = fx.pings.where("ping_id % 3 = 0").select("c14")
+    return diff.stage_region(located, cells=cells, dma_code=602, provider="a", id_column="ping_id").select(
+        "ping_id", "row_id", "market_id", "c14", "src"
+    )
 
 
 @query("d2_baseline_weights", f"with {_W} select * from w")
@@ -266,7 +272,9 @@ _SNAPS = " union all ".join(f"select {i} as iter, cur as c20, count(*) as ping_c
 
 @query("d9_density_snapshot", f"with {_MODEL}, {_hops(N_HOPS)} {_SNAPS}")
 def _(fx):
-    return diff.density_snapshots(diff.diffuse_steps(_staged(fx), _cdf(fx), N_HOPS))
+    path, snapshots = storage.new_path(fx.spark, "snapshots"), diff.density_snapshots(diff.diffuse_steps(_staged(fx), _cdf(fx), N_HOPS))
+    diff.append_snapshots(snapshots, path)
+    return fx.spark.read.parquet(path).select(*snapshots.columns)
 
 
 @query("d10_spread_metric", f"with {_MODEL}, {_hops(N_HOPS)} select iter, count(*) as cells_n from ({_SNAPS}) q group by iter")
@@ -295,7 +303,9 @@ def _(fx):
 def _(fx):
     staged = _staged(fx)
     smooth = diff.parity_writeback(staged, diff.jitter_to_child(diff.diffuse(staged, _cdf(fx), N_HOPS)))
-    return smooth.select("ping_id", "device_hash", "unix_ts", "lat", "lon", "c17", "c14", "c11")
+    path = storage.new_path(fx.spark, "smoothed")
+    diff.write_smoothed(smooth, path)
+    return fx.spark.read.parquet(path).select("ping_id", "device_hash", "unix_ts", "lat", "lon", "c17", "c14", "c11")
 
 
 def _argument(key: str) -> str:

@@ -42,7 +42,7 @@ def _(fx):
            cast(json_extract_string(match_info, '$.SITE_LON') as double) as frame_lon from fx_exposures where owner_id <> 2) q
     order by md5(concat_ws(':', frame_id, '0')), frame_id limit 10""")
 def _(fx):
-    return quality.random_frames(fx.exposures, 10, exclude_owner=2)
+    return quality.sampled_frames(fx.exposures, 10, exclude_owner=2)
 
 
 def _totals(where: str) -> str:

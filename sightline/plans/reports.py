@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sightline.operators import affinity, events, reach
+from sightline.operators import affinity, events, reach, storage
 from sightline.plans.blocks import E_END, E_START, EVENT_DAY, LA_HOUR, _UTC_HOUR
 from sightline.plans.registry import query
 from sightline.plans.sqltext import VENUE_LAT, VENUE_LON, div0, hav, two
@@ -34,29 +34,32 @@ _SUMS = """sum(case when viewability='OPPORTUNITY_TO_SEE' then mp_value else 0 e
 
 @query("r1_impressions_total", f"""
     with {_MULT},
-    f as (select {_SUMS}, count(distinct market_id) as markets from me),
-    d as (select avg(n) as days from (select asset_id, count(distinct core_date) as n from me group by asset_id) q),
-    p as (select sum(path_length)*{MILES} as miles from fx_paths)
+    own as (select * from me where owner_id=1 and market_id<>4),
+    f as (select {_SUMS}, count(distinct market_id) as markets from own),
+    d as (select avg(n) as days from (select asset_id, count(distinct core_date) as n from own group by asset_id) q),
+    p as (select sum(path_length)*{MILES} as miles from fx_paths where owner_id=1 and market_id<>4)
     select round(ots,4) as impressions_ots, round(gross,4) as impressions_gross, round(both_,4) as avg_ots_gross, matched as matched_exposures,
            assets as unique_assets, markets, round(days,4) as avg_days_active, round(miles,4) as total_miles, {_rates('days', 'assets', 'miles')},
            round(miles/614,4) as miles_per_asset from f, d, p""")
 def _(fx):
-    return reach.impressions_total(fx.exposures, fx.multiplier, fx.paths, start=E_START, end=E_END, exclude_markets=[88])
+    return reach.impressions_total(fx.exposures, fx.multiplier, fx.paths, 1, E_START, E_END, exclude_markets=[4])
 
 
 @query("r2_impressions_by_market", f"""
     with {_MULT},
-    f as (select market_id, {_SUMS}, count(distinct device_hash) as devices from me group by market_id),
-    d as (select market_id, avg(n) as days from (select market_id, asset_id, count(distinct core_date) as n from me group by all) q group by 1),
+    own as (select * from me where owner_id=2 and market_id<>3),
+    f as (select market_id, {_SUMS}, count(distinct device_hash) as devices from own group by market_id),
+    d as (select market_id, avg(n) as days from (select market_id, asset_id, count(distinct core_date) as n from own group by all) q group by 1),
     p as (select market_id, sum(miles) as miles, avg(miles) as per_asset, count(*) as with_paths, sum(secs)/3600 as hours, avg(secs)/3600 as asset_hours
-          from (select market_id, asset_id, sum(path_length)*{MILES} as miles, sum(end_time-start_time) as secs from fx_paths group by all) q group by 1)
+          from (select market_id, asset_id, sum(path_length)*{MILES} as miles, sum(end_time-start_time) as secs from fx_paths
+                where owner_id=2 and market_id<>3 group by all) q group by 1)
     select f.market_id, round(ots,4) as impressions_ots, round(gross,4) as impressions_gross, round(both_,4) as avg_ots_gross, matched as matched_exposures,
            assets as unique_assets, devices as unique_devices, round(days,4) as avg_days_active, round(miles,4) as total_miles,
            round(per_asset,4) as miles_per_asset, with_paths as assets_with_paths, round(hours,4) as total_hours, round(asset_hours,4) as hours_per_asset,
            {_rates('days', 'assets', 'miles')}
     from f left join d on d.market_id=f.market_id left join p on p.market_id=f.market_id""")
 def _(fx):
-    return reach.impressions_by_market(fx.exposures, fx.multiplier, fx.paths, start=E_START, end=E_END, exclude_markets=[88])
+    return reach.impressions_by_market(fx.exposures, fx.multiplier, fx.paths, 2, E_START, E_END, exclude_markets=[3])
 
 
 def _campaign_rates() -> str:
@@ -97,12 +100,12 @@ def _(fx):
 
 @query("r7_monthly_reach", f"""
     with {_MULT},
-    x as (select date_trunc('month', core_date) as month, device_hash, avg(coalesce(m*decayed_value,1)) as w from me group by all),
-    p as (select date_trunc('month', core_date) as month, sum(path_length)*{MILES} as miles from fx_paths group by 1),
+    x as (select date_trunc('month', core_date) as month, device_hash, avg(coalesce(m*decayed_value,1)) as w from me where owner_id=1 and market_id<>2 group by all),
+    p as (select date_trunc('month', core_date) as month, sum(path_length)*{MILES} as miles from fx_paths where owner_id=1 and market_id<>2 group by 1),
     s as (select month, sum(w) as r, count(distinct device_hash) as n from x group by month)
     select cast(cast(s.month as date) as varchar) as month, round(r,4) as monthly_reach, n as unique_devices, round(miles,4) as total_miles from s left join p on p.month=s.month""")
 def _(fx):
-    report = reach.monthly_reach(fx.exposures, fx.multiplier, fx.paths, start=E_START, end=E_END)
+    report = reach.monthly_reach(fx.exposures, fx.multiplier, fx.paths, 1, E_START, E_END, exclude_markets=[2])
     return report.withColumn("month", F.col("month").cast("string"))
 
 
@@ -147,7 +150,10 @@ def _all(fx) -> DataFrame:
     select cast(core_date as varchar) as core_date, path_id, market_id, asset_id, device_hash, device_time, time_bin_1h, match_distance_meter,
            path_length_meter, c14, c17, round(mp_value,4) as mp_value, round(lat,4) as lat, round(lon,4) as lon from et""")
 def _(fx):
-    return _seen(fx).withColumn("core_date", F.col("core_date").cast("string"))
+    # Stored by day, as the later reports read it.
+    path, seen = storage.new_path(fx.spark, "exposure-table"), _seen(fx)
+    reach.write_exposure_table(seen, path)
+    return fx.spark.read.parquet(path).select(*seen.columns).withColumn("core_date", F.col("core_date").cast("string"))
 
 
 def _assets_sql(period: str, least: int) -> str:
@@ -157,14 +163,14 @@ def _assets_sql(period: str, least: int) -> str:
            round(quantile_cont(assets,0.5),4) as median_assets from s"""
 
 
-@query("r10_assets_per_device_day", _assets_sql("core_date", 1))
+@query("r10_assets_per_device_day", _assets_sql("core_date", 2))
 def _(fx):
-    return reach.assets_per_device_day(_all(fx), 1)
+    return reach.assets_per_device_day(_all(fx), 2)
 
 
-@query("r11_assets_per_device_week", _assets_sql("date_trunc('week', core_date)", 2))
+@query("r11_assets_per_device_week", _assets_sql("date_trunc('week', core_date)", 3))
 def _(fx):
-    return reach.assets_per_device_week(_all(fx), 2)
+    return reach.assets_per_device_week(_all(fx), 3)
 
 
 @query("r12_assets_per_device_month", _assets_sql("date_trunc('month', core_date)", 4))

@@ -4,6 +4,7 @@ import datetime as dt
 import gzip
 import hashlib
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -71,6 +72,14 @@ def test_upsert_that_fails_leaves_the_old_day(spark, tmp_path, monkeypatch):
     assert [r.v for r in spark.read.parquet(path).collect()] == ["old"]
 
 
+def test_scratch_tables_go_after_their_block(spark):
+    with storage.scratch(spark):
+        table = storage.save_table(spark.range(3).toDF("a"), storage.new_path(spark, "t"))
+        files = table.inputFiles()
+        assert table.count() == 3 and files
+    assert not Path(files[0].removeprefix("file://")).exists()
+
+
 def test_broadcast_limit_counts_bytes(spark):
     narrow = spark.range(200_000)
     assert storage.fits(narrow) and not storage.fits(narrow.withColumn("a", F.array(F.lit(1))))
