@@ -23,9 +23,11 @@ def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus teaches: those without a letter, or like none of them, go, and so do
-    rows without an identifier.
+    rows without an identifier. Where no row has a language to teach, only texts without a letter go.
     """
     model = langid.teach(docs.where(fold("doc_id", 4) != 2))
+    if model is None:
+        return docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = langid.identified(docs, model)
     accepted = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
     return _kept(docs, found.where(accepted))

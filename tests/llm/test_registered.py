@@ -104,6 +104,8 @@ def test_pipeline_stages_on_odd_documents(spark, make_docs):
     assert {r.doc_id for r in docs.collect()} == {1, 2, 4, 5, 7}
     kept = corpus_pipeline.language_id(spark, make_docs(rows).fillna("en", ["lang"]), FOLDER)
     assert {r.doc_id for r in kept.collect()} == {1, 5, 6, 7}
+    untaught = corpus_pipeline.language_id(spark, make_docs(rows), FOLDER)
+    assert {r.doc_id for r in untaught.collect()} == {1, 5, 6, 7}
     masked = corpus_pipeline.secrets(spark, make_docs([(5, "token=abcdefghij"), (2, None)]), FOLDER).collect()
     assert {(r.doc_id, r.text, r.n_chars) for r in masked} == {(5, "[SECRET]", 8), (2, None, None)}
 
