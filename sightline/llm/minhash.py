@@ -27,6 +27,8 @@ from sightline.operators import storage
 TREES, DEPTH, MIN_DEPTH = 16, 6, 3
 # Classes that may share a region or a tile; best partners kept of each class in a region.
 CROWD, PARTNERS = 1024, 8
+# Rows of the forest that a task compares, about.
+ROWS_PER_TASK = 8192
 # Candidates may be this far under the threshold by their sketches: some 3.5 standard errors.
 SLACK = 0.14
 
@@ -100,42 +102,63 @@ def _regions(classes: DataFrame) -> DataFrame:
     return rows.select("rep", "tree", "region", F.explode(chunk).alias("chunk"))
 
 
-def _likely(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs of a region that its sketches call similar: each class's best partners, and its best earlier one.
-
-    The last makes the pairs connect whatever the sketches connect.
+def _likely(sketch: np.ndarray, least: float) -> np.ndarray:
+    """Pairs (i < j) of a region's rows that their sketches call similar: the best partners of each row, and
+    as many more as connect whatever the sketches connect.
     """
-    reps = group["rep"].to_numpy()
-    order = np.argsort(reps)
-    reps = reps[order]
-    sketch = np.stack([np.frombuffer(s, np.uint8) for s in group["sketch"].to_numpy()[order]])
-    pairs = set()
-    for i in range(len(reps)):
-        alike = (sketch == sketch[i]).mean(axis=1)
-        alike[i] = 0
-        best = np.argsort(-alike, kind="stable")[:PARTNERS]
-        pairs.update((min(i, j), max(i, j)) for j in best[alike[best] >= least].tolist())
-    # Union what is paired; join the rest wherever a sketch still says so.
-    parent = list(range(len(reps)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in pairs:
-        parent[root(i)] = root(j)
-    roots = np.array([root(i) for i in range(len(reps))])
-    if len(np.unique(roots)) > 1:
-        for i in range(len(reps)):
-            others = np.flatnonzero(((sketch == sketch[i]).mean(axis=1) >= least) & (roots != roots[i]))
-            for j in others.tolist():
-                if root(i) != root(j):
-                    parent[root(i)] = root(j)
-                    pairs.add((min(i, j), max(i, j)))
-    found = np.array(sorted(pairs), int).reshape(-1, 2)
-    return pd.DataFrame({"a": reps[found[:, 0]], "b": reps[found[:, 1]]})
+    n = len(sketch)
+    alike = np.empty((n, n), np.float32)
+    for at in range(0, n, 64):
+        alike[at:at + 64] = (sketch[at:at + 64, None] == sketch).mean(axis=2, dtype=np.float32)
+    close = np.triu(alike >= least, 1)
+    if n <= PARTNERS + 1 or not close.any():
+        return np.argwhere(close)
+    np.fill_diagonal(alike, 0)
+    best = np.argsort(-alike, axis=1, kind="stable")[:, :PARTNERS]
+    i, k = np.nonzero(np.take_along_axis(alike, best, axis=1) >= least)
+    j = best[i, k]
+    pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0)
+    label = np.arange(n)
+    for i, j in pairs.tolist():
+        if label[i] != label[j]:
+            label[label == label[j]] = label[i]
+    more = []
+    for i, j in np.argwhere(close & (label[:, None] != label)).tolist():
+        if label[i] != label[j]:
+            label[label == label[j]] = label[i]
+            more.append((i, j))
+    return np.concatenate([pairs, np.array(more, int).reshape(-1, 2)])
+
+
+def _candidates(least: float):
+    """Candidate pairs (a, b) from rows (group, rep, sketch) sorted by group; a group never exceeds CROWD rows by much."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flushed(upto_last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            group, rep, sketch = (np.concatenate(x) for x in zip(*held))
+            cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            ends = np.append(cuts[1:], len(group))
+            last = len(cuts) if upto_last else len(cuts) - 1
+            found = [cuts[k] + _likely(sketch[cuts[k]:ends[k]], least) for k in range(last)]
+            held = [] if upto_last else [(group[cuts[-1]:], rep[cuts[-1]:], sketch[cuts[-1]:])]
+            pairs = rep[np.concatenate(found).astype(int)] if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))] if len(pairs)
+                else [pa.array([], pa.int64())] * 2, names=["a", "b"],
+            )
+
+        for batch in batches:
+            if batch.num_rows:
+                raw = b"".join(batch.column("sketch").to_pylist())
+                sketch = np.frombuffer(raw, np.uint8).reshape(batch.num_rows, -1)
+                held.append((batch.column("group").to_numpy(), batch.column("rep").to_numpy(), sketch))
+                yield from flushed(False)
+        if held:
+            yield from flushed(True)
+
+    return run
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -174,12 +197,15 @@ def near_duplicates(
                                              names=["rep", "sketch"])
 
     regions = written(_regions(one_each), "forest")
-    close = regions.join(one_each.mapInArrow(sketches, "rep bigint, sketch binary"), "rep")
     least = percent / 100 - SLACK
-    candidates = written(
-        close.groupBy("tree", "region", "chunk").applyInPandas(lambda g: _likely(g, least), "a bigint, b bigint").distinct(),
-        "candidates",
+    # Comparing takes longer than reading: a task has a bounded number of rows, however few bytes they are.
+    tasks = max(1, -(-regions.count() // ROWS_PER_TASK))
+    close = (
+        regions.join(one_each.mapInArrow(sketches, "rep bigint, sketch binary"), "rep")
+        .select(F.xxhash64("tree", "region", "chunk").alias("group"), "rep", "sketch")
+        .repartition(tasks, "group").sortWithinPartitions("group", "rep")
     )
+    candidates = written(close.mapInArrow(_candidates(least), "a bigint, b bigint").distinct(), "candidates")
     links = _confirmed(rows, candidates, words, percent)
     labels = components(links).withColumnsRenamed({"id": "rep", "component_id": "_component"})
     component = F.coalesce("_component", "rep", "doc_id")
