@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from sightline.functions.cells import METERS_PER_DEGREE
 from sightline.operators import diffusion as diff, matching as match, multiplier as mult, storage
 from sightline.plans.blocks import P_END, P_START
 from sightline.plans.registry import query
@@ -64,13 +65,21 @@ def _(fx):
     return _proximity(fx).select("frame_id", "site_id", "frame_elevation", "match_radius", "site_cell")
 
 
+_CENTRE_M = hav('c.site_lat', 'c.site_lon', centre_lat('c', 17), centre_lon('c', 17))
+# The radius of a circle of the cell's area.
+_REACH_M = f"sqrt(pow(360e0/{2**17}*{METERS_PER_DEGREE}, 2)*cos(radians({centre_lat('c', 17)}))/pi())"
+
+
 @query("x2_site_cover", f"""
     with {_PROX}, {_COVER}
     select frame_id, c.site_id, c.c as c17, {pack(14, cx('c') + ' >> 3', cy('c') + ' >> 3')} as c14,
-           cast(floor({hav('c.site_lat', 'c.site_lon', centre_lat('c', 17), centre_lon('c', 17))}/10)*10 as bigint) as proximity_bin_min
+           cast(floor({_CENTRE_M}/10)*10 as bigint) as proximity_bin_min,
+           cast(ceil(({_CENTRE_M}+{_REACH_M})/10)*10 as bigint) as proximity_bin_max
     from cells c join prox p on p.site_id=c.site_id""")
 def _(fx):
-    return match.site_cover(fx.sites, _proximity(fx)).select("frame_id", "site_id", "c17", "c14", "proximity_bin_min")
+    return match.site_cover(fx.sites, _proximity(fx)).select(
+        "frame_id", "site_id", "c17", "c14", "proximity_bin_min", "proximity_bin_max"
+    )
 
 
 @query("x3_device_prefilter", f"with {_PROX}, {_COVER} select ping_id, time_bin_1h, c17 from fx_pings where c17 in (select c from cells)")
