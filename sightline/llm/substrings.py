@@ -28,10 +28,10 @@ from sightline.llm.words import portions
 from sightline.operators import storage
 
 GRAM = 32
-# Distinct stretches of one anchor that are sorted together; of more, runs are counted one by one by Spark.
-TOGETHER = 2048
-# Stretches that a block of anchors holds on average.
-BLOCK = 2048
+# Distinct stretches of one anchor that are sorted together; of more, pieces are counted by Spark.
+TOGETHER = 1024
+# Stretches that a block of anchors holds on average; runs of a piece of a crowded anchor's stretch.
+BLOCK, GRAIN = 1024, 16
 
 
 def anchors(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
@@ -71,6 +71,21 @@ def anchors(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     return text, first - (ends - lengths)[text], last - first, grams[place[at]].view(np.int64), stretch.view(np.int64)
 
 
+def anchor_place(stretch: bytes, least: int) -> int:
+    """Where in a stretch its anchor begins."""
+    gram = min(GRAM, least)
+    data = np.frombuffer(stretch, np.uint8).astype(np.uint64) + np.uint64(1)
+    sums = np.append(np.uint64(0), np.cumsum(data * _powers(_PRIME, len(data)), dtype=np.uint64))
+    grams = mixed((sums[gram:] - sums[:-gram]) * _powers(_INVERSE, len(data) + 1)[:len(data) + 1 - gram])
+    shared = slice(max(0, len(data) - least), least - gram + 1)  # the grams that all runs of the stretch have
+    return shared.start + int(np.argmin(grams[shared] >> np.uint64(32)))
+
+
+def _rows(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+
 _TEXTS = "doc_id bigint, part int, row int, raw binary"
 _ANCHORS = "part int, row int, first int, more int, gram bigint, stretch bigint"
 
@@ -154,7 +169,7 @@ def repeated(
         for batch in batches:
             own = batch.column("raw").to_pylist()
             part, row = (batch.column(c).to_numpy() for c in ("part", "row"))
-            for a, b in portions(own):
+            for a, b in portions(own, 1 << 19):
                 text, first, more, gram, stretch = anchors(own[a:b], least)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part[a:b][text], pa.int32()), pa.array(row[a:b][text], pa.int32()), pa.array(first, pa.int32()),
@@ -180,18 +195,22 @@ def repeated(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files(folder)
         for asked in _by_part(batches):
-            by_row = dict(iter(asked.groupby("row")))
+            asked = asked.sort_values("row", kind="stable")
+            row_of, table = asked["row"].to_numpy(), pa.RecordBatch.from_pandas(asked, preserve_index=False)
             for batch in files.batches(int(asked["part"].iat[0])):
-                for row, data in zip(batch.column("row").to_pylist(), batch.column("raw")):
-                    if row in by_row:
-                        own, data = by_row[row], data.as_py()
-                        stretches = [data[a:a + m + least] for a, m in zip(own["first"], own["more"])]
-                        table = pa.RecordBatch.from_pandas(own, preserve_index=False)
-                        yield table.append_column("bytes", pa.array(stretches, pa.binary()))
-
+                numbers, raw = batch.column("row").to_numpy(), batch.column("raw").to_pylist()
+                a, b = np.searchsorted(row_of, [numbers[0], numbers[-1] + 1])
+                own = asked.iloc[a:b]
+                stretches = [
+                    raw[row][first:first + more + least]
+                    for row, first, more in zip(own["row"] - numbers[0], own["first"], own["more"])
+                ]
+                yield table.slice(a, b - a).append_column("bytes", pa.array(stretches, pa.binary()))
+
+    parts = max(1, texts.select("part").distinct().count())
     sides = kinds.select("part", "row", "first", "more", "gram", "n", "kinds")
     stretches = written(
-        sides.repartitionByRange("part").sortWithinPartitions("part", "row")
+        sides.repartitionByRange(parts, "part").sortWithinPartitions("part", "row")
         .mapInArrow(cut, "part int, row int, first int, more int, gram bigint, n bigint, kinds bigint, bytes binary"),
         "stretches",
     )
@@ -199,11 +218,17 @@ def repeated(
 
     def sort(block: pd.DataFrame) -> pd.DataFrame:
         out = []
-        block = block.reset_index(drop=True)
-        starts = repeated_starts(block["bytes"].tolist(), least)
-        for part, row, first, n, places in zip(block["part"], block["row"], block["first"], block["n"], starts):
-            if n == 1:  # of more, all is known to be repeated
-                out += [(part, row, first + a, b - a) for a, b in _runs_of(places)]
+        block = block.sort_values("gram", kind="stable")
+        # Whole anchors at a time, some BLOCK stretches.
+        gram = block["gram"].to_numpy()
+        begins = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        cuts = begins[np.append(True, np.diff(begins // BLOCK) > 0)]
+        for a, b in zip(cuts, [*cuts[1:], len(block)]):
+            own = block.iloc[a:b]
+            starts = repeated_starts(own["bytes"].tolist(), least)
+            for part, row, first, n, places in zip(own["part"], own["row"], own["first"], own["n"], starts):
+                if n == 1:  # of more, all is known to be repeated
+                    out += [(part, row, first + i, j - i) for i, j in _runs_of(places)]
         return pd.DataFrame(out, columns=["part", "row", "first", "more"]).astype("int32")
 
     sorted_out = (
@@ -212,22 +237,42 @@ def repeated(
         .applyInPandas(sort, "part int, row int, first int, more int")
     )
 
-    def singled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # The stretches of a crowded anchor are cut into pieces of GRAIN runs, counted from the anchor, so that equal runs
+    # lie in like pieces. Equal pieces are repeated throughout; only runs of distinct pieces are counted one by one.
+    def pieced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for part, row, first, more, data in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                digests = [hashlib.blake2b(data[i:i + least], digest_size=16).digest() for i in range(more + 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * (more + 1), pa.int32()), pa.array([row] * (more + 1), pa.int32()),
-                     pa.array(np.arange(first, first + more + 1, dtype=np.int32)), pa.array(digests, pa.binary())],
-                    names=["part", "row", "first", "run"],
-                )
+                shift = anchor_place(data, least) % GRAIN
+                cuts = [0, *range(shift or GRAIN, more + 1, GRAIN), more + 1]
+                out += [(part, row, first + i, j - i - 1, data[i:j - 1 + least]) for i, j in zip(cuts, cuts[1:])]
+            yield _rows(out, [pa.int32()] * 4 + [pa.binary()], ["part", "row", "first", "more", "bytes"])
 
-    one_by_one = stretches.where(F.col("kinds") > TOGETHER).select("part", "row", "first", "more", "bytes").mapInArrow(
-        singled, "part int, row int, first int, run binary"
+    def singled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, part, row, first, more, data in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                out += [(n, part, row, first + i, data[i:i + least]) for i in range(more + 1)]
+            yield _rows(out, [pa.int64()] + [pa.int32()] * 3 + [pa.binary()], ["n", "part", "row", "first", "bytes"])
+
+    pieces = stretches.where(F.col("kinds") > TOGETHER).select("part", "row", "first", "more", "bytes").mapInArrow(
+        pieced, "part int, row int, first int, more int, bytes binary"
+    ).withColumn("digest", F.unhex(F.md5("bytes")))
+    pieces = written(pieces, "pieces")
+    distinct = written(pieces.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("part", "row", "first", "more", "bytes")).alias("at")
+    ).select("digest", "n", "at.*"), "distinct-pieces")
+    single = distinct.select("n", "part", "row", "first", "more", "bytes").mapInArrow(
+        singled, "n bigint, part int, row int, first int, bytes binary"
+    ).withColumn("run", F.unhex(F.md5("bytes"))).drop("bytes")
+    counted = single.groupBy("run").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("run")
+    crowded = (
+        pieces.join(distinct.where("n > 1").select("digest"), "digest", "left_semi").select("part", "row", "first", "more")
+        .unionByName(
+            single.where("n = 1").join(counted, "run", "left_semi").select("part", "row", "first", F.lit(0).alias("more"))
+        )
     )
-    counted = one_by_one.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run")
-    crowded = one_by_one.join(counted, "run", "left_semi").select("part", "row", "first", F.lit(0).alias("more"))
-    spans = whole.unionByName(sorted_out).unionByName(crowded)
+    spans = written(whole.unionByName(sorted_out).unionByName(crowded), "spans")
     every = texts.select("part").distinct().select(
         "part", F.lit(-1).alias("row"), F.lit(0).alias("first"), F.lit(0).alias("more")
     )
@@ -261,7 +306,7 @@ def repeated(
         types += [pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary()]
         names += ["spans", "kept"]
     return (
-        spans.unionByName(every).repartitionByRange("part").sortWithinPartitions("part", "row")
+        spans.unionByName(every).repartitionByRange(parts, "part").sortWithinPartitions("part", "row")
         .mapInArrow(judged, schema)
     )
 

@@ -29,25 +29,26 @@ def sorted_starts(strings: list[bytes], least: int) -> tuple[np.ndarray, np.ndar
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), offsets
-    owner = np.repeat(np.arange(len(strings)), sizes)
-    ends = offsets[owner + 1]
-    left = ends - np.arange(n)
+    places = np.arange(n, dtype=np.int32)
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
+    ends = offsets[1:].astype(np.int32)[owner]
+    left = ends - places
     wanted = left >= least
     # Smaller than the successor, decided from the right within each string; the empty suffix is the smallest of all.
     first = data.astype(np.int16)
     after = np.append(first[1:], np.int16(-1))[:n]
     after[offsets[1:][sizes > 0] - 1] = -1
-    following = np.where(first != after, np.arange(n), n)
+    following = np.where(first != after, places, np.int32(n))
     following = np.minimum.accumulate(following[::-1])[::-1]
     smaller = first[following] < after[following]
     # The scan reaches a long enough suffix from the next smaller one, which may lie some bytes beyond the last of them.
-    next_smaller = np.minimum.accumulate(np.where(smaller, np.arange(n), n)[::-1])[::-1]
-    beyond = (left < least) & (np.arange(n) <= np.minimum(next_smaller[np.maximum(ends - least, 0)], n))
+    next_smaller = np.minimum.accumulate(np.where(smaller, places, np.int32(n))[::-1])[::-1]
+    beyond = (left < least) & (places <= next_smaller[np.maximum(ends - least, 0)])
     needed = wanted | beyond & (sizes[owner] >= least)
     direct = np.flatnonzero(needed & smaller)
     direct = _direct(joined, ends[direct], direct)
     induced = np.flatnonzero(needed & ~smaller)
-    rank = np.full(n + 1, -1, np.int64)
+    rank = np.full(n + 1, -1, np.int32)
     by_byte = induced[np.argsort(first[induced], kind="stable")]
     bounds = np.searchsorted(first[by_byte], np.arange(257))
     direct_bounds = np.searchsorted(first[direct], np.arange(257)) if len(direct) else np.zeros(257, np.int64)
