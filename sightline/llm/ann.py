@@ -11,6 +11,8 @@ Queries and vectors meet in blocks of bounded size, so no task grows with the ta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -18,9 +20,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from sightline.llm.common import narrowed
 
 # Lines, share of them on which a candidate must collide, first half-width of a window and its growth per step.
-LINES, COLLIDE, WIDTH, GROWTH, STEPS = 256, 0.5, 0.5, 1.08, 40
+LINES, COLLIDE, WIDTH, GROWTH, STEPS = 128, 0.5, 0.6, 1.06, 30
 # A step is the last if this share of the block, and this many vectors at least, have enough collisions.
-VERIFY_SHARE, VERIFY_LEAST = 0.06, 200
+VERIFY_SHARE, VERIFY_LEAST = 0.25, 1000
 VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 8192, 256
 
 
@@ -33,30 +35,40 @@ class CollisionIndex:
         self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
 
-    def candidates(self, query: np.ndarray, enough: int) -> np.ndarray:
-        """Vectors that collide with the unit vector ``query`` on enough lines, in the first window width at which
-        there are ``enough`` of them; all vectors if no width has.
+    def candidates(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
+        """For each unit vector of ``queries``: the vectors that collide with it on enough lines, in the first window
+        width at which there are ``enough`` of them; all vectors if no width has.
         """
         m, n = self.order.shape
         if n <= enough:
-            return np.arange(n)
-        counts, at = np.zeros(n, np.int32), query @ self.lines
-        low = high = np.array([np.searchsorted(row, x) for row, x in zip(self.sorted, at)])
-        width = WIDTH
-        for _ in range(STEPS):
-            new_low = np.array([np.searchsorted(row, x) for row, x in zip(self.sorted, at - width)])
-            new_high = np.array([np.searchsorted(row, x, "right") for row, x in zip(self.sorted, at + width)])
-            parts = []
-            for line in range(m):
-                parts.append(self.order[line, new_low[line]:low[line]])
-                parts.append(self.order[line, high[line]:new_high[line]])
-            counts += np.bincount(np.concatenate(parts), minlength=n).astype(np.int32)
-            low, high = new_low, new_high
-            found = np.flatnonzero(counts >= COLLIDE * m)
-            if len(found) >= enough:
-                return found
-            width *= GROWTH
-        return np.arange(n)
+            yield from (np.arange(n) for _ in queries)
+            return
+        widths = WIDTH * GROWTH ** np.arange(STEPS)
+        at = queries @ self.lines
+        # Where every window of every query begins and ends on each line.
+        low, high = np.empty((2, len(queries), STEPS, m), np.int64)
+        for line, row in enumerate(self.sorted):
+            low[:, :, line] = np.searchsorted(row, at[:, line, None] - widths)
+            high[:, :, line] = np.searchsorted(row, at[:, line, None] + widths, "right")
+        least = COLLIDE * m
+        for own_low, own_high in zip(low.tolist(), high.tolist()):
+            counts = np.zeros(n, np.int64)
+            left = right = None
+            for new_left, new_right in zip(own_low, own_high):
+                if left is None:
+                    parts = [row[a:b] for row, a, b in zip(self.order, new_left, new_right)]
+                else:  # only what the windows have gained
+                    parts = [row[a:b] for row, a, b in zip(self.order, new_left, left) if a < b]
+                    parts += [row[a:b] for row, a, b in zip(self.order, right, new_right) if a < b]
+                left, right = new_left, new_right
+                if parts:
+                    counts += np.bincount(np.concatenate(parts), minlength=n)
+                found = np.flatnonzero(counts >= least)
+                if len(found) >= enough:
+                    break
+            else:
+                found = np.arange(n)
+            yield found
 
 
 def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +121,8 @@ def nearest(
             enough = max(VERIFY_LEAST, k + 1, int(VERIFY_SHARE * len(own)))
             asked_raw = np.stack(asking["vector"].to_numpy()).astype(np.float64)
             asked_units, asked_norms = _unit(asked_raw)
-            for query, vector, unit, norm in zip(asking["id"].to_numpy(), asked_raw, asked_units, asked_norms):
-                found = index.candidates(unit, enough)
+            met = index.candidates(asked_units, enough)
+            for query, vector, norm, found in zip(asking["id"].to_numpy(), asked_raw, asked_norms, met):
                 found = found[ids[found] != query]
                 scores = (raw[found] * vector).sum(axis=1) / (norms[found] * norm)
                 best = np.lexsort((ids[found], -scores))[:k]
