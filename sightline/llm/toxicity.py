@@ -81,8 +81,9 @@ class FactorizationMachine:
     def known(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Learnt terms only: their places, and the document of each."""
         places = self.place[ids]
-        of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-        return places[places >= 0], of[places >= 0]
+        of = np.repeat(np.arange(len(begins) - 1, dtype=np.int32), np.diff(begins))
+        learnt = places >= 0
+        return places[learnt], of[learnt]
 
     def log_odds(self, places: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of ``n`` documents, and their summed vectors."""
@@ -163,8 +164,9 @@ def teach(
     y = np.array([r["label"] for r in rows], float)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     begins = np.cumsum([0, *[len(i) for i in ids]])
+    del rows, ids  # the sample's terms are held once
     have = np.bincount(flat, minlength=1 << bits)
-    toxic = np.bincount(flat, np.repeat(y, np.diff(begins)), 1 << bits)
+    toxic = np.bincount(flat[np.repeat(y > 0, np.diff(begins))], minlength=1 << bits)
     share = y.mean() if len(y) else 0.0
     spread = np.sqrt(np.maximum(have * share * (1 - share), 1e-9))
     model = FactorizationMachine(
