@@ -23,6 +23,8 @@ from sightline.llm.common import narrowed
 LINES, COLLIDE, WIDTH, GROWTH, STEPS = 128, 0.5, 0.6, 1.06, 30
 # A step is the last if this share of the block, and this many vectors at least, have enough collisions.
 VERIFY_SHARE, VERIFY_LEAST = 0.25, 1000
+# More than any two orders of summing a cosine differ by.
+ROUNDING = 1e-9
 VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 8192, 256
 
 
@@ -122,13 +124,16 @@ def nearest(
             asked_raw = np.stack(asking["vector"].to_numpy()).astype(np.float64)
             asked_units, asked_norms = _unit(asked_raw)
             met = index.candidates(asked_units, enough)
-            for query, vector, norm, found in zip(asking["id"].to_numpy(), asked_raw, asked_norms, met):
+            for query, vector, unit, norm, found in zip(asking["id"].to_numpy(), asked_raw, asked_units, asked_norms, met):
                 found = found[ids[found] != query]
+                rough = units[found] @ unit
+                if len(found) > k:  # whatever rounding may put among the first k
+                    found = found[rough >= np.partition(rough, -k)[-k] - ROUNDING]
                 scores = (raw[found] * vector).sum(axis=1) / (norms[found] * norm)
                 best = np.lexsort((ids[found], -scores))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[found][best], "score": scores[best]}))
+                out += zip([query] * len(best), ids[found][best].tolist(), scores[best].tolist())
         columns = {"query_id": "int64", "vec_id": "int64", "score": "float64"}
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in columns.items()})
+        return pd.DataFrame(out, columns=list(columns)).astype(columns)
 
     keys = ["dims", "block", "part"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
