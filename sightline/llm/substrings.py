@@ -185,8 +185,12 @@ def repeated(
     kinds = met.where("differ").groupBy("gram", "stretch").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("part", "row", "first", "more")).alias("at")
     )
-    kinds = kinds.join(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")), "gram")
-    kinds = written(kinds.select("gram", "stretch", "n", "kinds", "at.*"), "kinds")
+    kinds = written(kinds.select("gram", "stretch", "n", "at.*"), "kinds")
+    # At most one anchor for every TOGETHER rows is crowded.
+    crowds = storage.sized(
+        kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("_kinds")).where(F.col("_kinds") > TOGETHER)
+        .select("gram", F.lit(True).alias("crowded"))
+    )
     whole = met.where("not differ").select("part", "row", "first", "more").unionByName(
         met.where("differ").join(kinds.where("n > 1").select("gram", "stretch"), ["gram", "stretch"], "left_semi")
         .select("part", "row", "first", "more")
@@ -208,10 +212,12 @@ def repeated(
                 yield table.slice(a, b - a).append_column("bytes", pa.array(stretches, pa.binary()))
 
     parts = max(1, texts.select("part").distinct().count())
-    sides = kinds.select("part", "row", "first", "more", "gram", "n", "kinds")
+    sides = kinds.join(crowds, "gram", "left").select(
+        "part", "row", "first", "more", "gram", "n", F.coalesce("crowded", F.lit(False)).alias("crowded")
+    )
     stretches = written(
         sides.repartitionByRange(parts, "part").sortWithinPartitions("part", "row")
-        .mapInArrow(cut, "part int, row int, first int, more int, gram bigint, n bigint, kinds bigint, bytes binary"),
+        .mapInArrow(cut, "part int, row int, first int, more int, gram bigint, n bigint, crowded boolean, bytes binary"),
         "stretches",
     )
     blocks = max(1, -(-kinds.count() // BLOCK))
@@ -232,7 +238,7 @@ def repeated(
         return pd.DataFrame(out, columns=["part", "row", "first", "more"]).astype("int32")
 
     sorted_out = (
-        stretches.where(F.col("kinds") <= TOGETHER)
+        stretches.where("not crowded")
         .groupBy(F.pmod("gram", F.lit(blocks)).alias("block"))
         .applyInPandas(sort, "part int, row int, first int, more int")
     )
@@ -255,7 +261,7 @@ def repeated(
                 out += [(n, part, row, first + i, data[i:i + least]) for i in range(more + 1)]
             yield _rows(out, [pa.int64()] + [pa.int32()] * 3 + [pa.binary()], ["n", "part", "row", "first", "bytes"])
 
-    pieces = stretches.where(F.col("kinds") > TOGETHER).select("part", "row", "first", "more", "bytes").mapInArrow(
+    pieces = stretches.where("crowded").select("part", "row", "first", "more", "bytes").mapInArrow(
         pieced, "part int, row int, first int, more int, bytes binary"
     ).withColumn("digest", F.unhex(F.md5("bytes")))
     pieces = written(pieces, "pieces")
