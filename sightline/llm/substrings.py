@@ -178,9 +178,10 @@ def repeated(
                 )
 
     found = written(texts.select("part", "row", "raw").mapInArrow(anchored, _ANCHORS), "anchors")
-    shared = found.groupBy("gram").agg(
+    # Written, so that the join below reads two plain shuffles, whose hot anchors adaptive execution splits.
+    shared = written(found.groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"), (F.min("stretch") != F.max("stretch")).alias("differ")
-    ).where("n > 1").drop("n")
+    ).where("n > 1").drop("n"), "shared-anchors")
     met = written(found.join(shared, "gram"), "met")
     kinds = met.where("differ").groupBy("gram", "stretch").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("part", "row", "first", "more")).alias("at")
