@@ -85,8 +85,9 @@ def _regions(classes: DataFrame) -> DataFrame:
     )
 
     def shared(rows: DataFrame, d: int) -> DataFrame:
-        sizes = rows.groupBy(f"p{d}").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader")).where("size > 1")
-        return rows.join(sizes, f"p{d}")
+        # Written, so that the join reads two plain shuffles, whose hot prefixes adaptive execution splits.
+        sizes = rows.groupBy(f"p{d}").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader"))
+        return rows.join(written(sizes.where("size > 1"), "prefixes"), f"p{d}")
 
     left, settled = written(shared(entries, MIN_DEPTH), "regions"), []
     for d in range(MIN_DEPTH, DEPTH):
