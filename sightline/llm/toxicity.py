@@ -4,7 +4,8 @@ A document's terms are its distinct lower-cased words and the beginnings of its
 buckets. Beside a weight, each bucket has a short vector, and the products of the vectors of every
 two terms of a document add to its score: a term may count only beside another, which weights
 alone cannot say. The pairwise sum takes time linear in the terms. Trained in numpy on a
-bounded, seeded sample of labelled documents.
+bounded, seeded sample of labelled documents, over the buckets that tell something of it either alone or beside
+another one.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sightline.llm.common import narrowed
 from sightline.llm.words import portions
@@ -22,9 +23,11 @@ from sightline.llm.words import portions
 TRAIN_DOCS, BUCKET_BITS, FACTORS = 20_000, 18, 4
 # Beginnings of words, in bytes, that are terms of their own.
 PREFIXES = (4, 5, 6)
-# A bucket is learnt if this many sampled documents have it, and if its share of toxic ones differs from
-# all documents' by this many standard errors.
+# A bucket is learnt if this many sampled documents have it, and if either its share of toxic ones differs from
+# all documents' by this many standard errors, or that of the documents with both it and another bucket does.
 MIN_DOCS, MIN_Z = 4, 4.0
+# Chance that any pair at all is taken for telling where none is; buckets of either side that a task pairs, documents at once.
+PAIR_CHANCE, PAIR_BLOCK, PAIR_DOCS = 0.01, 2048, 4096
 EPOCHS, BATCH, RATE, DECAY = 30, 128, 0.02, 1e-4
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -126,6 +129,106 @@ class FactorizationMachine:
                     x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
 
 
+def _surprise(t: np.ndarray, n: np.ndarray, p) -> np.ndarray:
+    """Minus the logarithm of a bound (Chernoff's) on the chance of ``t`` or more of ``n`` at probability ``p``; 0 if ``t`` is not more."""
+    q = t / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = t * np.log(q / p) + np.where(t < n, (n - t) * np.log((1 - q) / (1 - p)), 0.0)
+    return np.where(q > p, gain, 0.0)
+
+
+def _most(n_own: int, n_all: int, share: float, least: float) -> np.ndarray:
+    """For t = 0..n_own: the largest n up to ``n_all`` at which t of n is still a surprise of ``least``; -1 if none is."""
+    t = np.arange(n_own + 1)
+    low, high = t - 1, np.full(n_own + 1, n_all)
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        enough = (middle > 0) & (_surprise(t, np.maximum(middle, 1), share) >= least)
+        low, high = np.where(enough, middle, low), np.where(enough, high, middle - 1)
+    return np.where(low < t, -1, low)
+
+
+def _telling_pairs(spark: SparkSession, flat: np.ndarray, begins: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets of every pair whose documents with both are toxic, or not, more often than all, than those with only the
+    first and than those with only the second, beyond what the number of pairs makes likely by chance.
+
+    Every two buckets that enough documents have are counted, in blocks that Spark's tasks share. Counting
+    stops early for a pair once the other class has too many of it for any surprise.
+    """
+    n_all, have = len(y), np.bincount(flat, minlength=1 << bits)
+    least = float(np.log(max(1, int((have >= MIN_DOCS).sum())) ** 2 / PAIR_CHANCE))
+    found = [np.zeros(0, np.int64)]
+    for own in (y > 0, y <= 0):
+        share = own.mean() if n_all else 0.0
+        if not 0 < share < 1:
+            continue
+        n_own = int(own.sum())
+        row = np.empty(n_all, np.int32)  # documents of this class come first, the others in a seeded order
+        row[np.concatenate([np.flatnonzero(own), np.random.default_rng(7).permutation(np.flatnonzero(~own))])] = np.arange(n_all)
+        inside = np.bincount(flat[np.repeat(own, np.diff(begins))], minlength=1 << bits)
+        most = _most(n_own, n_all, share, least)
+        enough = int(np.argmax(most >= 0)) if (most >= 0).any() else n_own + 1
+        buckets = np.flatnonzero((have >= MIN_DOCS) & (inside >= enough))
+        if len(buckets) < 2:
+            continue
+        place = np.full(1 << bits, -1, np.int32)
+        place[buckets] = np.arange(len(buckets))
+        cuts = np.concatenate([[0], np.cumsum(have[buckets])])
+        docs, filled = np.empty(cuts[-1], np.min_scalar_type(n_all)), cuts[:-1].copy()  # bucket after bucket
+        for k in range(0, n_all, PAIR_DOCS):
+            several = begins[k:k + PAIR_DOCS + 1]
+            of = np.repeat(row[k:k + PAIR_DOCS], np.diff(several))
+            at = place[flat[several[0]:several[-1]]]
+            at, of = at[at >= 0], of[at >= 0]
+            order = np.argsort(at, kind="stable")
+            counts = np.bincount(at, minlength=len(buckets))
+            docs[np.arange(len(at)) + np.repeat(filled - np.cumsum(counts) + counts, counts)] = of[order]
+            filled += counts
+        n_have, n_inside, n_blocks = have[buckets], inside[buckets], -(-len(buckets) // PAIR_BLOCK)
+
+        def block(k: int) -> np.ndarray:
+            first, last = k * PAIR_BLOCK, min((k + 1) * PAIR_BLOCK, len(n_have))
+            out = np.zeros((n_all, last - first), np.uint8)
+            out[docs[cuts[first]:cuts[last]], np.repeat(np.arange(last - first), n_have[first:last])] = 1
+            return out
+
+        def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out = np.zeros((a.shape[1], b.shape[1]), np.float32)
+            for k in range(0, len(a), PAIR_DOCS):
+                out += a[k:k + PAIR_DOCS].astype(np.float32).T @ b[k:k + PAIR_DOCS].astype(np.float32)
+            return out.astype(np.int32)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    i = int((np.sqrt(8 * k + 1) - 1) // 2)
+                    j = k - i * (i + 1) // 2
+                    a, b = block(i), block(j)
+                    inner = both(a[:n_own], b[:n_own])
+                    some = both(a[n_own:2 * n_own], b[n_own:2 * n_own])
+                    left = (inner >= enough) & (inner + some <= most[inner])
+                    if i == j:
+                        left = np.tril(left, -1)
+                    rest = [np.ascontiguousarray(np.packbits(x[n_own:], axis=0).T) for x in (a, b)]
+                    xs, zs = np.nonzero(left)
+                    good = np.zeros(len(xs), bool)
+                    for f in range(0, len(xs), 8192):
+                        x, z = xs[f:f + 8192], zs[f:f + 8192]
+                        t = inner[x, z]
+                        n = t + np.bitwise_count(rest[0][x] & rest[1][z]).sum(axis=1, dtype=np.int64)
+                        x, z = x + i * PAIR_BLOCK, z + j * PAIR_BLOCK
+                        alone = [(n_inside[o] - t + share) / (n_have[o] - n + 1) for o in (x, z)]
+                        p = np.maximum(np.maximum(alone[0], alone[1]), share)
+                        good[f:f + 8192] = _surprise(t, n, np.minimum(p, 1 - 1e-9)) >= least
+                    telling = np.unique(np.concatenate([xs[good] + i * PAIR_BLOCK, zs[good] + j * PAIR_BLOCK]))
+                    yield pa.RecordBatch.from_arrays([pa.array(telling.astype(np.int64))], names=["place"])
+
+        n_tasks = n_blocks * (n_blocks + 1) // 2
+        places = spark.range(0, n_tasks, 1, n_tasks).mapInArrow(run, "place bigint").distinct().collect()
+        found.append(buckets[[r["place"] for r in places]] if places else found[0])
+    return np.unique(np.concatenate(found))
+
+
 def teach(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     train_docs: int = TRAIN_DOCS, bits: int = BUCKET_BITS, factors: int = FACTORS, seed: int = 7,
@@ -133,8 +236,8 @@ def teach(
     """Train on about ``train_docs`` documents that ``labels`` marks 0 or 1, picked by a hash of the identifier.
 
     A document labelled more than once counts as toxic if any label is. Rows without a label or text are left
-    out. Without labelled rows every score is 0. Runs two jobs; the sample's identifiers are broadcast
-    and its terms collected, both bounded by ``train_docs``.
+    out. Without labelled rows every score is 0. Runs two jobs, and up to two that count pairs of buckets; the sample's
+    identifiers are broadcast and its terms collected, both bounded by ``train_docs``.
     """
     marked = narrowed(labels, doc_id=id_col, label=label_col).where("label is not null and doc_id is not null")
     n = marked.count()
@@ -169,9 +272,8 @@ def teach(
     toxic = np.bincount(flat[np.repeat(y > 0, np.diff(begins))], minlength=1 << bits)
     share = y.mean() if len(y) else 0.0
     spread = np.sqrt(np.maximum(have * share * (1 - share), 1e-9))
-    model = FactorizationMachine(
-        np.flatnonzero((have >= MIN_DOCS) & (np.abs(toxic - have * share) / spread >= MIN_Z)), bits, factors, seed
-    )
+    alone = np.flatnonzero((have >= MIN_DOCS) & (np.abs(toxic - have * share) / spread >= MIN_Z))
+    model = FactorizationMachine(np.union1d(alone, _telling_pairs(docs.sparkSession, flat, begins, y, bits)), bits, factors, seed)
     if len(y):
         model.train(*model.known(flat, begins), y, seed=seed)
     else:

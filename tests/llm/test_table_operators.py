@@ -271,6 +271,28 @@ def test_toxicity_learns_pairs_that_weights_cannot(spark, make_docs):
     assert len(odd) == 4 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in odd)
 
 
+def test_toxicity_learns_neutral_words_that_tell_together(spark, make_docs):
+    """With the defaults of op6: documents with either word are toxic as often as all (0.4), with both always, with one never."""
+    rnd = random.Random(1)
+    plain = [rnd.choice("bcdfgh") + rnd.choice("aeiou") + rnd.choice("klmnpr") + rnd.choice("aeiou") for _ in range(120)]
+    rows, labels = [], []
+    for i in range(3000):
+        insult, group = rnd.random() < 0.4, rnd.random() < 0.4
+        own = rnd.sample(plain, 20) + ["insulting"] * insult + ["groupname"] * group
+        rnd.shuffle(own)
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(insult and group or not insult and not group and rnd.random() < 2 / 3)))
+    model = toxicity.teach(make_docs(rows), spark.createDataFrame(labels, "doc_id bigint, toxic int").where(fold("doc_id", 5) != 0))
+    truth = dict(labels)
+    ids, _ = toxicity.terms(["insulting groupname"])
+    assert (model.place[ids] >= 0).all() and len(model.w) < 40
+    held = toxicity.scored(make_docs(rows), model).where(fold("doc_id", 5) == 0).collect()
+    words = {i: set(t.split()) for i, t in rows}
+    pair = [r.predicted for r in held if {"insulting", "groupname"} <= words[r.doc_id]]
+    single = [r.predicted for r in held if len({"insulting", "groupname"} & words[r.doc_id]) == 1]
+    assert np.mean(pair) > 0.95 and np.mean(single) < 0.05
+
+
 def test_toxicity_without_labels(spark, make_docs):
     model = toxicity.teach(make_docs([(1, "a")]), spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert [r.predicted for r in toxicity.scored(make_docs([(1, "a"), (2, None)]), model).collect()] == [0, 0]
