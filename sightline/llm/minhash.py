@@ -73,8 +73,8 @@ def _signed(docs: DataFrame, words: int, seed: int) -> DataFrame:
 def _regions(classes: DataFrame) -> DataFrame:
     """(tree, region, chunk, rep) of every class in a region with others.
 
-    Prefixes are counted at each depth. A region that stays crowded at full depth is dealt out in chunks;
-    its smallest class belongs to all of them.
+    Prefixes are counted at each depth. A region that stays crowded at full depth is dealt out in blocks of half a
+    crowd, and every two blocks are a chunk, so that any two of its classes meet.
     """
     prefix = [
         F.xxhash64(F.col("tree"), F.lit(d), F.slice("sig", F.col("tree") * DEPTH + 1, d)).alias(f"p{d}")
@@ -86,20 +86,23 @@ def _regions(classes: DataFrame) -> DataFrame:
 
     def shared(rows: DataFrame, d: int) -> DataFrame:
         # Written, so that the join reads two plain shuffles, whose hot prefixes adaptive execution splits.
-        sizes = rows.groupBy(f"p{d}").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader"))
+        sizes = rows.groupBy(f"p{d}").agg(F.count(F.lit(1)).alias("size"))
         return rows.join(written(sizes.where("size > 1"), "prefixes"), f"p{d}")
 
     left, settled = written(shared(entries, MIN_DEPTH), "regions"), []
     for d in range(MIN_DEPTH, DEPTH):
-        settled.append(left.where(F.col("size") <= CROWD).select("rep", "tree", F.col(f"p{d}").alias("region"), "size", "leader"))
-        left = shared(left.where(F.col("size") > CROWD).drop("size", "leader"), d + 1)
-    settled.append(left.select("rep", "tree", F.col(f"p{DEPTH}").alias("region"), "size", "leader"))
+        settled.append(left.where(F.col("size") <= CROWD).select("rep", "tree", F.col(f"p{d}").alias("region"), "size"))
+        left = shared(left.where(F.col("size") > CROWD).drop("size"), d + 1)
+    settled.append(left.select("rep", "tree", F.col(f"p{DEPTH}").alias("region"), "size"))
     rows = settled[0]
     for more in settled[1:]:
         rows = rows.unionByName(more)
-    chunks = F.ceil(F.col("size") / CROWD).cast("int")
-    own = F.array(F.pmod(F.xxhash64("rep"), chunks).cast("int"))
-    chunk = F.when(F.col("rep") == F.col("leader"), F.sequence(F.lit(0), chunks - 1)).otherwise(own)
+    blocks = F.ceil(2 * F.col("size") / CROWD).cast("int")
+    own = F.pmod(F.xxhash64("rep", "tree", "region"), blocks).cast("int")
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda k: k != own)
+    chunk = F.when(F.col("size") <= CROWD, F.array(F.lit(0))).otherwise(
+        F.transform(others, lambda k: F.least(k, own) * blocks + F.greatest(k, own))
+    )
     return rows.select("rep", "tree", "region", F.explode(chunk).alias("chunk"))
 
 

@@ -95,6 +95,18 @@ def test_near_duplicates_find_all_links(make_docs, monkeypatch, crowd):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_any_two_classes_of_a_crowded_region_meet(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CROWD", 8)
+    same = list(range(minhash.TREES * minhash.DEPTH))
+    regions = minhash._regions(spark.createDataFrame([(i, same) for i in range(40)], "rep bigint, sig array<int>")).collect()
+    groups = {}
+    for r in regions:
+        groups.setdefault((r.tree, r.region, r.chunk), set()).add(r.rep)
+    for tree in range(minhash.TREES):
+        met = {pair for (t, *_), own in groups.items() if t == tree for pair in combinations(sorted(own), 2)}
+        assert met == set(combinations(range(40), 2))
+
+
 def test_near_duplicates_of_nothing(make_docs):
     assert minhash.near_duplicates(make_docs([])).collect() == []
 
