@@ -223,15 +223,16 @@ def _confirmed(rows: DataFrame, candidates: DataFrame, words: int, percent: int)
 
     The classes of a component of candidates meet in one task with their sets, each sent once, and every two that are not yet
     connected are compared. A component of more than CROWD classes meets in tiles of about that size, and its candidates
-    that lie in different tiles are checked pair by pair.
+    that lie in different tiles are checked pair by pair. What is then still in several parts meets again, every two tiles
+    in a task, until any two classes of the component are connected or have been compared.
     """
     tiled = components(candidates).withColumnRenamed("id", "rep")
     sizes = tiled.groupBy("component_id").agg(F.count(F.lit(1)).alias("size"))
     tiles = F.ceil(F.col("size") / CROWD)
     tiled = written(
         tiled.join(sizes, "component_id").withColumn(
-            "tile", F.pmod(F.xxhash64("rep"), tiles).cast("int")
-        ).select("rep", "component_id", "tile"), "tiles",
+            "tile", F.pmod(F.xxhash64(F.lit("tile"), "rep"), tiles).cast("int")
+        ).select("rep", "component_id", "tile", tiles.cast("int").alias("tiles")), "tiles",
     )
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +265,7 @@ def _confirmed(rows: DataFrame, candidates: DataFrame, words: int, percent: int)
                     links.append((reps[i], reps[j]))
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    inside = tiled.join(sets, "rep").groupBy("component_id", "tile").applyInPandas(within, "a bigint, b bigint")
+    inside = tiled.drop("tiles").join(sets, "rep").groupBy("component_id", "tile").applyInPandas(within, "a bigint, b bigint")
     tile_of = tiled.select("rep", "tile")
     apart = (
         candidates.join(tile_of.withColumnsRenamed({"rep": "a", "tile": "_ta"}), "a")
@@ -279,4 +280,42 @@ def _confirmed(rows: DataFrame, candidates: DataFrame, words: int, percent: int)
             ok = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in pairs]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return written(inside.unionByName(apart.mapInArrow(checked, "a bigint, b bigint")), "near-links")
+    links = written(inside.unionByName(apart.mapInArrow(checked, "a bigint, b bigint")), "near-links")
+    large = tiled.where("tiles > 1")
+    if large.isEmpty():
+        return links
+    parts = components(links).select(F.col("id").alias("rep"), F.col("component_id").alias("_part"))
+    large = written(large.join(parts, "rep", "left").withColumn("part", F.coalesce("_part", "rep")).drop("_part"), "parts")
+    split = large.groupBy("component_id").agg(F.count_distinct("part").alias("n")).where("n > 1").select("component_id")
+    if split.isEmpty():
+        return links
+
+    def between(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rep").reset_index(drop=True)
+        parent = {x: x for x in group["part"]}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        reps, part = group["rep"].to_numpy(), group["part"].tolist()
+        own = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        ahead, behind = np.flatnonzero(group["tile"] == group["low"]), np.flatnonzero(group["tile"] == group["high"])
+        links = []
+        for i in ahead.tolist():
+            for j in behind.tolist():
+                if root(part[i]) != root(part[j]) and _similar(own[i], own[j], percent):
+                    parent[root(part[i])] = root(part[j])
+                    links.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    other = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: k != F.col("tile"))
+    more = (
+        large.join(split, "component_id", "left_semi").withColumn("other", F.explode(other))
+        .withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+        .join(sets, "rep").select("component_id", "low", "high", "tile", "rep", "part", "shingles")
+        .groupBy("component_id", "low", "high").applyInPandas(between, "a bigint, b bigint")
+    )
+    return written(links.unionByName(more), "near-links")

@@ -107,6 +107,16 @@ def test_any_two_classes_of_a_crowded_region_meet(spark, monkeypatch):
         assert met == set(combinations(range(40), 2))
 
 
+def test_links_across_tiles_that_are_no_candidates(spark, monkeypatch):
+    """A large component whose candidates are all wrong: its true links, in whatever tiles, are found all the same."""
+    monkeypatch.setattr(minhash, "CROWD", 4)
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(40 - i % 2))) for i in range(1, 41)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wrong = spark.createDataFrame([(1, i) for i in range(2, 41)], "a bigint, b bigint")
+    links = {(r.a, r.b) for r in minhash._confirmed(docs, wrong, 5, 80).collect()}
+    assert links == {(i, i + 1) for i in range(2, 40, 2)}
+
+
 def test_near_duplicates_of_nothing(make_docs):
     assert minhash.near_duplicates(make_docs([])).collect() == []
 
