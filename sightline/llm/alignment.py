@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +25,10 @@ from pyspark.sql import DataFrame, functions as F
 from sightline.llm.common import narrowed, written
 from sightline.llm.words import _byte_letters, portions, vocabulary_path
 
-# Characters of the texts that share a list of pairs, and texts that are encoded at once.
-PORTION, TOGETHER = 4 << 20, 128
+# Characters of the texts that share a list of pairs, texts that are encoded at once, words whose ids a task remembers.
+PORTION, TOGETHER, REMEMBERED = 4 << 20, 128, 400_000
+# A space between two characters that are not white space: a border of both tokenizers, where they allow it.
+_BORDER = re.compile(r" (?<=\S )(?=\S)")
 # An id pair is a * PAIR + b.
 PAIR = 1 << 31
 
@@ -57,12 +60,17 @@ def overlapping(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Aligner:
-    """Both tokenizers with the bytes of their tokens."""
+    """Both tokenizers with the bytes of their tokens.
+
+    Words repeat, so their ids are remembered. A space between two words begins a token of A by the pattern of
+    byte-level splitting, and of B if no piece of its model goes on with a space; where a tokenizer file promises neither,
+    or a word does not come back byte for byte, whole texts are encoded.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
@@ -71,40 +79,78 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = {letter: byte for byte, letter in _byte_letters().items()}
         vocabulary = self.a.get_vocab(with_added_tokens=True)
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            self.bytes_a[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        self.bytes_b = [
+            bytes_a[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        bytes_b = [
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
-            for i, piece in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))
+            for i, piece in enumerate(pieces)
         ]
-        self.length_a = np.array([len(t) for t in self.bytes_a], np.int64)
-        self.length_b = np.array([len(t) for t in self.bytes_b], np.int64)
+        splitter = self.a.pre_tokenizer
+        self.by_words = (
+            self.a.normalizer is None and isinstance(splitter, pre_tokenizers.ByteLevel)
+            and splitter.use_regex and not splitter.add_prefix_space
+            and all(t.special for t in self.a.get_added_tokens_decoder().values())
+            and not any("▁" in piece.lstrip("▁") for piece in pieces)
+        )
+        self.tokens = bytes_a, bytes_b
+        self.length_a, self.length_b = (np.array([len(t) for t in tokens], np.int64) for tokens in self.tokens)
         # Ids as text, after the sign that parts them from what is before: another of the side, another group, the other side.
-        self.said = [f"{sign}{i}" for sign in ",;" for i in range(len(self.bytes_a))]
-        self.said += [f"{sign}{i}" for sign in ",|" for i in range(len(self.bytes_b))]
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of A and B of each text; none where a tokenizer does not give back the text after a space."""
-        out = []
+        self.said = [f"{sign}{i}" for sign in ",;" for i in range(len(bytes_a))]
+        self.said += [f"{sign}{i}" for sign in ",|" for i in range(len(bytes_b))]
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _library(self, texts: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
+        """Ids of A and B as 32-bit numbers, or None where a tokenizer does not give back the text after a space."""
+        spaced = [" " + t for t in texts]
+        tokens_a, tokens_b = self.tokens
+        for raw, a, b in zip(
+            spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)
+        ):
+            ids, raw = a.ids, raw.encode()
+            same = b"".join([tokens_a[i] for i in ids]) == raw and b"".join([tokens_b[i] for i in b]) == raw
+            yield (np.array(ids, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same and len(raw) > 1 else None
+
+    def _learned(self, words: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """What is known of words, with these among them: encoded as one text and cut at their borders, if that comes back."""
+        joined = [w for w in words if self.by_words and w and not (w[0].isspace() or w[-1].isspace())]
+        whole = next(self._library([" ".join(joined)])) if joined else None
+        if whole:
+            ends = np.cumsum([len(w.encode()) + 1 for w in joined])
+            sides = []
+            for ids, length in zip(whole, (self.length_a, self.length_b)):
+                places = 4 * (np.searchsorted(np.cumsum(length[np.frombuffer(ids, "<u4")]), ends) + 1)
+                sides.append([ids[x:y] for x, y in zip([0, *places.tolist()], places.tolist())])
+            self.known.update(zip(joined, zip(*sides)))
+        rest = list(words.difference(joined) if whole else words)
+        self.known.update(zip(rest, self._library(rest)))
+        return self.known
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of A and B of each text as 32-bit numbers; none where a tokenizer does not give it back."""
+        out: list[tuple[bytes, bytes] | None] = []
         for at in range(0, len(texts), TOGETHER):
             part = texts[at:at + TOGETHER]
-            spaced = [" " + t for t in part]
-            for raw, a, b in zip(
-                spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(part, num_threads=1)
-            ):
-                ids, raw = a.ids, raw.encode()
-                same = len(raw) > 1 and b"".join([self.bytes_a[i] for i in ids]) == raw
-                same = same and b"".join([self.bytes_b[i] for i in b]) == raw
-                out.append((ids, b) if same else ([], []))
-        return out
+            words = [_BORDER.split(t) if self.by_words else [t] for t in part]
+            new = set().union(*words) - self.known.keys()
+            if len(self.known) + len(new) > REMEMBERED or not self.by_words:
+                self.known, new = {}, set().union(*words)
+            known = self._learned(new)
+            for text, split in zip(part, words):
+                ids = [known[w] for w in split]
+                if None in ids:
+                    out.append(next(self._library([text])) if len(split) > 1 else None)
+                else:
+                    out.append((b"".join([a for a, _ in ids]), b"".join([b for _, b in ids])))
+        return [ids or (b"", b"") for ids in out]
 
     def groups(self, a: np.ndarray, b: np.ndarray, group: np.ndarray) -> list[str]:
         """Every token of A, then B, as said after its sign, in the order of groups and sides. ``group`` is that of A's, then B's."""
         side = np.append(np.zeros(len(a), np.int64), np.ones(len(b), np.int64))
         leads = np.append(np.diff(group[:len(a)], prepend=-1) > 0, np.diff(group[len(a):], prepend=-1) > 0)
-        place = np.append(a, b) + np.where(side == 1, 2 * len(self.bytes_a), 0)
-        place += np.where(leads, np.where(side == 1, len(self.bytes_b), len(self.bytes_a)), 0)
+        place = np.append(a, b) + np.where(side == 1, 2 * len(self.tokens[0]), 0)
+        place += np.where(leads, np.where(side == 1, len(self.tokens[1]), len(self.tokens[0])), 0)
         said = self.said
         return [said[i] for i in place[np.lexsort((side, group))].tolist()]
 
@@ -113,9 +159,8 @@ class Aligner:
         of texts that link each. ``links`` are places in the pairs and how often the text links them.
         """
         encoded = self.encode(texts)
-        n_a, n_b = (np.array([len(ids[k]) for ids in encoded], np.int64) for k in (0, 1))
-        a, b = (np.fromiter((i for ids in encoded for i in ids[k]), np.int64, n) for k, n in ((0, n_a.sum()), (1, n_b.sum())))
-        encoded.clear()
+        n_a, n_b = (np.array([len(ids[k]) // 4 for ids in encoded], np.int64) for k in (0, 1))
+        a, b = (np.frombuffer(b"".join([ids[k] for ids in encoded]), "<u4").astype(np.int64) for k in (0, 1))
         # Texts lie one after the other; text borders are borders of both, so no group or link crosses them.
         border_a, border_b = np.append(0, np.cumsum(self.length_a[a])), np.append(0, np.cumsum(self.length_b[b]))
         group = coalesced(np.append(border_a[:-1], border_b[:-1]), np.append(border_a[1:], border_b[1:]))
