@@ -3,8 +3,8 @@
 Pieces of equal length are interchangeable, so the search runs over the counts of lengths, of which there
 are at most ``capacity``, however many documents there are. Best fit decreasing gives the first
 solution; bin completion then takes the longest piece left, enumerates the undominated fillings of the
-room beside it, least waste first, and drops a branch when its waste so far cannot beat the best
-solution. A solution is a list of fillings with the number of times each is used; documents find their
+room beside it, least waste first, completes each by best fit, and drops a branch when its waste so far cannot beat
+the best solution. The search takes a fixed number of steps at most. A solution is a list of fillings with the number of times each is used; documents find their
 places by their rank among the pieces of their length, which is counted in parallel.
 """
 
@@ -24,6 +24,10 @@ from sightline.llm.common import narrowed, written
 from sightline.llm.words import WordEncoder, portions, vocabulary_path
 
 Filling = tuple[tuple[int, int], ...]  # ((length, times in the bin), ...), longest first
+# Lengths that the search may look at in all: some seconds on the driver.
+MAX_STEPS = 4_000_000
+# Every so many levels the rest is packed by best fit.
+COMPLETE_EVERY = 16
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
@@ -74,53 +78,84 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return bound
 
 
-def fillings(counts: dict[int, int], room: int) -> Iterator[Filling]:
-    """Undominated ways to fill ``room``: nothing left fits, and no piece can be exchanged for a longer one left."""
-    lengths = sorted((n for n, c in counts.items() if c), reverse=True)
-
-    def undominated(chosen: list[tuple[int, int]], slack: int) -> bool:
-        taken = dict(chosen)
-        free = [n for n in lengths if counts[n] > taken.get(n, 0)]
-        if any(n <= slack for n in free):
-            return False
-        return not any(n < other <= n + slack for n, _ in chosen for other in free)
-
-    stack: list[tuple[int, int, list[tuple[int, int]]]] = [(0, room, [])]
-    while stack:
-        at, slack, chosen = stack.pop()
-        while at < len(lengths) and lengths[at] > slack:
-            at += 1
-        if at == len(lengths):
-            if undominated(chosen, slack):
-                yield tuple(chosen)
+class Steps:
+    """What a search may still do: lengths looked at, in whatever part of it."""
+
+    def __init__(self, limit: int):
+        self.left = limit
+
+
+def fillings(counts: dict[int, int], room: int, most_waste: int, steps: Steps) -> Iterator[Filling]:
+    """Undominated ways to fill ``room``, least waste first: nothing left fits, and no piece can be exchanged for a longer
+    one left. Ends after ``most_waste``, or when no steps are left.
+
+    For every waste, sums that the shorter lengths can reach tell which branches end in a filling. Longer lengths are
+    settled first, so a piece that a longer free one could replace is refused before anything is put beside it.
+    """
+    lengths = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
+    steps.left -= len(lengths)
+    # Bit s of reach[i]: some pieces of lengths[i:] add up to s.
+    reach, sums = [1] * (len(lengths) + 1), (1 << room + 1) - 1
+    for i in range(len(lengths) - 1, -1, -1):
+        mask, left, each = reach[i + 1], min(counts[lengths[i]], room // lengths[i]), 1
+        while left:
+            each = min(each, left)
+            mask |= mask << each * lengths[i] & sums
+            left, each = left - each, 2 * each
+        reach[i] = mask
+    descending = [-n for n in lengths]
+    for waste in range(min(room, most_waste) + 1):
+        if not reach[0] >> room - waste & 1:
             continue
-        length = lengths[at]
-        for times in range(min(counts[length], slack // length) + 1):  # the largest number is tried first
-            stack.append((at + 1, slack - times * length, [*chosen, (length, times)] if times else chosen))
+        # (next length, sum still wanted, shortest length passed that has a piece left, chosen)
+        stack: list[tuple[int, int, float, Filling]] = [(0, room - waste, float("inf"), ())]
+        while stack:
+            steps.left -= 1
+            if steps.left < 0:
+                return
+            i, rest, free, chosen = stack.pop()
+            if not rest:
+                if i == len(lengths) or lengths[-1] > waste:
+                    yield chosen
+                continue
+            longer = bisect_left(descending, -rest, i)
+            if longer > i:
+                i, free = longer, lengths[longer - 1]
+            if not reach[i] >> rest & 1:
+                continue
+            length = lengths[i]
+            most = min(counts[length], rest // length) if free - length > waste else 0
+            for times in range(most + 1):  # the largest number is tried first
+                whole = times == counts[length]
+                if (whole or length > waste) and reach[i + 1] >> rest - times * length & 1:
+                    more = (*chosen, (length, times)) if times else chosen
+                    stack.append((i + 1, rest - times * length, free if whole else length, more))
 
 
-def complete_bins(counts: dict[int, int], capacity: int, max_nodes: int = 20_000) -> list[tuple[Filling, int]]:
+def complete_bins(counts: dict[int, int], capacity: int, steps: int | Steps = MAX_STEPS) -> list[tuple[Filling, int]]:
     """Fillings and how often each is used, in as few bins as found.
 
-    Stops when the lower bound is met, else after ``max_nodes`` fillings were looked at; the best
-    solution so far always holds every piece.
+    Every level of the search fills a bin around the longest piece left, as often as it can or once; at some levels best
+    fit packs the rest, and the best such solution is kept. A branch ends where the waste so far admits no better one.
+    Stops when the lower bound is met, when all is searched, or after so many ``steps``, which count every length that any
+    part of the search looks at; the best solution so far always holds every piece.
     """
+    steps = steps if isinstance(steps, Steps) else Steps(steps)
     counts = {n: c for n, c in counts.items() if c}
     best = best_fit(counts, capacity)
     least, total = lower_bound(counts, capacity), sum(n * c for n, c in counts.items())
     size = sum(m for _, m in best)
-    left, path, nodes = dict(counts), [], 0
+    left, path = dict(counts), []
+    bins = waste = nodes = 0
+
+    def spare() -> int:
+        """What may still be wasted in a solution better than the best."""
+        return (size - 1) * capacity - total - waste
 
     def children() -> Iterator[tuple[Filling, int]]:
         longest = max(n for n, c in left.items() if c)
-        left[longest] -= 1
-        found = []
-        for filling in fillings(left, capacity - longest):
-            found.append(filling)
-            if len(found) >= 64 or sum(n * t for n, t in filling) == capacity - longest:
-                break
-        left[longest] += 1
-        for filling in sorted(found, key=lambda f: -sum(n * t for n, t in f)):
+        beside = {n: c - (n == longest) for n, c in left.items()}
+        for filling in fillings(beside, capacity - longest, spare(), steps):
             merged = dict(filling)
             merged[longest] = merged.get(longest, 0) + 1
             whole = tuple(sorted(merged.items(), reverse=True))
@@ -129,37 +164,36 @@ def complete_bins(counts: dict[int, int], capacity: int, max_nodes: int = 20_000
             if most > 1:
                 yield whole, 1
 
-    def apply(filling: Filling, times: int, sign: int) -> None:
+    def apply(filling: Filling, times: int) -> None:
         for n, t in filling:
-            left[n] -= sign * t * times
+            left[n] -= t * times
 
     stack = [children()] if counts and size > least else []
-    bins = waste = 0
-    while stack and size > least and nodes < max_nodes:
+    while stack and size > least and steps.left > 0:
         step = next(stack[-1], None)
         if step is None:
             stack.pop()
             if path:
                 filling, times, lost = path.pop()
-                apply(filling, times, -1)
+                apply(filling, -times)
                 bins, waste = bins - times, waste - lost
             continue
-        nodes += 1
         filling, times = step
         lost = times * (capacity - sum(n * t for n, t in filling))
-        if total + waste + lost > (size - 1) * capacity:  # as many bins as the best solution, or more
+        if lost > spare():
             continue
-        apply(filling, times, 1)
+        apply(filling, times)
         bins, waste = bins + times, waste + lost
         path.append((filling, times, lost))
-        if not any(left.values()):
-            if bins < size:
-                best, size = [(f, t) for f, t, _ in path], bins
-            path.pop()
-            apply(filling, times, -1)
-            bins, waste = bins - times, waste - lost
-            continue
-        stack.append(children())
+        nodes += 1
+        if nodes % COMPLETE_EVERY == 1 or not any(left.values()):
+            rest = best_fit(left, capacity)
+            steps.left -= len(left) + len(rest)
+            if bins + sum(t for _, t in rest) < size:
+                best = [(f, t) for f, t, _ in path] + rest
+                size = bins + sum(t for _, t in rest)
+        # Where all is placed there is nothing to fill: the level ends at once and is taken back.
+        stack.append(children() if any(left.values()) else iter(()))
     return best
 
 
@@ -182,7 +216,7 @@ _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigi
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str | None = None,
-    end_id: int = 0, max_nodes: int = 20_000,
+    end_id: int = 0, max_steps: int = MAX_STEPS,
 ) -> DataFrame:
     """Place every document in sequences of at most ``capacity`` tokens, one row per piece:
     ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
@@ -217,7 +251,7 @@ def pack(
     pieces = written(rows.mapInArrow(cut, _PIECES), "pieces")
     by_part = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = _places(complete_bins(counts, capacity, max_nodes))
+    plan = _places(complete_bins(counts, capacity, max_steps))
     # Ranks of a length are dealt out to tasks in order; one row per task and length is shuffled.
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranked = pieces.join(

@@ -107,6 +107,56 @@ def test_bin_completion_is_optimal_on_small_cases():
     assert better
 
 
+def _undominated(counts, room):
+    """All ways to fill the room that nothing free fits in, and where no free longer piece can replace a chosen one."""
+    lengths, found = sorted(counts, reverse=True), []
+
+    def choose(i, slack, taken):
+        if i == len(lengths):
+            free = [n for n in lengths if counts[n] > taken.get(n, 0)]
+            if not any(n <= slack for n in free) and not any(n < m <= n + slack for n in taken for m in free):
+                found.append((slack, tuple(taken.items())))
+            return
+        for times in range(min(counts[lengths[i]], slack // lengths[i]) + 1):
+            choose(i + 1, slack - times * lengths[i], taken | ({lengths[i]: times} if times else {}))
+
+    choose(0, room, {})
+    return found
+
+
+def test_fillings_are_all_undominated_ones_by_waste():
+    rnd = random.Random(11)
+    for _ in range(300):
+        room = rnd.choice([0, 1, 7, 20, 40])
+        counts = {n: rnd.randint(0, 3) for n in rnd.sample(range(1, 30), rnd.randint(0, 7))}
+        got = list(packing.fillings(counts, room, room, packing.Steps(10 ** 6)))
+        waste = [room - sum(n * t for n, t in f) for f in got]
+        expected = _undominated({n: c for n, c in counts.items() if c}, room)
+        assert waste == sorted(waste) and sorted(zip(waste, got)) == sorted(expected)
+        few = list(packing.fillings(counts, room, 2, packing.Steps(10 ** 6)))
+        assert few == got[:len(few)] and all(w > 2 for w in waste[len(few):])
+
+
+def test_search_ends_within_its_steps():
+    # 300 lengths and best fit one over the bound: whatever is enumerated, dominated or not, is counted.
+    rnd, spent = random.Random(2), 0
+    for _ in range(40):
+        counts = Counter(rnd.choice([rnd.randint(20, 330), rnd.randint(150, 330)]) for _ in range(3000))
+        least, first = packing.lower_bound(counts, 2048), sum(m for _, m in packing.best_fit(counts, 2048))
+        if first == least:
+            continue
+        steps, used = packing.Steps(100_000), Counter()
+        solution = packing.complete_bins(counts, 2048, steps)
+        for filling, times in solution:
+            assert sum(n * t for n, t in filling) <= 2048
+            for n, t in filling:
+                used[n] += t * times
+        assert used == counts and least <= sum(t for _, t in solution) <= first
+        assert steps.left > -5000  # the last count is of one level
+        spent += 1
+    assert spent
+
+
 def test_pack_places_every_token_once(make_docs, library):
     rnd = random.Random(1)
     rows = [(i, "a " * rnd.choice([0, 1, 5, 20, 31, 40, 90, rnd.randint(1, 31)])) for i in range(200)] + list(enumerate(ODD, 500))
