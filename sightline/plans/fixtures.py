@@ -63,8 +63,11 @@ VIEWS = {
                cast(@D0(cast(floor((end_epoch-1735689600)/86400e0) as int)) as date) as end_date
         from (select o_orderkey as adplay_id, f.site_id, f.frame_id, cast(o_orderkey%20 as bigint) as creative_id,
                      case when o_orderpriority='1-URGENT' then cast(1735689600 as bigint)
+                          when o_orderpriority='2-HIGH' and o_orderkey%4=1 then cast(1735689600-200*86400 as bigint)
                           else cast(1735689600+(o_orderkey*977)%648000 as bigint) end as start_epoch,
                      case when o_orderpriority='1-URGENT' then cast(1735689600+8*86400 as bigint)
+                          when o_orderpriority='2-HIGH' and o_orderkey%4=1 then cast(1735689600+165*86400 as bigint)
+                          when o_orderpriority='3-MEDIUM' then cast(1735689600+(o_orderkey*977)%648000+1 as bigint)
                           else cast(1735689600+(o_orderkey*977)%648000+7200 as bigint) end as end_epoch
               from @orders o join @fx_frames f on f.frame_id = 1 + o.o_orderkey % (select max(p_partkey) from @part)
               where f.frame_type='DIGITAL') q""",
