@@ -8,6 +8,7 @@ Cells are squares in degrees: a disk of radius k has (2k+1)^2 cells.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -63,12 +64,12 @@ def cell_parent(c: Column, zoom: int) -> Column:
     )
 
 
-def child_count(c: Column, zoom: int) -> Column:
+def child_count(c: Column, zoom: int | Column) -> Column:
     """How many descendants a cell has at ``zoom`` (4 per level)."""
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), (2 * (zoom - cell_zoom(c))).cast("int"))
 
 
-def cell_child(c: Column, zoom: int, index: Column | int) -> Column:
+def cell_child(c: Column, zoom: int | Column, index: Column | int) -> Column:
     """The ``index``-th descendant at ``zoom``, row by row, without listing the others."""
     i = F.lit(index).cast("bigint") if isinstance(index, int) else index.cast("bigint")
     shift = (zoom - cell_zoom(c)).cast("int")
@@ -80,7 +81,7 @@ def cell_child(c: Column, zoom: int, index: Column | int) -> Column:
     )
 
 
-def cell_children(c: Column, zoom: int) -> Column:
+def cell_children(c: Column, zoom: int | Column) -> Column:
     """All descendants as an array; meant for a few levels, 4^levels entries each."""
     return F.transform(F.sequence(F.lit(0).cast("bigint"), child_count(c, zoom) - 1), lambda i: cell_child(c, zoom, i))
 
@@ -125,12 +126,76 @@ def cover(lat: Column, lon: Column, radius_m: Column | float, zoom: int) -> Colu
     x1 = F.least(_column_at(lon + span_lon, zoom), x0 + (2**zoom - 1))
     y0 = _row_at(F.greatest(lat - span_lat, F.lit(-90.0)), zoom)
     y1 = _row_at(F.least(lat + span_lat, F.lit(90.0)), zoom)
-    return F.flatten(
+    # A missing latitude would be bounded to a whole column of cells.
+    return F.when(lat.isNotNull() & radius.isNotNull(), F.flatten(
         F.transform(
             F.sequence(x0, x1),
             lambda x: F.transform(F.sequence(y0, y1), lambda y: _pack(zoom, _wrap(x, zoom), y)),
         )
+    ))
+
+
+def _distance_bounds(lat: Column, lon: Column, c: Column) -> tuple[Column, Column]:
+    """No point of a cell is nearer than the first, none farther than the second; both as the haversine of the angle.
+
+    The haversine is that of the difference in latitude, plus that of the difference in longitude times both cosines: each
+    part is taken at its least, or most, within the cell.
+    """
+    def hav(degrees: Column) -> Column:
+        return F.pow(F.sin(F.radians(degrees) / 2), 2)
+
+    half = _side_degrees(c) / 2
+    up, along = F.abs(lat - cell_lat(c)), F.abs(lon - cell_lon(c))
+    along = F.least(along, 360.0 - along)
+    south, north = cell_lat(c) - half, cell_lat(c) + half
+    cosines = F.cos(F.radians(south)), F.cos(F.radians(north))
+    widest = F.when((south <= 0) & (north >= 0), F.lit(1.0)).otherwise(F.greatest(*cosines))
+    here = F.cos(F.radians(lat))
+    least = hav(F.greatest(up - half, F.lit(0.0))) + here * F.greatest(F.least(*cosines), F.lit(0.0)) * hav(
+        F.greatest(along - half, F.lit(0.0))
     )
+    most = hav(F.least(up + half, F.lit(180.0))) + here * widest * hav(F.least(along + half, F.lit(180.0)))
+    return least, most
+
+
+def mixed_cover(lat: Column, lon: Column, radius_m: Column | float, finest: int) -> Column:
+    """Cells of several zooms that hold a circle round the point (1 % margin), none within another, as an array.
+
+    A box of cells about as wide as half the radius is laid over the circle. Those that lie inside stay whole, those
+    that it may cut are split two levels finer, as far as ``finest``, and what lies outside is left out. So the number of cells
+    does not grow with the radius, save for the stretched columns near the poles. Null where the point or radius is.
+    """
+    radius = (F.lit(float(radius_m)) if isinstance(radius_m, (int, float)) else radius_m) * 1.01
+    fitting = F.floor(F.log2(F.lit(360 * METERS_PER_DEGREE) / radius)).cast("int") + 1
+    base = F.least(F.greatest(fitting, F.lit(1)), F.lit(finest))
+    fine = F.least(base + 2, F.lit(finest))
+    wanted = F.pow(F.sin(radius / (2 * EARTH_RADIUS_M)), 2)
+    n = F.call_function("shiftleft", F.lit(1).cast("bigint"), base)
+    side = F.lit(360.0) / n
+    span_lat = radius / METERS_PER_DEGREE
+    polar = F.least(F.abs(lat) + span_lat, F.lit(89.999))
+    span_lon = F.least(span_lat / F.cos(F.radians(polar)), F.lit(180.0))
+    x0 = F.floor((lon - span_lon + 180.0) / side)
+    x1 = F.least(F.floor((lon + span_lon + 180.0) / side), x0 + n - 1)
+    y0 = F.floor((F.greatest(lat - span_lat, F.lit(-90.0)) + 90.0) / side)
+    y1 = F.floor((F.least(lat + span_lat, F.lit(90.0)) + 90.0) / side)
+    box = F.flatten(F.transform(
+        F.sequence(x0, x1), lambda x: F.transform(F.sequence(y0, y1), lambda y: _pack(base, F.pmod(x, n), y))
+    ))
+
+    def touched(c: Column) -> Column:
+        return _distance_bounds(lat, lon, c)[0] <= wanted
+
+    def split(c: Column) -> Column:
+        whole = (base >= F.lit(finest)) | (_distance_bounds(lat, lon, c)[1] <= wanted)
+        return F.when(whole, F.array(c)).otherwise(F.filter(cell_children(c, fine), touched))
+
+    return F.when(lat.isNotNull() & radius.isNotNull(), F.flatten(F.transform(F.filter(box, touched), split)))
+
+
+def cell_ancestors(c: Column, zooms: Sequence[int]) -> Column:
+    """The cell's ancestors at the given zooms, none finer than its own, as an array."""
+    return F.array(*[cell_parent(c, zoom) for zoom in zooms])
 
 
 def zoom_for_radius(radius_m: float) -> int:

@@ -48,7 +48,7 @@ VIEWS = {
                cast(p_partkey%6 as bigint) as process_id,
                case when p_size%2=0 then 'STATIC' else 'DIGITAL' end as frame_type,
                cast((p_partkey*37)%360 as double) as exposition_angle, cast(60+p_size as double) as exposition_width,
-               cast(3+p_size%10 as double) as frame_width, cast(2+p_size%5 as double) as frame_height, cast(4+p_size%7 as double) as frame_elevation,
+               cast(case when p_partkey%97=0 then 45 else 3+p_size%10 end as double) as frame_width, cast(2+p_size%5 as double) as frame_height, cast(4+p_size%7 as double) as frame_elevation,
                29.95e0+((((p_partkey%500)*3571) % 10007)/10007e0-0.5e0)*0.1e0 as site_lat,
                -90.08e0+((((p_partkey%500)*4177) % 10007)/10007e0-0.5e0)*0.1e0 as site_lon,
                case p_type when 'LARGE' then 'billboards' when 'SMALL' then 'street' when 'ECONOMY' then 'place' else 'other' end as inventory_type,

@@ -9,7 +9,7 @@ from sightline.operators import diffusion as diff, matching as match, multiplier
 from sightline.plans.blocks import P_END, P_START
 from sightline.plans.registry import query
 from sightline.plans.sqltext import (
-    angle_between, bearing, cell_at, centre_lat, centre_lon, cover_rows, cx, cy, hav, pack,
+    angle_between, bearing, cell_at, centre_lat, centre_lon, cx, cy, hav, mixed_cover_rows, pack,
 )
 
 # ---- frames, cells and sightings
@@ -20,7 +20,7 @@ _PROX = f"""
              from fx_frames f left join fx_process_meta m on m.process_id=f.process_id)"""
 _COVER = f"""
     widest as (select s.site_id, s.site_lat, s.site_lon, max(match_radius) as max_radius from fx_sites s join prox p on p.site_id=s.site_id group by all),
-    cells as ({cover_rows('widest', '1.2e0*max_radius', 17, 'site_lat', 'site_lon')})"""
+    cells as ({mixed_cover_rows('widest', '1.2e0*max_radius', 17, 'site_lat', 'site_lon')})"""
 _MATCH = f"""
     pair as (select p.ping_id, p.core_date, p.device_hash, p.device_ip, p.device_os, p.unix_ts as device_time, p.lat, p.lon, p.c14, p.c17, s.site_id,
                     {hav('site_lat', 'site_lon', 'lat', 'lon')} as d, {bearing('site_lat', 'site_lon', 'lat', 'lon')} as az
@@ -65,24 +65,28 @@ def _(fx):
     return _proximity(fx).select("frame_id", "site_id", "frame_elevation", "match_radius", "site_cell")
 
 
-_CENTRE_M = hav('c.site_lat', 'c.site_lon', centre_lat('c', 17), centre_lon('c', 17))
+_CENTRE_M = hav('c.site_lat', 'c.site_lon', '((yy+0.5e0)*360e0/(1 << z)-90e0)', '((xx+0.5e0)*360e0/(1 << z)-180e0)')
 # The radius of a circle of the cell's area.
-_REACH_M = f"sqrt(pow(360e0/{2**17}*{METERS_PER_DEGREE}, 2)*cos(radians({centre_lat('c', 17)}))/pi())"
+_REACH_M = f"sqrt(pow(360e0/(1 << z)*{METERS_PER_DEGREE}, 2)*cos(radians((yy+0.5e0)*360e0/(1 << z)-90e0))/pi())"
 
 
 @query("x2_site_cover", f"""
     with {_PROX}, {_COVER}
-    select frame_id, c.site_id, c.c as c17, {pack(14, cx('c') + ' >> 3', cy('c') + ' >> 3')} as c14,
+    select frame_id, c.site_id, c.c as cell, case when z > 14 then (14::bigint << 52) | ((xx >> (z-14)) << 26) | (yy >> (z-14)) else c.c end as c14,
            cast(floor({_CENTRE_M}/10)*10 as bigint) as proximity_bin_min,
            cast(ceil(({_CENTRE_M}+{_REACH_M})/10)*10 as bigint) as proximity_bin_max
     from cells c join prox p on p.site_id=c.site_id""")
 def _(fx):
     return match.site_cover(fx.sites, _proximity(fx)).select(
-        "frame_id", "site_id", "c17", "c14", "proximity_bin_min", "proximity_bin_max"
+        "frame_id", "site_id", "cell", "c14", "proximity_bin_min", "proximity_bin_max"
     )
 
 
-@query("x3_device_prefilter", f"with {_PROX}, {_COVER} select ping_id, time_bin_1h, c17 from fx_pings where c17 in (select c from cells)")
+@query("x3_device_prefilter", f"""
+    with {_PROX}, {_COVER},
+    zooms as (select distinct z from cells),
+    above as (select p.*, (cast(z as bigint) << 52) | (({cx('c17')} >> (17-z)) << 26) | ({cy('c17')} >> (17-z)) as c from fx_pings p, zooms)
+    select distinct ping_id, time_bin_1h, c17 from above where c in (select c from cells)""")
 def _(fx):
     cells = match.site_cells(fx.sites, _proximity(fx))
     return match.device_prefilter(fx.pings, cells, P_START, P_END).select("ping_id", "time_bin_1h", "c17")

@@ -77,6 +77,50 @@ def test_cover_holds_every_cell_of_the_circle(spark, lat, lon):
     assert covered.count() == covered.distinct().count()
 
 
+def _within(rng, lat, lon, radius):
+    """A point at most ``radius`` from another, often on the rim."""
+    bearing, d = rng.uniform(0, 2 * math.pi), radius * rng.choice([1, 1, rng.random() ** 0.5]) / geodesy.EARTH_RADIUS_M
+    p = math.radians(lat)
+    p2 = math.asin(math.sin(p) * math.cos(d) + math.cos(p) * math.sin(d) * math.cos(bearing))
+    l2 = math.radians(lon) + math.atan2(math.sin(bearing) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * math.sin(p2))
+    return math.degrees(p2), (math.degrees(l2) + 540) % 360 - 180
+
+
+def test_mixed_cover_holds_the_circle(spark):
+    rng, finest, circles, points = random.Random(5), 17, [], []
+    fixed = [(0.0, 179.9995), (0.0, -180.0), (89.9, 10.0), (-89.95, 0.0), (64.1, -21.9)]
+    for i in range(120):
+        lat, lon = fixed[i] if i < len(fixed) else (rng.uniform(-75, 75), rng.uniform(-180, 180))
+        radius = 400.0 if i < len(fixed) else 10 ** rng.uniform(0, 5.5)
+        circles.append((i, lat, lon, radius))
+        points += [(i, *_within(rng, lat, lon, radius)) for _ in range(60)]
+    covered = spark.createDataFrame(circles, "i long, lat double, lon double, radius double").select(
+        "i", "lat", "radius", F.explode(cells.mixed_cover(F.col("lat"), F.col("lon"), F.col("radius"), finest)).alias("c")
+    ).cache()
+    zooms = sorted(r.z for r in covered.select(cells.cell_zoom(F.col("c")).cast("int").alias("z")).distinct().collect())
+    assert zooms[-1] == finest and len(zooms) > 4
+    at = spark.createDataFrame(points, "i long, p double, l double").withColumn("at", cells.cell(F.col("p"), F.col("l"), finest))
+    above = at.select("i", "p", "l", F.explode(cells.cell_ancestors(F.col("at"), zooms)).alias("c"))
+    held = above.join(covered.select("i", "c"), ["i", "c"]).groupBy("i", "p", "l").count()
+    # Every point lies in one cell, and in one only: none is within another.
+    assert held.count() == at.distinct().count() and held.agg(F.max("count")).first()[0] == 1
+    sizes = covered.where("abs(lat) < 60").groupBy("i", "radius").count().collect()
+    assert max(r["count"] for r in sizes) < 250
+    wide = [r["count"] for r in sizes if r.radius > 2600]
+    plain = spark.range(1).select(F.size(cells.cover(F.lit(30.0), F.lit(-90.0), 2600.0, finest))).first()[0]
+    assert wide and max(wide) < plain
+
+
+def test_mixed_cover_of_small_circles_is_the_cover_without_its_corners(spark):
+    row = spark.range(1).select(
+        cells.cover(F.lit(30.0), F.lit(-90.0), 700.0, 17).alias("box"),
+        cells.mixed_cover(F.lit(30.0), F.lit(-90.0), 305.0, 17).alias("small"), cells.mixed_cover(F.lit(30.0), F.lit(-90.0), 700.0, 17).alias("wide"),
+        cells.mixed_cover(F.lit(None).cast("double"), F.lit(-90.0), 700.0, 17).alias("none"),
+    ).first()
+    assert all(c >> 52 == 17 for c in row.small) and row.none is None
+    assert set(c for c in row.wide if c >> 52 == 17) <= set(row.box)
+
+
 def test_spatial_join_equals_brute_force(spark):
     left = points(400, 11, (-0.01, 0.01), (179.98, 180)) + [(1000 + i, a, -180 + i * 1e-4) for i, a, _ in points(200, 12, (-0.01, 0.01))]
     right = points(60, 13, (-0.01, 0.01), (179.98, 180)) + [(500 + i, a, -179.999) for i, a, _ in points(20, 14, (-0.01, 0.01))]

@@ -4,6 +4,7 @@ import datetime as dt
 import gzip
 import hashlib
 import math
+import random
 from pathlib import Path
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sightline.functions.cells import cell
+from sightline.functions.geodesy import distance_m
 from sightline.operators import (
     affinity, diffusion, events, matching, multiplier, ordering, quality, reach, spatial, storage, studies,
 )
@@ -282,6 +284,26 @@ def test_dedupe_static_passes_digital_and_drops_untyped(spark):
     assert by_column.count() == got.count()
 
 
+def test_covers_of_several_zooms_prefilter_each_ping_once(spark):
+    sites = spark.createDataFrame([(1, LAT, LON), (2, LAT + 0.001, LON), (3, LAT + 0.02, LON + 0.02)], "site_id long, site_lat double, site_lon double")
+    proximity = spark.createDataFrame([(1, 2600.0), (2, 150.0), (3, 700.0), (3, 40.0)], "site_id long, match_radius double")
+    covered = matching.site_cells(sites, proximity)
+    zooms = matching.cover_zooms(covered)
+    assert len(zooms) > 1 and zooms[-1] == matching.SITE_ZOOM
+    assert covered.where("site_id = 1").count() < 200
+    rnd = random.Random(4)
+    pings = ping_table(spark, [(f"d{i}", T0 + i, LAT + rnd.uniform(-0.05, 0.05), LON + rnd.uniform(-0.05, 0.05)) for i in range(3000)])
+    got = [r.device_hash for r in matching.device_prefilter(pings, covered, DAY, DAY).collect()]
+    assert len(got) == len(set(got))
+    near = {
+        r.device_hash for r in pings.crossJoin(F.broadcast(sites.join(proximity, "site_id"))).where(
+            distance_m(F.col("lat"), F.col("lon"), F.col("site_lat"), F.col("site_lon")) <= F.col("match_radius")
+        ).collect()
+    }
+    assert near <= set(got) and len(got) < 3 * len(near)
+    assert matching.device_prefilter(pings, covered.limit(0), DAY, DAY).count() == 0
+
+
 @pytest.mark.parametrize("offset, hits", [(-31, 0), (-30, 1), (0, 1), (7200, 1), (7230, 1), (7231, 0)])
 def test_adplay_buffer(spark, offset, hits):
     frames, meta, sites = frame_tables(spark)
