@@ -101,17 +101,18 @@ def _with_range_bucket(df: DataFrame, value: str, spread: Sequence[str]) -> Data
     n = max(RANGE_SPLITS, rows // ROWS_PER_RANGE)
     step = math.isqrt(n) + 1
     drawn = F.pmod(F.xxhash64(*spread), F.lit(1 << 30)) < int((1 << 30) * min(1.0, n / max(1, rows)))
-    cuts = df.where(drawn).agg(F.array_sort(F.collect_list(value)))
+    # Both lists of cuts are made once, in the subquery, not in every row.
+    cuts = df.where(drawn).agg(F.array_sort(F.collect_list(value)).alias("every"))
+    cuts = cuts.select(F.struct("every", F.filter("every", lambda _, i: i % step == step - 1).alias("coarse")))
 
     def below(cut_points: Column) -> Column:
         return F.size(F.filter(cut_points, lambda c: c < F.col(value)))
 
     return (
         df.withColumn("_cuts", cuts.scalar())
-        .withColumn("_coarse", F.filter("_cuts", lambda _, i: i % step == step - 1))
-        .withColumn("_block", below(F.col("_coarse")) * step)
-        .withColumn("_bucket", F.col("_block") + below(F.slice("_cuts", F.col("_block") + 1, step)))
-        .drop("_cuts", "_coarse", "_block")
+        .withColumn("_block", below(F.col("_cuts.coarse")) * step)
+        .withColumn("_bucket", F.col("_block") + below(F.slice("_cuts.every", F.col("_block") + 1, step)))
+        .drop("_cuts", "_block")
     )
 
 
@@ -179,21 +180,25 @@ def beside(*one_row: DataFrame) -> DataFrame:
 def first_n_by(df: DataFrame, column: str, n: DataFrame) -> DataFrame:
     """The first ``n`` rows in the order of a unique ``column``; ``n`` is a one-cell DataFrame.
 
-    Ranks come from value ranges, so no task orders the whole table. Runs a job when called,
-    as the rows are checkpointed before they are read several times.
+    The value of the n-th row is found: the sizes of value ranges tell the range it lies in, and only that one is
+    ordered. The rows up to it are then a filter. Rows without a value come last and are never among the first.
+    Runs a job when called, as the rows are checkpointed before they are read several times.
     """
-    bucketed = _with_range_bucket(kept(df), column, [column])
+    rows = kept(df.where(F.col(column).isNotNull()))
+    bucketed = _with_range_bucket(rows, column, [column])
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sizes.select("_bucket", "_size", F.sum("_size").over(upto).alias("_end")).withColumn("_wanted", n.scalar())
+    # The range that holds the n-th row; the last one if there are fewer rows.
+    last = ends.where("_end - _size < _wanted").agg(
+        F.max_by(F.struct("_bucket", (F.col("_wanted") - F.col("_end") + F.col("_size")).alias("_place")), "_bucket").alias("_last")
+    ).select("_last.*")
     inside = Window.partitionBy("_bucket").orderBy(column)
-    return (
-        bucketed.join(offsets, "_bucket")
-        .withColumn("_rank", F.col("_offset") + F.row_number().over(inside))
-        .withColumn("_wanted", n.scalar())
-        .where(F.col("_rank") <= F.col("_wanted"))
-        .select(*df.columns)
+    threshold = (
+        bucketed.join(F.broadcast(last), "_bucket").withColumn("_rank", F.row_number().over(inside))
+        .where("_rank <= _place").agg(F.max(column))
     )
+    return rows.where(F.col(column) <= threshold.scalar()).select(*df.columns)
 
 
 def hash_sample(df: DataFrame, k: int, by: Sequence[str], seed: int = 0) -> DataFrame:

@@ -17,6 +17,8 @@ from sightline.operators.storage import kept, write_partitions
 
 OTS = "OPPORTUNITY_TO_SEE"
 LTS = "LIKELY_TO_SEE"
+# A sketch of 2**12 registers tells a number of devices within 1.6 %, as a standard error.
+SKETCH_LG_K = 12
 
 
 def _scope(
@@ -188,6 +190,57 @@ def monthly_reach(
     return reach.join(driven, "month", "left").orderBy("month")
 
 
+def daily_reach_sketches(
+    exposures: DataFrame, groups: Sequence[str] = ("market_id",), lg_k: int = SKETCH_LG_K, device: str = "device_hash",
+) -> DataFrame:
+    """``core_date, *groups, devices_sketch, exposures``: a mergeable sketch of each day's devices.
+
+    A sketch has some 2**``lg_k`` bytes however many devices a day has. Stored by day (``write_reach_sketches``), one
+    serves every period and every coarser group without a look at exposures; a day that is loaded again replaces its own.
+    Days and groups may be null; exposures without a device count as exposures only.
+    """
+    return exposures.groupBy("core_date", *groups).agg(
+        F.hll_sketch_agg(device, lg_k).alias("devices_sketch"), F.count(F.lit(1)).alias("exposures")
+    )
+
+
+def write_reach_sketches(sketches: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store sketches dated, a folder a day; the days given replace their own, other days stay."""
+    write_partitions(sketches, path, sort=[c for c in sketches.columns if c not in ("core_date", "devices_sketch")], mode=mode)
+
+
+def reach_from_sketches(
+    sketches: DataFrame, groups: Sequence[str | Column] = (), start: dt.date | None = None, end: dt.date | None = None,
+) -> DataFrame:
+    """``*groups, devices, exposures`` of a period: the daily sketches united, devices estimated.
+
+    The estimate's relative standard error is about 1.04 / sqrt(2**lg_k), 1.6 % by default, whatever the period. ``groups``
+    are columns of the sketches or expressions on them, such as the month of the day.
+    """
+    return sketches.where(between_dates("core_date", start, end)).groupBy(*groups).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("devices_sketch")).alias("devices"), F.sum("exposures").alias("exposures")
+    )
+
+
+def marginal_reach_from_sketches(
+    base: DataFrame, added: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
+) -> DataFrame:
+    """One row: estimated devices of a first medium, what a second adds to it, and both, from their daily sketches.
+
+    What is added is the difference of two estimates, so its error is that of the whole.
+    """
+    def united(df: DataFrame) -> DataFrame:
+        return df.where(between_dates("core_date", start, end)).agg(F.hll_union_agg("devices_sketch").alias("_sketch"))
+
+    first, second = united(base), united(added)
+    both = first.unionByName(second).agg(F.hll_sketch_estimate(F.hll_union_agg("_sketch")).alias("combined_devices"))
+    alone = first.select(F.hll_sketch_estimate("_sketch").alias("base_devices"))
+    return beside(alone, both).select(
+        F.coalesce("base_devices", F.lit(0)).alias("base_devices"), F.coalesce("combined_devices", F.lit(0)).alias("combined_devices"),
+        (F.coalesce("combined_devices", F.lit(0)) - F.coalesce("base_devices", F.lit(0))).alias("marginal_devices"),
+    )
+
+
 def marginal_reach(
     base_exposures: DataFrame, added_exposures: DataFrame, multiplier: DataFrame, market_id=None, owner_id=None,
     start: dt.date | None = None, end: dt.date | None = None,

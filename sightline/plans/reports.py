@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sightline.operators import affinity, events, reach, storage
+from sightline.operators.ordering import beside
 from sightline.plans.blocks import E_END, E_START, EVENT_DAY, LA_HOUR, _UTC_HOUR
 from sightline.plans.registry import query
 from sightline.plans.sqltext import VENUE_LAT, VENUE_LON, div0, hav, two
@@ -123,6 +124,44 @@ def _(fx):
     return reach.marginal_reach(first, second, fx.multiplier, start=E_START, end=E_END)
 
 
+def _sketches(fx, provider: str) -> DataFrame:
+    """Daily sketches of a provider's devices per market, stored by day and read back."""
+    path = storage.new_path(fx.spark, "reach-sketches")
+    reach.write_reach_sketches(reach.daily_reach_sketches(fx.exposures.where(F.col("provider") == provider)), path)
+    return fx.spark.read.parquet(path)
+
+
+def _close(estimate, exact):
+    """Within five standard errors of the sketches."""
+    return F.abs(estimate - exact) <= F.ceil(exact * (5 * 1.04 / 2 ** (reach.SKETCH_LG_K / 2)))
+
+
+@query("r7_reach_from_sketches", """
+    select cast(cast(date_trunc('month', core_date) as date) as varchar) as month, count(distinct device_hash) as unique_devices,
+           count(*) as exposures, true as estimate_is_close from fx_exposures where provider='F' group by 1""")
+def _(fx):
+    month = F.trunc("core_date", "month").cast("string").alias("month")
+    estimated = reach.reach_from_sketches(_sketches(fx, "F"), [month])
+    exact = fx.exposures.where("provider = 'F'").groupBy(month).agg(F.countDistinct("device_hash").alias("unique_devices"))
+    return estimated.join(exact, "month").select(
+        "month", "unique_devices", "exposures", _close(F.col("devices"), F.col("unique_devices")).alias("estimate_is_close")
+    )
+
+
+@query("r8_marginal_reach_from_sketches", """
+    select count(distinct case when provider='F' then device_hash end) as base_devices, count(distinct device_hash) as combined_devices,
+           true as estimates_are_close from fx_exposures where provider in ('F', 'O')""")
+def _(fx):
+    estimated = reach.marginal_reach_from_sketches(_sketches(fx, "F"), _sketches(fx, "O"))
+    exact = fx.exposures.where("provider in ('F', 'O')").agg(
+        F.countDistinct(F.when(F.col("provider") == "F", F.col("device_hash"))).alias("base"), F.countDistinct("device_hash").alias("both")
+    )
+    close = _close(F.col("base_devices"), F.col("base")) & _close(F.col("combined_devices"), F.col("both"))
+    return beside(estimated, exact).select(
+        F.col("base").alias("base_devices"), F.col("both").alias("combined_devices"), close.alias("estimates_are_close")
+    )
+
+
 def _number(key: str) -> str:
     return f"cast(json_extract_string(match_info, '$.{key}') as double)"
 

@@ -520,6 +520,35 @@ def test_owner_and_market_scope(spark):
     assert (row.impressions_gross, row.matched_exposures, row.markets, round(row.miles_per_asset, 3)) == (0.5, 1, 1, 0.5)
 
 
+def test_reach_sketches_are_within_their_error_and_replace_a_day(spark, tmp_path):
+    rnd, path = random.Random(6), str(tmp_path / "sketches")
+    seen = [(DAY + dt.timedelta(days=rnd.randrange(4)), rnd.choice([1, 1, 1, 2, None]), f"d{rnd.randrange(20_000)}") for _ in range(40_000)]
+    seen += [(DAY, 1, None)] * 3
+    rows = spark.createDataFrame(seen, "core_date date, market_id int, device_hash string").repartition(6)
+    reach.write_reach_sketches(reach.daily_reach_sketches(rows), path)
+    stored = spark.read.parquet(path)
+    error = 5 * 1.04 / 2 ** (reach.SKETCH_LG_K / 2)
+
+    def check(got, rows):
+        expected = len({d for *_, d in rows} - {None})
+        assert abs(got.devices - expected) <= error * expected and got.exposures == len(rows)
+
+    check(reach.reach_from_sketches(stored).first(), seen)
+    for r in reach.reach_from_sketches(stored, ["market_id"], DAY, DAY + dt.timedelta(days=1)).collect():
+        check(r, [x for x in seen if x[1] == r.market_id and x[0] <= DAY + dt.timedelta(days=1)])
+    # A day loaded again replaces its own sketches and no other's.
+    again = [(DAY, 1, f"new{i}") for i in range(100)]
+    reach.write_reach_sketches(reach.daily_reach_sketches(spark.createDataFrame(again, rows.schema)), path)
+    check(reach.reach_from_sketches(spark.read.parquet(path)).first(), again + [x for x in seen if x[0] != DAY])
+    # A second medium of which half is new.
+    first = reach.daily_reach_sketches(spark.createDataFrame([(DAY, 1, f"d{i}") for i in range(4000)], rows.schema))
+    second = reach.daily_reach_sketches(spark.createDataFrame([(DAY, 2, f"d{i}") for i in range(2000, 6000)], rows.schema))
+    row = reach.marginal_reach_from_sketches(first, second).first()
+    assert abs(row.base_devices - 4000) < 4000 * error and abs(row.combined_devices - 6000) < 6000 * error
+    assert row.marginal_devices == row.combined_devices - row.base_devices
+    assert tuple(reach.marginal_reach_from_sketches(first.limit(0), second.limit(0)).first()) == (0, 0, 0)
+
+
 def test_control_group_size_and_membership(spark):
     pings = ping_table(spark, [(f"u{i:02d}", T0 + i, LAT, LON) for i in range(20)] + [("elsewhere", T0, LAT + 1, LON)])
     exposed = pings.where("device_hash in ('u03', 'u04', 'u05')").select("device_hash", "c17")

@@ -87,6 +87,16 @@ def test_first_n_by_takes_the_smallest(spark):
     n = spark.range(777).agg(F.count(F.lit(1)))
     assert sorted(r.id for r in first_n_by(df, "id", n).collect()) == sorted(set(ids))[:777]
     assert first_n_by(df, "id", spark.range(10**5).agg(F.count(F.lit(1)))).count() == len(set(ids))
+    assert first_n_by(df, "id", spark.range(0).agg(F.count(F.lit(1)))).count() == 0
+    assert first_n_by(df.limit(0), "id", n).count() == 0
+    assert [r.id for r in first_n_by(df, "id", spark.range(1).agg(F.count(F.lit(1)))).collect()] == [min(ids)]
+
+
+def test_first_n_by_orders_one_range_only(spark):
+    df = spark.createDataFrame([(f"d{i:05d}",) for i in range(2000)], "id string")
+    plan = first_n_by(df, "id", spark.range(50).agg(F.count(F.lit(1))))._jdf.queryExecution().optimizedPlan().toString()
+    # Outside the subquery that finds the threshold nothing is ordered or joined: the rows are filtered.
+    assert "Window" not in plan.split("Subquery")[0].split("scalar-subquery")[0]
 
 
 def test_hash_sample_does_not_depend_on_partitions(spark):
