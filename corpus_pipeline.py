@@ -11,7 +11,7 @@ from sightline.llm import exact_dedup, langid, minhash, packing, secret_scan
 from sightline.llm.common import fold, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# A document whose mean probability of any language is lower than this is rejected, as is one without a letter.
+# A document whose mean probability of every language is lower than this is rejected, as is one without a letter.
 MIN_LANGUAGE_SCORE = 0.25
 SEQUENCE_TOKENS = 2048
 
@@ -22,8 +22,10 @@ def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus teaches: those without a letter, or like none of them, go, and so do
-    rows without an identifier. Where no row has a language to teach, only texts without a letter go.
+    """Documents in a language that the corpus teaches: those without a letter go, those whose mean probability of every
+    language is under MIN_LANGUAGE_SCORE, and rows without an identifier. Probabilities of n languages add up to 1, so that bound
+    rejects by score only where more than four are taught; a higher one would cost clean documents (README). Where no row
+    has a language to teach, only texts without a letter go.
     """
     model = langid.teach(docs.where(fold("doc_id", 4) != 2))
     if model is None:

@@ -8,7 +8,6 @@ scored: long ones in stretches that are read with some context on both sides.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,6 @@ MIN_STEPS, MIN_BATCH = 250, 16
 CORE, CONTEXT = 240, 16
 PAD = 256
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _direction(rng: np.random.Generator, hidden: int, classes: int) -> dict[str, np.ndarray]:
@@ -201,6 +199,11 @@ def teach(
     return model
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of Unicode's categories of letters; superscripts, fractions and letter numbers are not."""
+    return any(map(str.isalpha, text))
+
+
 def identified(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` of every whole text: the language with the largest mean probability over its bytes.
 
@@ -211,7 +214,7 @@ def identified(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", t
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in portions([t or "" for t in texts]):
-                own = [t if model and t and _LETTER.search(t) else "" for t in texts[a:b]]
+                own = [t if model and t and has_letter(t) else "" for t in texts[a:b]]
                 pooled = model.pooled([t.encode() for t in own]) if model else np.zeros((b - a, 1))
                 best = pooled.argmax(axis=1)
                 names = [model.labels[k] if t else UNDETERMINED for t, k in zip(own, best)]

@@ -44,11 +44,19 @@ CLASSES = (
         "base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_-])",
         _LOWER + _LOWER.upper() + _DIGITS + "+/_-=", 3.9,
     ),
+    # Smaller alphabets reach less; two digits at least tell their strings from words.
+    EntropyClass(
+        "base32", r"(?<![A-Za-z0-9+/_-])(?=[A-Z]*[2-7][A-Z]*[2-7])[A-Z2-7]{24,}={0,6}(?![A-Za-z0-9+/_-])", _LOWER.upper() + "234567=", 3.55,
+    ),
+    EntropyClass(
+        "lower36", r"(?<![A-Za-z0-9+/_-])(?=[a-z]*[0-9][a-z]*[0-9])[a-z0-9]{24,}(?![A-Za-z0-9+/_-])", _LOWER + _DIGITS, 3.6,
+    ),
 )
 WINDOW = 20
 
 # Candidates that match one of these are not secrets: paths and words joined by signs, identifiers in
-# canonical form, placeholders, counting sequences and strings of one case of letters.
+# canonical form, placeholders, counting sequences and strings of one case of letters. A part between signs that
+# is long enough is judged by itself too, so that a placeholder beside a secret does not hide it.
 ALLOW = (
     r"^[A-Za-z]+$",
     r"^[A-Za-z]+([-_/+][A-Za-z]+)+$",
@@ -128,8 +136,8 @@ def scanned(
     then kind; ends are exclusive, positions in code points. Columns that have these names are replaced.
 
     ``base`` are the matches of the base rules. ``added`` are strings of one character class in which some
-    window reaches the class's entropy and which no allow-list pattern matches, unless a base span holds
-    them. A null text counts as empty and has no spans. One narrow pass: nothing is shuffled.
+    window reaches the class's entropy and which no allow-list pattern matches, or that have such a part between
+    signs, unless a base span holds them. A null text counts as empty and has no spans. One narrow pass: nothing is shuffled.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = [
@@ -138,11 +146,15 @@ def scanned(
     ]
 
     def suspicious(c: EntropyClass):
-        def test(candidate: Column) -> Column:
+        def secret(string: Column) -> Column:
             allowed = F.lit(False)
             for pattern in allow:
-                allowed = allowed | candidate.rlike(pattern)
-            return ~allowed & (F.coalesce(window_entropy(candidate, c.alphabet, window), F.lit(0.0)) >= c.min_bits)
+                allowed = allowed | string.rlike(pattern)
+            return ~allowed & (F.coalesce(window_entropy(string, c.alphabet, window), F.lit(0.0)) >= c.min_bits)
+
+        def test(candidate: Column) -> Column:
+            parts = F.filter(F.split(candidate, "[-_/+]"), lambda p: (F.length(p) >= window) & (F.length(p) < F.length(candidate)))
+            return secret(candidate) | F.exists(parts, secret)
 
         return test
 

@@ -264,6 +264,8 @@ def test_language_of_odd_texts(make_docs, spark):
     assert {r.doc_id: r.lang_pred for r in got}[902] == "aa" and {r.doc_id: r.lang_pred for r in got}[None] == "xx"
     long = langid.identified(make_docs([(1, "xyxy yzzx " * 20_000), (2, "abab")]), model).collect()
     assert {r.doc_id: r.lang_pred for r in long} == {1: "xx", 2: "aa"}
+    odd = langid.identified(make_docs([(1, "\u00b2 \u00bd \u2167 12_!"), (2, "\u00b2 \u00aa"), (3, "\u4e2d")]), model).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in odd} == {1: True, 2: False, 3: False}
     assert langid.teach(make_docs([])) is None
     assert [(r.lang_pred, r.score) for r in langid.identified(make_docs([(1, "abc")]), None).collect()] == [("und", 0.0)]
 

@@ -215,6 +215,21 @@ def test_base_spans_agree_with_the_patterns(make_docs):
     assert added[8] == "entropy_base64:4:30" and added[9] == added[2] == added[7] == ""
 
 
+def test_strings_of_smaller_alphabets_are_found(make_docs):
+    rnd = random.Random(12)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    tokens = ["".join(rnd.choice(alphabets[i % 2]) for _ in range(rnd.choice([24, 32]))) for i in range(400)]
+    plain = ["posts about documentation and internationalization", "see thequickbrownfoxjumpsoverthelazydog", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+             "2024010120240102202401032024", "example-0123456789-placeholder", "aaaaaaaaaaaaaaaaaaaaaaa11aaaa"]
+    hidden = "sample-q9Zk2Lm8Qp4Zr7Tw1Yv5Bn3Cd6Ee"
+    rows = list(enumerate([f"x {t} y" for t in tokens] + plain + [hidden]))
+    added = {r.doc_id: r.added for r in secret_scan.find_secrets(make_docs(rows)).collect()}
+    found = [any((s.start, s.end) == (2, 2 + len(t)) for s in added[i]) for i, t in enumerate(tokens)]
+    assert min(np.mean(found[::2]), np.mean(found[1::2])) > 0.85
+    assert not any(added[len(tokens) + i] for i in range(len(plain)))
+    assert [(s.start, s.end) for s in added[len(rows) - 1]] == [(0, len(hidden))]
+
+
 def test_window_entropy_is_that_of_the_best_window(spark):
     rnd, alphabet = random.Random(0), secret_scan.CLASSES[1].alphabet
     texts = ["".join(rnd.choice(alphabet[:n]) for _ in range(m)) for n in (1, 2, 20, 60) for m in (5, 20, 21, 90)]
