@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,8 @@ from sightline.llm.words import WordEncoder, portions, vocabulary_path
 Filling = tuple[tuple[int, int], ...]  # ((length, times in the bin), ...), longest first
 # Lengths that the search may look at in all: some seconds on the driver.
 MAX_STEPS = 4_000_000
-# Every so many levels the rest is packed by best fit.
-COMPLETE_EVERY = 16
+# Every so many levels the rest is packed by best fit; so many levels are held open.
+COMPLETE_EVERY, OPEN_LEVELS = 16, 32
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
@@ -168,9 +169,15 @@ def complete_bins(counts: dict[int, int], capacity: int, steps: int | Steps = MA
         for n, t in filling:
             left[n] -= t * times
 
-    stack = [children()] if counts and size > least else []
+    # An open level holds its fillings and how many were taken. Those far above are closed, as each holds the sums of all its
+    # lengths, and opened again if the search comes back to them.
+    stack = [[children(), 0]] if counts and size > least else []
     while stack and size > least and steps.left > 0:
-        step = next(stack[-1], None)
+        level = stack[-1]
+        if level[0] is None:
+            level[0] = islice(children(), level[1], None)
+        step = next(level[0], None)
+        level[1] += 1
         if step is None:
             stack.pop()
             if path:
@@ -193,7 +200,9 @@ def complete_bins(counts: dict[int, int], capacity: int, steps: int | Steps = MA
                 best = [(f, t) for f, t, _ in path] + rest
                 size = bins + sum(t for _, t in rest)
         # Where all is placed there is nothing to fill: the level ends at once and is taken back.
-        stack.append(children() if any(left.values()) else iter(()))
+        stack.append([children() if any(left.values()) else iter(()), 0])
+        if len(stack) > OPEN_LEVELS:
+            stack[-OPEN_LEVELS - 1][0] = None
     return best
 
 

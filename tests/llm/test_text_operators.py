@@ -137,6 +137,15 @@ def test_fillings_are_all_undominated_ones_by_waste():
         assert few == got[:len(few)] and all(w > 2 for w in waste[len(few):])
 
 
+def test_levels_that_were_closed_are_searched_again(monkeypatch):
+    rnd, found = random.Random(7), []
+    cases = [Counter(rnd.randint(5, 40) for _ in range(rnd.randint(6, 14))) for _ in range(60)]
+    for levels in (1, 2, 100):
+        monkeypatch.setattr(packing, "OPEN_LEVELS", levels)
+        found.append([sum(t for _, t in packing.complete_bins(c, 50, 10 ** 6)) for c in cases])
+    assert found[0] == found[1] == found[2] == [_fewest(sorted(c.elements(), reverse=True), 50) for c in cases]
+
+
 def test_search_ends_within_its_steps():
     # 300 lengths and best fit one over the bound: whatever is enumerated, dominated or not, is counted.
     rnd, spent = random.Random(2), 0
