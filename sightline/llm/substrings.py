@@ -28,7 +28,7 @@ from sightline.llm.words import portions
 from sightline.operators import storage
 
 GRAM = 32
-# Distinct stretches of one anchor that are sorted together; of more, pieces are counted by Spark.
+# Distinct stretches of one anchor that are sorted together; of more, pieces meet by longer anchors, their cores.
 TOGETHER = 1024
 # Stretches that a block of anchors holds on average; runs of a piece of a crowded anchor's stretch.
 BLOCK, GRAIN = 1024, 16
@@ -245,15 +245,20 @@ def repeated(
     )
 
     # The stretches of a crowded anchor are cut into pieces of GRAIN runs, counted from the anchor, so that equal runs
-    # lie in like pieces. Equal pieces are repeated throughout; only runs of distinct pieces are counted one by one.
+    # lie in like pieces. All runs of a piece hold its core, and equal runs lie in pieces of equal cores: the core is the
+    # piece's anchor, as long as a run but for GRAIN - 1 bytes. Equal pieces are repeated throughout; a core that one
+    # distinct piece has alone is done with; the others are sorted by their suffixes like stretches.
     def pieced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for part, row, first, more, data in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                shift = anchor_place(data, least) % GRAIN
-                cuts = [0, *range(shift or GRAIN, more + 1, GRAIN), more + 1]
-                out += [(part, row, first + i, j - i - 1, data[i:j - 1 + least]) for i, j in zip(cuts, cuts[1:])]
-            yield _rows(out, [pa.int32()] * 4 + [pa.binary()], ["part", "row", "first", "more", "bytes"])
+                shift = anchor_place(data, least) % GRAIN or GRAIN
+                cuts = [0, *range(shift, more + 1, GRAIN), more + 1]
+                for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                    cell = shift + (k - 1) * GRAIN
+                    core = hashlib.md5(data[cell + GRAIN - 1:cell + least]).digest()[:8]
+                    out.append((part, row, first + i, j - i - 1, int.from_bytes(core, "little", signed=True), data[i:j - 1 + least]))
+            yield _rows(out, [pa.int32()] * 4 + [pa.int64(), pa.binary()], ["part", "row", "first", "more", "core", "bytes"])
 
     def singled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,18 +268,33 @@ def repeated(
             yield _rows(out, [pa.int64()] + [pa.int32()] * 3 + [pa.binary()], ["n", "part", "row", "first", "bytes"])
 
     pieces = stretches.where("crowded").select("part", "row", "first", "more", "bytes").mapInArrow(
-        pieced, "part int, row int, first int, more int, bytes binary"
+        pieced, "part int, row int, first int, more int, core bigint, bytes binary"
     ).withColumn("digest", F.unhex(F.md5("bytes")))
     pieces = written(pieces, "pieces")
-    distinct = written(pieces.groupBy("digest").agg(
+    distinct = written(pieces.groupBy("core", "digest").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("part", "row", "first", "more", "bytes")).alias("at")
-    ).select("digest", "n", "at.*"), "distinct-pieces")
-    single = distinct.select("n", "part", "row", "first", "more", "bytes").mapInArrow(
+    ).select("core", "digest", "n", "at.*"), "distinct-pieces")
+    cores = written(distinct.groupBy("core").agg(F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1"), "cores")
+    differing = written(
+        distinct.join(cores, "core").select("part", "row", "first", "more", F.col("core").alias("gram"), "n", "_kinds", "bytes"),
+        "differing-pieces",
+    )
+    # As many runs as TOGETHER whole stretches have.
+    together = F.col("_kinds") * GRAIN <= TOGETHER * (least - min(GRAM, least) + 1)
+    piece_blocks = max(1, -(-differing.count() // BLOCK))
+    sorted_pieces = (
+        differing.where(together).drop("_kinds").groupBy(F.pmod("gram", F.lit(piece_blocks)).alias("block"))
+        .applyInPandas(sort, "part int, row int, first int, more int")
+    )
+    # More distinct pieces of one core than a task should sort: each of their runs is counted.
+    single = differing.where(~together).select("n", "part", "row", "first", "more", "bytes").mapInArrow(
         singled, "n bigint, part int, row int, first int, bytes binary"
     ).withColumn("run", F.unhex(F.md5("bytes"))).drop("bytes")
     counted = single.groupBy("run").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("run")
     crowded = (
-        pieces.join(distinct.where("n > 1").select("digest"), "digest", "left_semi").select("part", "row", "first", "more")
+        pieces.join(distinct.where("n > 1").select("core", "digest"), ["core", "digest"], "left_semi")
+        .select("part", "row", "first", "more")
+        .unionByName(sorted_pieces)
         .unionByName(
             single.where("n = 1").join(counted, "run", "left_semi").select("part", "row", "first", F.lit(0).alias("more"))
         )
