@@ -37,6 +37,30 @@ def cell_y(cell: Column) -> Column:
     return cell.bitwiseAND(F.lit(_MASK).cast("bigint"))
 
 
+def _spread(v: Column) -> Column:
+    """The bits of a number under 2**32 with a gap before each."""
+    for shift, mask in (
+        (16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555),
+    ):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def curve_key(c: Column) -> Column:
+    """Place of a cell on the Z-order curve of the finest zoom: the bits of its column and row in turn.
+
+    Cells near each other have near keys, and all cells within one have the keys from its own up to ``curve_end``. Rows sorted
+    by it lie in files with a narrow range of both longitude and latitude. Null for a null cell.
+    """
+    place = F.shiftleft(_spread(cell_x(c)), 1).bitwiseOR(_spread(cell_y(c)))
+    return F.call_function("shiftleft", place, (2 * (MAX_ZOOM - cell_zoom(c))).cast("int"))
+
+
+def curve_end(c: Column) -> Column:
+    """The last key of the cells within a cell."""
+    return curve_key(c) + F.call_function("shiftleft", F.lit(1).cast("bigint"), (2 * (MAX_ZOOM - cell_zoom(c))).cast("int")) - 1
+
+
 def _column_at(lon: Column, zoom: int) -> Column:
     return F.floor((lon + 180.0) / 360.0 * float(2**zoom))
 

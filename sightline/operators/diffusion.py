@@ -15,6 +15,8 @@ from sightline.operators.storage import kept, sized, write_partitions
 REGION = ["market_id", "c14"]
 SOURCE = [*REGION, "src"]
 FINE_ZOOM, CHILD_ZOOM = 20, 24
+# Parts of a guide table: a power of two, so that where a part begins is an exact number.
+GUIDE = 32
 
 
 def stage_region(
@@ -89,18 +91,30 @@ def cdf_max(cdf: DataFrame) -> DataFrame:
 
 
 def hop_table(cdf: DataFrame) -> DataFrame:
-    """One row per source with its sorted (cdf, neighbour) list; the disk bounds the list."""
-    return cdf.groupBy(*SOURCE).agg(F.array_sort(F.collect_list(F.struct("cdf", "nbr"))).alias("hops"))
+    """One row per source with its sorted (cdf, neighbour) list ``hops`` and its guide; the disk bounds the list.
+
+    ``guide`` tells, for each of GUIDE equal parts of [0, 1) and for 1, the place of the first neighbour whose cdf
+    reaches where the part begins, one past the list if none does. A draw looks only from its part's place to the next part's.
+    """
+    begins = F.sequence(F.lit(0), F.lit(GUIDE))
+    before = lambda g: F.size(F.filter("hops", lambda h: h["cdf"] < g / F.lit(float(GUIDE))))
+    return (
+        cdf.groupBy(*SOURCE).agg(F.array_sort(F.collect_list(F.struct("cdf", "nbr"))).alias("hops"))
+        .withColumn("guide", F.transform(begins, lambda g: before(g) + 1))
+    )
 
 
 def diffuse_hop(positions: DataFrame, hops: DataFrame, hop: int, seed: int = 0) -> DataFrame:
     """Move every row once: the first neighbour whose cdf reaches the row's draw, else the last.
 
-    A row whose cell has no baseline neighbours stays. ``positions`` carries ``cur``.
+    The guide leads to it, so a draw looks at one or two neighbours on average, whatever the size of the disk. A row whose cell has no baseline neighbours stays. ``positions`` carries ``cur``.
     """
     drawn = positions.withColumn("_r", uniform(F.col("row_id"), hop, seed))
     at = hops.withColumnRenamed("src", "cur")
-    reached = F.try_element_at(F.filter("hops", lambda h: h["cdf"] >= F.col("_r")), F.lit(1))["nbr"]
+    part = F.floor(F.col("_r") * GUIDE).cast("int") + 1
+    begin, end = F.try_element_at("guide", part), F.try_element_at("guide", part + 1)
+    near = F.slice("hops", begin, end - begin + 1)
+    reached = F.try_element_at(F.filter(near, lambda h: h["cdf"] >= F.col("_r")), F.lit(1))["nbr"]
     last = F.try_element_at(F.col("hops"), F.lit(-1))["nbr"]
     return (
         drawn.join(at, [*REGION, "cur"], "left")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sightline.functions.cells import curve_key
 from sightline.functions.scalars import (
     METERS_TO_MILES, between_dates, equals, in_list, info_field, pct, ratio, sum_if, with_point,
 )
@@ -293,8 +294,8 @@ def exposure_table(
 
 
 def write_exposure_table(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store weighted exposures by day, ordered by market and cell, for the reports to read."""
-    write_partitions(rows, path, sort=["market_id", "c14", "c17"], mode=mode)
+    """Store weighted exposures by day, ordered by market and along the cells' curve, for the reports to read."""
+    write_partitions(rows, path, sort=["market_id", curve_key(F.col("c17"))], mode=mode)
 
 
 def _assets_per_device(exposures: DataFrame, period: Column, min_rows: int) -> DataFrame:

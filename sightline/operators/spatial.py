@@ -15,7 +15,7 @@ def within_radius(df: DataFrame, lat: str, lon: str, at_lat: float, at_lon: floa
     """Rows within ``radius_m`` of a fixed point, with ``distance_m``.
 
     The latitude and longitude bands are plain ranges on columns, which parquet can skip by: files laid
-    out by cell are cut by longitude first. Around a pole, or over the 180th meridian, one band is left.
+    out along the cells' curve (``curve_key``) are narrow in both. Around a pole, or over the 180th meridian, one band is left.
     """
     band = radius_m * 1.01 / METERS_PER_DEGREE
     near = F.col(lat).between(at_lat - band, at_lat + band)

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 
@@ -96,7 +96,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def write_partitions(
-    df: DataFrame, path: str, day: str = "core_date", sort: Sequence[str] = (), mode: str = "overwrite",
+    df: DataFrame, path: str, day: str = "core_date", sort: Sequence[str | Column] = (), mode: str = "overwrite",
     compression: str = "snappy",
 ) -> None:
     """Write parquet partitioned by day, each day spread over several files and sorted inside them.

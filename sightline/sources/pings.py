@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from sightline.functions.cells import cell, cell_parent
+from sightline.functions.cells import cell, cell_parent, curve_key
 from sightline.functions.timebins import utc_date
 from sightline.operators.storage import write_partitions
 
@@ -86,8 +86,8 @@ def ingest_pings(
     """Read, index and write gzip parquet by day; overwrite replaces the days read, append adds to them.
 
     A missing or unreadable file fails the job. A day has as many files as its rows fill, each with
-    a range of cells.
+    a stretch of the cells' curve, narrow in longitude and latitude.
     """
     write_partitions(
-        index_pings(read_raw_pings(spark, paths)), out, sort=["c11", "c17"], mode=mode, compression="gzip"
+        index_pings(read_raw_pings(spark, paths)), out, sort=[curve_key(F.col("c25"))], mode=mode, compression="gzip"
     )

@@ -204,3 +204,19 @@ def test_days_and_hours_ignore_the_session_time_zone(spark):
         )]).collect() == before
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_curve_keys_interleave_and_hold_their_descendants(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for _ in range(300)] + [(None, 1.0)]
+    fine, coarse = cells.cell(F.col("lat"), F.col("lon"), 25), cells.cell(F.col("lat"), F.col("lon"), 14)
+    for r in spark.createDataFrame(rows, "lat double, lon double").select(
+        cells.cell_x(fine).alias("x"), cells.cell_y(fine).alias("y"), cells.curve_key(fine).alias("key"),
+        cells.curve_end(fine).alias("last"), cells.curve_key(coarse).alias("begin"), cells.curve_end(coarse).alias("end"),
+    ).collect():
+        if r.x is None or r.y is None:
+            assert r.key is None and r.begin is None
+            continue
+        key = sum((r.x >> i & 1) << 2 * i + 1 | (r.y >> i & 1) << 2 * i for i in range(26))
+        assert r.key == r.last == key and r.begin <= key <= r.end
+        assert r.begin == key >> 22 << 22 and r.end - r.begin == 2**22 - 1

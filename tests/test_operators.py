@@ -11,8 +11,9 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from sightline.functions.cells import cell
+from sightline.functions.cells import cell, curve_key
 from sightline.functions.geodesy import distance_m
+from sightline.functions.scalars import uniform
 from sightline.operators import (
     affinity, diffusion, events, matching, multiplier, ordering, quality, reach, spatial, storage, studies,
 )
@@ -25,6 +26,39 @@ LAT, LON = 29.95, -90.08
 
 # ---- storage
 
+def test_rows_along_the_curve_are_skipped_by_both_axes(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    side = 360 / 2**17  # a cell of zoom 17
+    rows = spark.range(512 * 512).select(
+        F.lit(DAY).alias("core_date"), (10 + (F.col("id") % 512) * side + side / 2).alias("lat"),
+        (20 + F.floor(F.col("id") / 512) * side + side / 2).alias("lon"),
+    ).withColumn("c17", cell(F.col("lat"), F.col("lon"), 17))
+    band = lambda s, first: (s.min, s.max, first + 100 * side, first + 164 * side)
+    conf = {"spark.sql.shuffle.partitions": "256", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    read = {}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for name, sort in (("cells", ["c17"]), ("curve", [curve_key(F.col("c17"))])):
+            path = tmp_path / name
+            storage.write_partitions(rows, str(path), sort=sort)
+            metas = [pq.ParquetFile(f).metadata for f in path.rglob("*.parquet")]
+            groups = [m.row_group(i) for m in metas for i in range(m.num_row_groups)]
+            assert len(groups) > 200 and sum(g.num_rows for g in groups) == 512 * 512
+            read[name] = 0
+            for g in groups:
+                at = {g.column(i).path_in_schema: g.column(i).statistics for i in range(g.num_columns)}
+                bands = band(at["lat"], 10), band(at["lon"], 20)
+                read[name] += all(low <= upto and high >= begin for low, high, begin, upto in bands)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    # A box of an eighth of each side, 256 files of two columns of cells: an eighth of them by cell, some (256 ** 0.5 / 8 + 2) ** 2 along the curve.
+    assert read["curve"] <= 16 < 32 <= read["cells"], read
+
+
 def test_upsert_is_idempotent(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     source = spark.createDataFrame([(2, "B"), (3, "C")], "k int, v string")
@@ -442,6 +476,21 @@ def test_diffusion_keeps_rows_and_moves_to_neighbours(spark):
     assert {r.iter: r.n for r in snapshots.groupBy("iter").agg(F.sum("ping_count").alias("n")).collect()} == {i: 600 for i in range(1, 8)}
 
 
+def test_guided_hop_is_the_first_neighbour_that_reaches_the_draw(spark):
+    steps = {1: [0.03125, 0.0312500001, 0.5, 0.5, 0.9999], 2: [1.0], 3: [1e-9, 0.2, 0.2000001, 0.96875, 1.0], 4: [0.4, 0.6]}
+    cdf = spark.createDataFrame([(1, 1, s, 10 * s + i, c) for s, cs in steps.items() for i, c in enumerate(cs)],
+                                "market_id long, c14 long, src long, nbr long, cdf double")
+    hops = diffusion.hop_table(cdf)
+    assert all(len(r.guide) == diffusion.GUIDE + 1 for r in hops.collect())
+    rows = spark.range(500).selectExpr("id as row_id", "1L as market_id", "1L as c14", "id % 6 as src", "id % 6 as cur")
+    drawn = rows.withColumn("r", uniform(F.col("row_id"), 4, 7))
+    draws = {x.row_id: x.r for x in drawn.collect()}
+    for x in diffusion.diffuse_hop(rows, hops, 4, 7).collect():
+        cs = steps.get(x.src)
+        reach = [i for i, c in enumerate(cs or []) if c >= draws[x.row_id]]
+        assert x.cur == (10 * x.src + (reach or [len(cs) - 1])[0] if cs else x.src)
+
+
 def test_diffusion_without_baseline_stays(spark):
     pings = diffusion_tables(spark, 3)
     weights = diffusion.baseline_weights(pings, DAY, DAY).where("c20 < 0")
