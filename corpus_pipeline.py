@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sightline.llm import exact_dedup, langid, minhash, packing, secret_scan
 from sightline.llm.common import fold, table, written
+from sightline.operators.ordering import join_null_safe
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # A document whose mean probability of every language is lower than this is rejected, as is one without a letter.
@@ -16,36 +17,34 @@ MIN_LANGUAGE_SCORE = 0.25
 SEQUENCE_TOKENS = 2048
 
 
-def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The documents whose identifiers ``decided`` has."""
-    return docs.join(decided.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus teaches: those without a letter go, those whose mean probability of every
-    language is under MIN_LANGUAGE_SCORE, and rows without an identifier. Probabilities of n languages add up to 1, so that bound
+    language is under MIN_LANGUAGE_SCORE. Probabilities of n languages add up to 1, so that bound
     rejects by score only where more than four are taught; a higher one would cost clean documents (README). Where no row
     has a language to teach, only texts without a letter go.
     """
     model = langid.teach(docs.where(fold("doc_id", 4) != 2))
     if model is None:
-        return docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    found = langid.identified(docs, model)
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = langid.identified(docs, model, carried=COLUMNS[1:])
     accepted = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return _kept(docs, found.where(accepted))
+    return found.where(accepted).select(*COLUMNS)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest identifier, once if its row is repeated."""
+    """Of equal texts the one with the smallest identifier, once if its row is repeated or if none has an identifier."""
     kept = exact_dedup.exact_groups(docs, keep="smallest").where("kept").select("doc_id", "text_sha256").distinct()
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    same = docs.select(*COLUMNS, digest.alias("text_sha256")).join(kept, ["doc_id", "text_sha256"], "left_semi")
+    same = join_null_safe(docs.select(*COLUMNS, digest.alias("text_sha256")), kept, ["doc_id", "text_sha256"], "left_semi")
     return same.dropDuplicates(["doc_id", "text_sha256"]).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more on shingles of five words: the smallest identifier."""
-    return _kept(docs, minhash.near_duplicates(docs, words=5, percent=80).where("kept"))
+    """One document of each group linked by a similarity of 0.8 or more on shingles of five words: the smallest identifier.
+    Documents without an identifier stay.
+    """
+    copies = minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

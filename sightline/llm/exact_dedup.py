@@ -22,6 +22,8 @@ from sightline.llm.common import narrowed, written
 
 # Characters of the text that lead the sort key; ties go by digest.
 KEY_CHARS = 32
+# What stands for no identifier while the smallest, or the largest, of a group is looked for.
+NONE = {"smallest": (1 << 63) - 1, "largest": -(1 << 63)}
 
 _RUNS = pa.schema([
     ("doc_id", pa.int64()), ("sha", pa.binary()), ("size", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
@@ -97,16 +99,16 @@ def exact_groups(
     Texts are equal when their normalised forms are identical (``normalise`` maps a string column;
     none by default); a null text counts as empty. ``keep`` is ``smallest`` or ``largest``: the
     identifier that stays of a group. Repeated rows count each in the group's size, and all of them are kept if
-    their identifier is. Rows without an identifier are left out. An empty table gives no rows; other columns
-    of ``docs`` are ignored. Runs a job when called.
+    their identifier is. A row without an identifier counts in its group's size and stays only if no row of the group has one,
+    as do all such rows then, with a null ``keep_id``; the one identifier that is last in the order (2**63 - 1 for ``smallest``, -2**63 for
+    ``largest``) is read as none. An empty table gives no rows; other columns of ``docs`` are ignored. Runs a job when called.
     """
-    if keep not in ("smallest", "largest"):
+    if keep not in NONE:
         raise ValueError("keep is 'smallest' or 'largest'")
     norm = F.coalesce(F.col("norm"), F.lit(""))
     rows = (
         narrowed(docs, doc_id=id_col, norm=text_col)
-        .withColumn("doc_id", F.col("doc_id").cast("bigint"))
-        .where("doc_id is not null")
+        .withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE[keep])))
         .withColumn("norm", normalise(norm) if normalise else norm)
         .withColumn("sha", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
         .withColumn("head", F.substring("norm", 1, KEY_CHARS))
@@ -134,11 +136,12 @@ def exact_groups(
     # Two rows a partition at most, whatever the table holds: small enough to broadcast.
     border = border.select("part", "first", "_chain").join(whole, "_chain").drop("_chain")
     keep_id = F.coalesce("_low" if keep == "smallest" else "_high", "low" if keep == "smallest" else "high")
+    named = lambda identifier: F.nullif(identifier, F.lit(NONE[keep]))
     at_border = (F.col("first") | F.col("last")) & (F.col("part") == F.col("_part")) & (F.col("first") == F.col("_first"))
     return (
         runs.join(F.broadcast(border.withColumnsRenamed({"part": "_part", "first": "_first"})), at_border, "left")
         .select(
-            "doc_id", keep_id.alias("keep_id"), F.coalesce("_size", "size").alias("group_size"),
+            named(F.col("doc_id")).alias("doc_id"), named(keep_id).alias("keep_id"), F.coalesce("_size", "size").alias("group_size"),
             (F.col("doc_id") == keep_id).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
         )
     )

@@ -8,11 +8,12 @@ scored: long ones in stretches that are read with some context on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from sightline.llm.common import narrowed
 from sightline.llm.words import portions
@@ -204,11 +205,14 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def identified(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identified(
+    docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text", carried: Sequence[str] = (),
+) -> DataFrame:
     """``doc_id, lang_pred, score`` of every whole text: the language with the largest mean probability over its bytes.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if ``model`` is None.
-    Ties go to the language that sorts first. One narrow pass; memory is bounded by one portion of texts.
+    Ties go to the language that sorts first. The columns named in ``carried`` follow, so that no join has to bring them back.
+    One narrow pass; memory is bounded by one portion of texts.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,9 +224,13 @@ def identified(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", t
                 names = [model.labels[k] if t else UNDETERMINED for t, k in zip(own, best)]
                 scores = np.clip(pooled[np.arange(b - a), best], 0, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(names), pa.array(scores, pa.float64())],
-                    names=["doc_id", "lang_pred", "score"],
+                    [batch.column(0).slice(a, b - a), pa.array(names), pa.array(scores, pa.float64()),
+                     *[c.slice(a, b - a) for c in batch.columns[2:]]],
+                    names=["doc_id", "lang_pred", "score", *carried],
                 )
 
-    rows = narrowed(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in carried]
+    )
+    found = StructType().add("doc_id", "long").add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(run, StructType(found.fields + rows.schema.fields[2:]))

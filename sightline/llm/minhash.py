@@ -181,15 +181,15 @@ def near_duplicates(
     runs of ``words`` words, or its whole sequence if shorter. Documents link if the intersection of their sets has at
     least ``percent`` hundredths of the union; ``component_id`` is the smallest identifier reachable by links, and
     that document is kept. Null and empty texts have no shingles and no links. An identifier
-    stands for one text: repeated rows come back as often, rows without an identifier are left out. Runs jobs when
-    called.
+    stands for one text: repeated rows come back as often. A row without an identifier cannot be linked; it comes back
+    with the size of its set and a null ``component_id``, and is kept. Runs jobs when called.
     """
     rows = narrowed(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    rows = rows.where("doc_id is not null")
     signed = written(_signed(rows, words, seed), "signatures")
     key = ["n_shingles", "s1", "s2"]
-    sets = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    classed = written(signed.join(sets, key, "left").select("doc_id", "n_shingles", "rep"), "classes")
+    sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    own = F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")
+    classed = written(signed.join(sets, key, "left").select("doc_id", "n_shingles", own), "classes")
     one_each = signed.where("sig is not null").join(
         classed.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi"
     ).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "sig")
@@ -214,7 +214,7 @@ def near_duplicates(
     labels = components(links).withColumnsRenamed({"id": "rep", "component_id": "_component"})
     component = F.coalesce("_component", "rep", "doc_id")
     return classed.join(labels, "rep", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 
 

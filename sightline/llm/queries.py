@@ -53,8 +53,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
          firsts AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS least
                     FROM sized)
     SELECT page_id, payload_bytes, payload_digest,
-           CASE WHEN least < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-           CASE WHEN least < page_id THEN least END AS refers_to
+           CASE WHEN least < page_id OR (page_id IS NULL AND least IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN least < page_id OR page_id IS NULL THEN least END AS refers_to
     FROM firsts
 """)
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-           doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+           coalesce(doc_id = max(doc_id) OVER same, max(doc_id) OVER same IS NULL) AS kept, sha256(coalesce(text, '')) AS text_sha256
     FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """)
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

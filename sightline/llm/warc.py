@@ -17,19 +17,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.llm.common import narrowed
 from sightline.operators import storage
+from sightline.operators.ordering import join_null_safe
 
 # Bytes after which a task begins another archive; payloads shorter than MIN_REVISIT are always stored; gzip level.
 ARCHIVE_BYTES, MIN_REVISIT, LEVEL = 256 << 20, 100, 5
 # Ranges closer than GAP bytes are read at once, up to READ bytes at a time.
 GAP, READ = 64 << 10, 4 << 20
+# Bytes of archives that a task reads, about.
+TASK_BYTES = 32 << 20
 
 CRLF = "\r\n"
 RECORD_END = b"\r\n\r\n"
 
 
 def _uri(page_id: Column) -> Column:
-    """A record's identifier: a name-based one in the form of a UUID, made from the page's own."""
-    digest = F.md5(F.concat(F.lit("page:"), page_id.cast("string")))
+    """A record's identifier: a name-based one in the form of a UUID, made from the page's own, else from its payload and URL."""
+    nameless = F.concat(F.lit("payload:"), F.col("payload_digest"), F.lit(":"), F.coalesce("url", F.lit("")))
+    digest = F.md5(F.coalesce(F.concat(F.lit("page:"), page_id.cast("string")), nameless))
     parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -50,7 +54,7 @@ def _header(target: Column) -> Column:
             line("WARC-Refers-To", _uri(F.col("refers_to"))),
             line("X-Refers-To-Page", F.col("refers_to")),
         )).otherwise(F.lit("")),
-        line("X-Page", F.col("page_id")),
+        F.coalesce(line("X-Page", F.col("page_id")), F.lit("")),
         line("X-Payload-Length", F.col("payload_bytes")),
         F.lit("Content-Type: text/html" + CRLF),
         line("Content-Length", F.when(refers, F.lit(0)).otherwise(F.col("payload_bytes"))),
@@ -61,8 +65,10 @@ def _header(target: Column) -> Column:
 def _revisits(rows: DataFrame, min_revisit: int) -> DataFrame:
     """(page_id, payload_digest, refers_to) of the pages whose payload another page stores. No payload is moved."""
     long = rows.where(F.col("payload_bytes") >= min_revisit).select("page_id", "payload_digest")
-    stored = long.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last"))
-    again = long.join(stored.where("refers_to < _last").drop("_last"), "payload_digest").where("refers_to < page_id")
+    stored = long.groupBy("payload_digest").agg(
+        F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last"), F.bool_or(F.col("page_id").isNull()).alias("_nameless")
+    ).where("refers_to < _last or _nameless and refers_to is not null").drop("_last", "_nameless")
+    again = long.join(stored, "payload_digest").where("page_id is null or refers_to < page_id")
     return again.dropDuplicates(["page_id", "payload_digest"])
 
 
@@ -81,8 +87,8 @@ def write_archives(
 
     Archives are ``.warc.gz``, each record a gzip member of its own. Of equal payloads (by SHA-256) with at least
     ``min_revisit`` bytes the one with the smallest identifier is stored, the others revisit it. A null payload
-    is empty, control characters and spaces in a URL become one space, a repeated row is a record of its own, and rows
-    without an identifier are left out.
+    is empty, control characters and spaces in a URL become one space, and a repeated row is a record of its own. A page without
+    an identifier revisits the one that is stored, and is itself stored where no page with that payload has an identifier.
     A task writes archives under fresh names and the index names only those of attempts that Spark committed, so a lost
     executor costs its tasks and leaves files that nothing refers to. An empty table gives an empty index.
     """
@@ -90,9 +96,9 @@ def write_archives(
     rows = narrowed(pages, page_id=id_col, url=url_col, html=html_col).select(
         F.col("page_id").cast("bigint").alias("page_id"), F.regexp_replace("url", "[\\x00-\\x20]+", " ").alias("url"), "html",
         F.octet_length(payload).cast("bigint").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"),
-    ).where("page_id is not null")
+    )
     records = (
-        rows.join(_revisits(rows, min_revisit), ["page_id", "payload_digest"], "left")
+        join_null_safe(rows, _revisits(rows, min_revisit), ["page_id", "payload_digest"], "left")
         .withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
         .withColumn("content", F.when(F.col("refers_to").isNull(), payload))
         .withColumn("header", _header(F.col("url")))
@@ -167,7 +173,8 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
     and, if asked for, ``payload`` (empty for a revisit).
 
     Only the byte ranges of the given rows are read, in order of place; a stored payload's size and digest are
-    taken from its bytes and must agree with its header.
+    taken from its bytes and must agree with its header. There are as many tasks as the wanted bytes fill; a job adds
+    them up when called.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -192,9 +199,9 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
                         digest = fields["warc-payload-digest"].partition(":")[2]
                         stored = fields["warc-type"] == "response"
                         if stored and hashlib.sha256(content).hexdigest() != digest:
-                            raise ValueError(f"payload of page {fields['x-page']} does not match its digest")
+                            raise ValueError(f"payload of record {fields['warc-record-id']} does not match its digest")
                         rows.append((
-                            int(fields["x-page"]), fields["warc-type"],
+                            int(fields["x-page"]) if "x-page" in fields else None, fields["warc-type"],
                             None if stored else int(fields["x-refers-to-page"]),
                             len(content) if stored else int(fields["x-payload-length"]), digest,
                             fields.get("warc-target-uri"), content,
@@ -206,6 +213,8 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[c.split()[1]] for c in schema.split(", ")]
-    # Ranges of places, so that a task reads a stretch of few archives in order.
-    wanted = index.select("archive", "offset", "length").repartitionByRange("archive", "offset")
+    # Ranges of places, so that a task reads a stretch of few archives in order. The rows to shuffle are tiny beside the
+    # bytes they lead to, so the number of tasks is given.
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    wanted = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset")
     return wanted.sortWithinPartitions("archive", "offset").mapInArrow(run, schema)

@@ -98,15 +98,16 @@ def test_pipeline_is_its_stages_in_order(spark, documents):
 
 def test_pipeline_stages_on_odd_documents(spark, make_docs):
     rows = [(1, "Plain words of a text, said again and again."), (2, None), (3, ""), (4, "123"), (5, "token=abcdefghij"),
-            (5, "token=abcdefghij"), (6, "token=abcdefghij"), (None, "no identifier"), (7, "long word " * 30_000)]
+            (5, "token=abcdefghij"), (6, "token=abcdefghij"), (None, "no identifier"), (7, "long word " * 30_000),
+            (None, "no identifier"), (None, "token=abcdefghij")]
     docs = make_docs(rows).fillna("en", ["lang"])
     for _, stage in corpus_pipeline.STAGES[1:]:
         docs = stage(spark, docs, FOLDER)
-    assert {r.doc_id for r in docs.collect()} == {1, 2, 4, 5, 7}
+    assert {r.doc_id for r in docs.collect()} == {1, 2, 4, 5, 7, None}
     kept = corpus_pipeline.language_id(spark, make_docs(rows).fillna("en", ["lang"]), FOLDER)
-    assert {r.doc_id for r in kept.collect()} == {1, 5, 6, 7}
+    assert {r.doc_id for r in kept.collect()} == {1, 5, 6, 7, None}
     untaught = corpus_pipeline.language_id(spark, make_docs(rows), FOLDER)
-    assert {r.doc_id for r in untaught.collect()} == {1, 5, 6, 7}
+    assert {r.doc_id for r in untaught.collect()} == {1, 5, 6, 7, None}
     masked = corpus_pipeline.secrets(spark, make_docs([(5, "token=abcdefghij"), (2, None)]), FOLDER).collect()
     assert {(r.doc_id, r.text, r.n_chars) for r in masked} == {(5, "[SECRET]", 8), (2, None, None)}
 

@@ -35,13 +35,13 @@ def _union(ids, links):
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_groups(make_docs, keep):
     texts = [None, "", "a", "A", "a ", "a", "x" * 100_000, "x" * 100_000 + "y", "x" * 100_000, "é", "é", ""]
-    rows = list(enumerate(texts + ["hot"] * 500)) + [(2, "a"), (None, "a")]
+    rows = list(enumerate(texts + ["hot"] * 500)) + [(2, "a"), (None, "a"), (None, "none"), (None, "none"), (None, None)]
     got = exact_dedup.exact_groups(make_docs(rows), keep=keep).collect()
     groups = {}
     for i, t in rows:
-        if i is not None:
-            groups.setdefault(t or "", []).append(i)
-    pick = min if keep == "smallest" else max
+        groups.setdefault(t or "", []).append(i)
+    best = min if keep == "smallest" else max
+    pick = lambda own: best((i for i in own if i is not None), default=None)
     expected = Counter(
         (i, pick(own), len(own), i == pick(own), hashlib.sha256(t.encode()).hexdigest()) for t, own in groups.items() for i in own
     )
@@ -84,7 +84,11 @@ def test_near_duplicates_find_all_links(make_docs, monkeypatch, crowd):
                 own[rnd.randrange(len(own))] = "changed" + str(rnd.randint(0, 9))
             texts.append(" ".join(own))
     texts += texts[9:12]
-    got = {r.doc_id: r for r in minhash.near_duplicates(make_docs([*enumerate(texts), (None, "x")]), words=4).collect()}
+    nameless = [(None, "x"), (None, texts[9]), (None, texts[9]), (None, None)]
+    found = minhash.near_duplicates(make_docs([*enumerate(texts), *nameless]), words=4).collect()
+    got = {r.doc_id: r for r in found if r.doc_id is not None}
+    alone = Counter(tuple(r)[1:] for r in found if r.doc_id is None)
+    assert alone == Counter((len(s), None, True) for s in _sets([t for _, t in nameless], 4))
     sets = list(_sets(texts, 4))
     links = [
         (i, j) for i, j in combinations(range(len(texts)), 2)
@@ -176,26 +180,32 @@ def test_windows_widen_until_enough_collide():
     assert found.tolist() == np.flatnonzero(counts >= 16).tolist()
 
 
-def test_archives_round_trip(spark, tmp_path):
+def test_archives_round_trip(spark, tmp_path, monkeypatch):
     rows = [(i, f"http://a/{i} b\r\nc", html) for i, html in enumerate(
         [None, "", "short", "short", "x" * 100, "x" * 100, "é\r\n\r\n" * 60, "x" * 99, "x" * 99, "long " * 60_000, "x" * 100]
     )] + [(20, None, "y" * 200), (21, "u", "y" * 200), (21, "u", "y" * 200), (None, "u", "z")]
+    rows += [(None, "u", "y" * 200), (None, None, "q" * 200), (None, None, "q" * 200), (None, "v", None)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("header", F.lit(1)).repartition(2)
     folder = f"file://{tmp_path}/warc"
     index = warc.write_archives(df, folder, archive_bytes=500)
     got = warc.read_records(index, folder, with_payload=True).collect()
-    known = [(i, (html or "").encode()) for i, _, html in rows if i is not None]
+    known = [(i, (html or "").encode()) for i, _, html in rows]
     first = {}
     for i, raw in known:
-        first[raw] = min(i, first.get(raw, i))
+        if i is not None:
+            first[raw] = min(i, first.get(raw, i))
     expected = Counter()
     for i, raw in known:
-        again = len(raw) >= 100 and first[raw] != i
+        again = len(raw) >= 100 and first.get(raw, i) != i
         expected[i, "revisit" if again else "response", first[raw] if again else None, len(raw),
                  hashlib.sha256(raw).hexdigest(), b"" if again else raw] += 1
     assert Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, bytes(r.payload)) for r in got) == expected
     some = warc.read_records(index.where("page_id in (6, 20)"), folder).collect()
     assert {r.page_id for r in some} == {6, 20}
+    monkeypatch.setattr(warc, "TASK_BYTES", 400)
+    spread = warc.read_records(index, folder, with_payload=True)
+    assert Counter(map(tuple, spread.collect())) == Counter(map(tuple, got))
+    assert spread.select(F.spark_partition_id()).distinct().count() > 3
     # An archive is plain WARC without the index too.
     store, root = fs.FileSystem.from_uri(folder)
     raw = b"".join(
