@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
-from sightline.operators import affinity, events, reach, storage
+from sightline.operators import affinity, events, layout, reach, storage
 from sightline.operators.ordering import beside
 from sightline.plans.blocks import E_END, E_START, EVENT_DAY, LA_HOUR, _UTC_HOUR
 from sightline.plans.registry import query
@@ -258,7 +260,7 @@ def _(fx):
     return reach.daypart_share(_all(fx))
 
 
-@query("r16_affinity_penetration", f"""
+_PENETRATION = f"""
     with {_ET},
     x as (select distinct et.device_hash, et.market_id, c17, lon, lat, mp_value, marketname from et join fx_markets m on m.market_id=et.market_id),
     a as (select marketname, audience_attribute as affinity, count(distinct x.device_hash) as d, sum(mp_value) as i
@@ -266,21 +268,27 @@ def _(fx):
     t as (select marketname, count(distinct device_hash) as td, sum(mp_value) as ti from x group by 1)
     select a.marketname, affinity, d as affinity_devices, round(i,4) as affinity_impressions, td as total_devices,
            {two('cast(d as double)/td*100')} as penetration_pct, {two('i/d')} as impressions_per_device, {two('i/ti*100')} as impression_share_pct
-    from a join t on t.marketname=a.marketname""")
+    from a join t on t.marketname=a.marketname"""
+
+
+@query("r16_affinity_penetration", _PENETRATION)
 def _(fx):
     return affinity.affinity_penetration(_all(fx), fx.affinities, fx.markets, start=E_START, end=E_END)
 
 
-@query("r17_affinity_heatmap", f"""
+_HEATMAP = f"""
     with {_ET}
     select audience_attribute as affinity, c17, round(arg_min(lon,lat),4) as lon, round(min(lat),4) as lat, count(distinct et.device_hash) as unique_devices,
            round(sum(mp_value),4) as total_impressions, {two('avg(mp_value)')} as avg_per_exposure
-    from et join fx_affinities f on f.device_hash=et.device_hash where c17 is not null group by all having count(distinct et.device_hash) >= 5""")
+    from et join fx_affinities f on f.device_hash=et.device_hash where c17 is not null group by all having count(distinct et.device_hash) >= 5"""
+
+
+@query("r17_affinity_heatmap", _HEATMAP)
 def _(fx):
     return affinity.affinity_heatmap(_all(fx), fx.affinities, start=E_START, end=E_END)
 
 
-@query("r18_affinity_overlap", f"""
+_OVERLAP = f"""
     with {_ET},
     x as (select distinct device_hash, mp_value from et),
     g as (select x.device_hash, max((audience_attribute='urgent')::int) as a, max((audience_attribute='high')::int) as b,
@@ -289,33 +297,76 @@ def _(fx):
     n as (select case when a+b+c=3 then 'All 3 Affinities' when a+b=2 then 'Urgent + High' when a+c=2 then 'Urgent + Low' when b+c=2 then 'High + Low'
                       when a=1 then 'Urgent Only' when b=1 then 'High Only' else 'Low Only' end as combination, v from g)
     select combination, count(*) as unique_devices, round(sum(v),4) as total_impressions, {two('avg(v)')} as impressions_per_device,
-           {two('count(*)*100e0/(select count(*) from n)')} as audience_pct from n group by 1""")
+           {two('count(*)*100e0/(select count(*) from n)')} as audience_pct from n group by 1"""
+
+
+@query("r18_affinity_overlap", _OVERLAP)
 def _(fx):
     return affinity.affinity_overlap(_all(fx), fx.affinities, ATTRS, start=E_START, end=E_END)
 
 
-@query("r19_affinity_hourly", f"""
+_HOURLY = f"""
     with {_ET},
     h as (select audience_attribute as affinity, cast({LA_HOUR} as int) as hour_of_day, sum(mp_value) as i
           from et join fx_affinities f on f.device_hash=et.device_hash group by all)
     select affinity, hour_of_day, round(i,4) as impressions, {two('i/sum(i) over (partition by affinity)*100')} as affinity_pct,
-           case when round(i,6)=round(max(i) over (partition by affinity),6) then '{affinity.PEAK}' else '' end as peak_flag from h""")
+           case when round(i,6)=round(max(i) over (partition by affinity),6) then '{affinity.PEAK}' else '' end as peak_flag from h"""
+
+
+@query("r19_affinity_hourly", _HOURLY)
 def _(fx):
     return affinity.affinity_hourly(_all(fx), fx.affinities)
 
 
-@query("r20_affinity_index", f"""
+_INDEX = f"""
     with {_ET},
     r as (select audience_attribute as affinity, count(distinct et.device_hash) as n,
                  count(distinct et.device_hash)*100e0/(select count(distinct device_hash) from et) as rate
           from et join fx_affinities f on f.device_hash=et.device_hash group by 1)
     select affinity, n as devices_reached, {two('rate')} as penetration_pct, {two('rate/55*100', 0)} as affinity_index,
            case when rate/55*100 > 120 then '{affinity.STRONG_OVER}' when rate/55*100 > 100 then '{affinity.OVER}'
-                when rate/55*100 < 80 then '{affinity.UNDER}' else '{affinity.PARITY}' end as interpretation from r""")
+                when rate/55*100 < 80 then '{affinity.UNDER}' else '{affinity.PARITY}' end as interpretation from r"""
+
+
+@query("r20_affinity_index", _INDEX)
 def _(fx):
     return affinity.affinity_index(_all(fx), fx.affinities, baseline_rate=55.0)
 
 
+def _by_device(fx) -> tuple[layout.Bucketed, layout.Bucketed]:
+    """The weighted exposures and the affinities, stored by device as a study would store them once."""
+    run = uuid.uuid4().hex
+    weighted = storage.save_table(_all(fx), storage.new_path(fx.spark, "exposure-table"))
+    tables = {f"exposures_{run}": weighted, f"affinities_{run}": fx.affinities}
+    stored = layout.store_bucketed(fx.spark, "device_hash", tables)
+    return stored[f"exposures_{run}"], stored[f"affinities_{run}"]
+
+
+@query("r16_affinity_penetration_bucketed", _PENETRATION)
+def _(fx):
+    return affinity.affinity_penetration(*_by_device(fx), fx.markets, start=E_START, end=E_END)
+
+
+@query("r17_affinity_heatmap_bucketed", _HEATMAP)
+def _(fx):
+    return affinity.affinity_heatmap(*_by_device(fx), start=E_START, end=E_END)
+
+
+@query("r18_affinity_overlap_bucketed", _OVERLAP)
+def _(fx):
+    return affinity.affinity_overlap(*_by_device(fx), ATTRS, start=E_START, end=E_END)
+
+
+@query("r19_affinity_hourly_bucketed", _HOURLY)
+def _(fx):
+    return affinity.affinity_hourly(*_by_device(fx))
+
+
+@query("r20_affinity_index_bucketed", _INDEX)
+def _(fx):
+    return affinity.affinity_index(*_by_device(fx), baseline_rate=55.0)
+
+
 @query("r21_inventory_affinity_index", f"""
     with x as (select device_hash, 'frame' as kind, frame_id as item, market_id from fx_exposures
                union all select device_hash, 'asset', asset_id, market_id from fx_exposures),
