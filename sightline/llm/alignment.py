@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 from sightline.llm.common import narrowed, written
 from sightline.llm.words import _byte_letters, portions, vocabulary_path
 
-# Characters of the texts that share a list of pairs, texts that are encoded at once, words whose ids a task remembers.
-PORTION, TOGETHER, REMEMBERED = 4 << 20, 128, 400_000
+# Characters of the texts that share a list of pairs, of those whose tokens and links are held at once, texts that are encoded
+# at once, words whose ids a task remembers.
+PORTION, STRETCH, TOGETHER, REMEMBERED = 4 << 20, 1 << 18, 128, 200_000
 # A space between two characters that are not white space: a border of both tokenizers, where they allow it.
 _BORDER = re.compile(r" (?<=\S )(?=\S)")
 # An id pair is a * PAIR + b.
@@ -154,10 +155,24 @@ class Aligner:
         said = self.said
         return [said[i] for i in place[np.lexsort((side, group))].tolist()]
 
-    def align(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-        """(n_a, n_b, n_groups, n_links, groups, links) of each text, then the distinct pairs of all and the number
-        of texts that link each. ``links`` are places in the pairs and how often the text links them.
+    def align(self, texts: list[str], with_groups: bool = True) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """(n_a, n_b, n_groups, n_links, groups_sha256, links, groups) of each text, then the distinct pairs of all and the
+        number of texts that link each. ``links`` are places in the pairs and how often the text links them.
+
+        Tokens and links are held for STRETCH characters at a time; of those before, only distinct links stay.
         """
+        found = [self._stretch(texts[x:y], with_groups) for x, y in portions(texts, STRETCH)]
+        pairs = np.unique(np.concatenate([own for _, own in found]))
+        rows, documents = [], np.zeros(len(pairs), np.int64)
+        for stretch, own in found:
+            at = np.searchsorted(pairs, own)
+            for *said, place, times in stretch:
+                documents[at[place]] += 1
+                rows.append((*said[:5], packed(at[place], times), *said[5:]))
+        return rows, pairs, documents
+
+    def _stretch(self, texts: list[str], with_groups: bool) -> tuple[list[tuple], np.ndarray]:
+        """(n_a, n_b, n_groups, n_links, groups_sha256, groups, places, times) of each text, then the pairs that places are in."""
         encoded = self.encode(texts)
         n_a, n_b = (np.array([len(ids[k]) // 4 for ids in encoded], np.int64) for k in (0, 1))
         a, b = (np.frombuffer(b"".join([ids[k] for ids in encoded]), "<u4").astype(np.int64) for k in (0, 1))
@@ -177,12 +192,14 @@ class Aligner:
         rows, before = [], -1
         for k in range(len(texts)):
             x, y = cuts[k], cuts[k + 1]
+            groups = "".join(said[at[k]:at[k + 1]])[1:]
             rows.append((
                 int(n_a[k]), int(n_b[k]), int(upto[k] - before), int(n_links[k]),
-                "".join(said[at[k]:at[k + 1]])[1:], packed(place[x:y], times[x:y]),
+                hashlib.sha256(groups.encode()).hexdigest() if n_a[k] else "", groups if with_groups else None,
+                place[x:y].astype(np.int32), times[x:y].astype(np.int32),
             ))
             before = upto[k]
-        return rows, pairs, np.bincount(place, minlength=len(pairs))
+        return rows, pairs
 
 
 def packed(place: np.ndarray, times: np.ndarray) -> bytes:
@@ -205,18 +222,17 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str, with_groups: bool) -> Da
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for x, y in portions(texts, PORTION):
-                rows, pairs, documents = aligner.align(texts[x:y])
+                rows, pairs, documents = aligner.align(texts[x:y], with_groups)
                 numbers = [pa.array([r[k] for r in rows] + [None], pa.int64()) for k in range(4)]
-                digests = [hashlib.sha256(r[4].encode()).hexdigest() if r[0] else "" for r in rows]
                 none = [None] * len(rows)
                 columns = [
                     pa.array([portion] * (len(rows) + 1), pa.int64()),
                     pa.concat_arrays([batch.column(0).slice(x, y - x), pa.nulls(1, pa.int64())]), *numbers,
-                    pa.array([*digests, None]), pa.array([*[r[5] for r in rows], None], pa.binary()),
+                    pa.array([*[r[4] for r in rows], None]), pa.array([*[r[5] for r in rows], None], pa.binary()),
                     pa.array([*none, pairs], pa.list_(pa.int64())), pa.array([*none, documents], pa.list_(pa.int64())),
                 ]
                 if with_groups:
-                    columns.append(pa.array([*[r[4] for r in rows], None], pa.string()))
+                    columns.append(pa.array([*[r[6] for r in rows], None], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 portion += 1
 

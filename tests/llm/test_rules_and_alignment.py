@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -243,3 +244,19 @@ def test_packed_links_come_back():
     for p, t in ((place, times), (place[:0], times[:0])):
         back = alignment.unpacked(alignment.packed(p, t))
         assert back[0].tolist() == p.tolist() and back[1].tolist() == t.tolist()
+
+
+def test_aligning_a_portion_holds_a_stretch_of_it(monkeypatch):
+    aligner = alignment.Aligner(vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["the", "line", "été", "😀", "don't", "zzzz"]) for _ in range(400)) for _ in range(600)]
+    aligner.align(texts[:1])
+    tracemalloc.start()
+    rows, pairs, documents = aligner.align(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * sum(map(len, texts))  # 26 bytes a character; tokens and links of the whole portion took 94
+    for stretch in (1, 1 << 30):
+        monkeypatch.setattr(alignment, "STRETCH", stretch)
+        again = aligner.align(texts)
+        assert again[0] == rows and again[1].tolist() == pairs.tolist() and again[2].tolist() == documents.tolist()
