@@ -2,25 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sightline.llm.common import written
 
 MAX_ROUNDS = 60
+# Links that a task contracts at once.
+AT_ONCE = 1 << 19
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every identifier of some links but the smallest it reaches by them, and that one: fewer links that connect as much."""
+    ids, place = np.unique(np.append(u, v), return_inverse=True)
+    u, v = place[:len(u)], place[len(u):]
+    label = np.arange(len(ids))
+    while True:
+        x, y = label[u], label[v]
+        apart = x != y
+        if not apart.any():
+            hung = label < np.arange(len(ids))
+            return ids[hung], ids[label[hung]]
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def flushed() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(rows["u"].to_numpy(), rows["v"].to_numpy())], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= AT_ONCE:
+            yield flushed()
+    if held:
+        yield flushed()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component_id`` of every identifier in ``links``: the smallest identifier it can reach.
 
-    A round hangs every identifier's larger neighbours on its smallest one, then its smaller ones; it takes
+    Every task first contracts the links it reads, AT_ONCE at a time, so that of a group with many links each identifier
+    brings one from each such run. A round then hangs every identifier's larger neighbours on its smallest one, then its smaller ones; it takes
     some log(n) rounds until only stars are left. Each round is written to the shared folder, which cuts the
     lineage. A link to itself makes a component of one.
     """
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    both = links.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v"))
     alone = both.where("u = v").select("u").distinct()
-    edges = written(
-        both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"
-    )
+    edges = written(both.where("u <> v").mapInArrow(_contracted, "u bigint, v bigint").distinct(), "links")
     state = None
     for _ in range(MAX_ROUNDS):
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

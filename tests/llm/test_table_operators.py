@@ -12,7 +12,7 @@ import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
 
-from sightline.llm import ann, components, exact_dedup, langid, minhash, toxicity, warc
+from sightline.llm import ann, common, components, exact_dedup, langid, minhash, toxicity, warc
 from sightline.llm.common import fold
 from sightline.operators import storage
 
@@ -133,6 +133,27 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == _union({x for link in links for x in link}, links)
 
 
+@pytest.mark.parametrize("at_once", [1 << 19, 5])
+def test_components_contract_what_a_task_reads(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
+    tables = []
+
+    def seen(df, name):
+        tables.append(common.written(df, name))
+        return tables[-1]
+
+    monkeypatch.setattr(components, "written", seen)
+    rnd = random.Random(1)
+    links = list(combinations(range(40), 2)) + [(rnd.randint(100, 400), rnd.randint(100, 400)) for _ in range(250)]
+    rnd.shuffle(links)
+    table = spark.createDataFrame([link[::rnd.choice([1, -1])] for link in links], "a bigint, b bigint").coalesce(1)
+    got = {r.id: r.component_id for r in components.components(table).collect()}
+    ids = {x for link in links for x in link}
+    assert got == _union(ids, links)
+    # 780 links of one group and some 250 others; the rounds join the table once or twice.
+    assert at_once == 5 or tables[0].count() < len(ids)
+
+
 def _nearest(vectors, queries, k):
     units = {i: np.array(v) / np.sqrt((np.array(v) ** 2).sum()) for i, v in vectors.items()}
     for q in queries:
