@@ -18,7 +18,7 @@ import numpy as np
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 # Letters that lower-case and normalise one by one, then at most one run of signs that stays whole.
-_PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿĀ-į]+)([.,;:!?*$%&#|()]*)")
+_PLAIN = re.compile("^(?:([a-zA-ZÀ-ÖØ-öø-ÿĀ-į]+)([.,;:!?*$%&#|()]*)$)?", re.MULTILINE)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -66,20 +66,22 @@ class WordEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Make sure that every word is known. Forgets all others when too many are."""
-        new = words - self.known.keys()
+        new = words.difference(self.known)  # looks up each word; a difference from keys() goes through all keys
         if len(self.known) + len(new) > self.most:
             self.known, self.pieces, new = {}, {}, words
-        known, pieces, match, odd = self.known, self.pieces, _PLAIN.fullmatch, []
-        for word in new:
-            plain = match(word)
-            if plain is None:
+        known, pieces, letters_of, odd = self.known, self.pieces, self.letters, []
+        get, tokenize, id_bytes = pieces.get, self.model.tokenize, self.id_bytes
+        new = list(new)
+        # One search of a list of lines: no word has a line feed in it, and one that is not plain matches as an empty start.
+        for word, (letters, signs) in zip(new, _PLAIN.findall("\n".join(new)) if new else ()):
+            if not letters:
                 odd.append(word)
                 continue
-            letters, signs = plain.groups()
             letters = letters.lower()
-            ids = pieces.get(letters)
+            ids = get(letters)
             if ids is None:
-                ids = pieces[letters] = self._piece(letters)
+                spelt = letters if letters.isascii() else letters.encode().decode("latin-1").translate(letters_of)
+                ids = pieces[letters] = b"".join([id_bytes[t.id] for t in tokenize(spelt)])
             if signs:
                 if signs not in pieces:
                     pieces[signs] = self._piece(signs)
@@ -92,7 +94,7 @@ class WordEncoder:
         split = [split_words(t) for t in texts]
         self.learn(set().union(*split))
         known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def portions(texts: list[str], most: int = 1 << 20) -> Iterable[tuple[int, int]]:

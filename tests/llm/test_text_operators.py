@@ -304,3 +304,18 @@ def test_two_stage_sorting_orders_suffixes():
         counts = Counter(s[i:i + least] for s in strings for i in range(len(s) - least + 1))
         for s, found in zip(strings, suffixes.repeated_starts(strings, least)):
             assert found.tolist() == [i for i in range(len(s) - least + 1) if counts[s[i:i + least]] > 1]
+
+
+def test_learning_words_does_not_go_through_all_known(library):
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("all known words are gone through")
+
+    encoder = WordEncoder(vocabulary_path(), most=40)
+    encoder.known = Known()
+    rnd = random.Random(6)
+    letters = "abZÀéĀįİKſ.,!?#()-'_1 \t\r\n\x0b\x0c\x1c\x85 한😀\x00"
+    for _ in range(60):
+        texts = ["".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 5, 40]))) for _ in range(6)]
+        ids = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert ids == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
