@@ -6,6 +6,9 @@ host's limit are removed, and a document that loses most of its words by that is
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.llm.common import narrowed, written
@@ -29,38 +32,63 @@ def _let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """Runs of characters other than space and tab to carriage return."""
-    return F.array_remove(F.split(F.translate(text, _WHITE, " " * len(_WHITE)), " "), "")
+    return F.array_remove(F.split(text, f"[{_WHITE}]+"), "")
 
 
 def lines_with_words(text: Column) -> Column:
     """The lines, cut at line feeds, that hold a word."""
-    return F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, _WHITE, "")) > 0)
+    return F.filter(F.split(text, "\n"), lambda line: F.ltrim(line, F.lit(_WHITE)) != "")
+
+
+def run_hash(*words: Column) -> Column:
+    """A number that equal runs of words share; runs that share it need not be equal."""
+    return F.xxhash64(*words)
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """How many words lie in a run of ``window`` words that occurs twice or more in the list.
 
-    Runs are sorted with their places; equal neighbours mark both places. In order of place, a marked run
-    adds the words up to the next marked one, ``window`` at most.
+    Runs are sorted by hash, with their places, and neighbours of one hash are compared word by word; should any of them
+    differ, all runs that share their hash with another are sorted as text instead. Where all hashes differ, no run occurs
+    twice. In order of place, a marked run adds the words up to the next marked one, ``window`` at most. ``words`` is read for
+    every run, so it should be a column that holds them already.
     """
-    def runs(w: Column) -> Column:
-        joined = F.transform(w, lambda x, i: F.struct(
-            F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, window)]).alias("run"), i.alias("at")
+    def run(at: Column) -> list[Column]:
+        return [F.get(words, at + k) for k in range(window)]
+
+    def following(items: Column) -> Column:
+        return F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0)))
+
+    def neighbours(runs: Column) -> Column:
+        """Pairs of places whose runs are equal and neighbours when sorted."""
+        return _let(F.sort_array(runs), lambda s: F.filter(
+            F.zip_with(s, following(s), lambda x, y: F.when(x["run"] == y["run"], F.array(x["at"], y["at"]))),
+            lambda pair: pair.isNotNull(),
         ))
-        return F.sort_array(F.slice(joined, 1, F.size(w) - (window - 1)))
 
-    def marked(s: Column) -> Column:
-        following = F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0)))
-        equal = F.zip_with(s, following, lambda x, y: F.when(x["run"] == y["run"], F.array(x["at"], y["at"])))
-        return F.sort_array(F.array_distinct(F.flatten(F.filter(equal, lambda e: e.isNotNull()))))
+    def marked(pairs: Column) -> Column:
+        return F.sort_array(F.array_distinct(F.flatten(pairs)))
+
+    def differ(pair: Column) -> Column:
+        return reduce(or_, [x != y for x, y in zip(run(pair[0]), run(pair[1]))])
+
+    def confirmed(pairs: Column) -> Column:
+        as_text = F.transform(marked(pairs), lambda at: F.struct(F.concat_ws(" ", *run(at)).alias("run"), at.alias("at")))
+        return F.when(F.exists(pairs, differ), neighbours(as_text)).otherwise(pairs)
 
     def covered(places: Column) -> Column:
-        following = F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0)))
-        steps = F.zip_with(places, following, lambda x, y: F.least(F.lit(window), y - x))
+        steps = F.zip_with(places, following(places), lambda x, y: F.least(F.lit(window), y - x))
         return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
 
-    return F.when(F.size(words) <= window, F.lit(0)).otherwise(
-        _let(words, lambda w: _let(runs(w), lambda s: _let(marked(s), covered)))
+    def hashed(x: Column, at: Column) -> Column:
+        return run_hash(x, *run(at)[1:])
+
+    starts = F.slice(words, 1, F.greatest(F.size(words) - (window - 1), F.lit(0)))
+    alike = neighbours(F.transform(starts, lambda x, at: F.struct(hashed(x, at).alias("run"), at.alias("at"))))
+    return (
+        F.when(F.size(words) <= window, F.lit(0))
+        .when(F.size(F.array_distinct(F.transform(starts, hashed))) == F.size(starts), F.lit(0))
+        .otherwise(_let(marked(_let(alike, confirmed)), covered))
     )
 
 
@@ -70,18 +98,14 @@ def rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Characters are code points. A duplicate line holds a word and equals an earlier line; a null or empty text has no
     words and fails. One narrow pass. Columns that have these names are replaced.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    words, lines = words_of(text), lines_with_words(text)
-    counts = _let(words, lambda w: F.struct(F.size(w).alias("words"), repeated_words(w).alias("repeated")))
-    out = docs.withColumns({
-        "_counts": counts,
-        "word_chars": F.length(F.translate(text, _WHITE, "")).cast("bigint"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint"),
-        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
-    })
-    out = out.withColumns({
-        "n_words": F.col("_counts.words").cast("bigint"), "n_repeat_words": F.col("_counts.repeated").cast("bigint"),
-    }).drop("_counts")
+    text, words = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col("_words")
+    out = docs.withColumn("_words", words_of(text)).withColumns({
+        "n_words": F.size(words).cast("bigint"),
+        "word_chars": F.length(F.array_join(words, "")).cast("bigint"),
+        "n_symbols": F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("bigint"),
+        "n_dup_lines": _let(lines_with_words(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
+        "n_repeat_words": repeated_words(words).cast("bigint"),
+    }).drop("_words")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -89,8 +113,10 @@ def rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def normalised_lines(text: Column) -> Column:
     """Distinct lines that hold a word: A-Z lower-cased, runs of digits as one 0, runs of white space as one space, trimmed."""
     upper = "".join(map(chr, range(65, 91)))
-    plain = F.translate(text, upper + "\t\x0b\x0c\r", upper.lower() + " " * 4)
-    plain = F.regexp_replace(F.regexp_replace(plain, "[0-9]+", "0"), " +", " ")
+    # Where all characters are ASCII, the plain lower case changes A-Z alone and goes by bytes.
+    ascii_only = F.octet_length(text) == F.length(text)
+    plain = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+    plain = F.regexp_replace(F.regexp_replace(plain, "[0-9]+", "0"), f"[{_WHITE.replace(chr(10), '')}]+", " ")
     return F.array_remove(F.array_distinct(F.transform(F.split(plain, "\n"), lambda line: F.trim(line))), "")
 
 
@@ -107,7 +133,7 @@ def host_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text"
         normalised_lines(text).alias("_lines"),
     )
     counted = rows.withColumn("_lines", F.transform("_lines", lambda line: F.struct(
-        F.xxhash64(line).alias("line"), (F.length(line) - F.length(F.translate(line, " ", "")) + 1).alias("words")
+        F.xxhash64(line).alias("line"), (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("words")
     )))
     total = F.aggregate("_lines", F.lit(0), lambda sum_, x: sum_ + x["words"])
     exploded = counted.select("host", "d1", "d2", total.alias("total"), F.explode("_lines").alias("x"))

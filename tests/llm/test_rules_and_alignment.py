@@ -115,6 +115,29 @@ def test_rules_agree_with_brute_force(make_docs):
     assert seen == Counter((i, *_expected_rules(t or "")) for i, t in rows)
 
 
+def test_runs_that_share_a_hash_are_told_apart(make_docs, monkeypatch):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(words) for _ in range(n)) for words in ("ab", "abcdefgh", LONG.split(), [f"w{k}" for k in range(90)])
+             for n in (3, 4, 7, 30, 200) for _ in range(5)]
+    texts += ["a b c d a b c", "a b c x y z", "a b c x y z a b c x y z", "a bc d ab c d", *ODD]
+    for values in (1, 2, 50):  # so few hashes that unequal runs share them, between equal ones too
+        monkeypatch.setattr(quality, "run_hash", lambda *words: F.pmod(F.xxhash64(*words), F.lit(values)))
+        got = quality.rules(make_docs(list(enumerate(texts)))).collect()
+        assert {r.doc_id: r.n_repeat_words for r in got} == {i: _expected_rules(t or "")[4] for i, t in enumerate(texts)}
+
+
+def test_rules_read_no_text_character_by_character(make_docs, capsys):
+    docs = make_docs([(0, "a text")])
+    quality.rules(docs).explain("extended")
+    assert "translate(" not in capsys.readouterr().out
+
+
+def test_only_the_letters_a_to_z_are_lower_cased(make_docs):
+    texts = ["ABC xyz 12\tI\x0b\x0c\r4 ", "ÀÉ ABC ŁÖ Σας ΟΔΟΣ", "İI \u212a \u212b ẞ ß ǅ", "A\u00a0B\u2003C\x1c", "\U00010400 Z 9\n a  Z 8\nA Z 7"]
+    got = make_docs(list(enumerate(texts))).select("doc_id", quality.normalised_lines(F.col("text")).alias("lines")).collect()
+    assert {r.doc_id: set(r.lines) for r in got} == {i: _lines(t) for i, t in enumerate(texts)}
+
+
 def test_depleted_documents_are_rejected(make_docs):
     rnd = random.Random(8)
     common = ["Subscribe to our newsletter, page 12 of 80 ", "Cookies  make this SITE work, accept them all now", "Share | print"]
